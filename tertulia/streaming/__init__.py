@@ -1,0 +1 @@
+"""Empty on purpose: the analyses are batch jobs, no streaming operator is in scope."""
