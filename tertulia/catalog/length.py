@@ -22,11 +22,11 @@ from tertulia.plans import length
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round double columns, so that two engines' summation orders compare equal."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+            f"round(`{f.name}`, {digits}) AS `{f.name}`"
             if f.dataType.typeName() == "double"
-            else F.col(f"`{f.name}`")
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

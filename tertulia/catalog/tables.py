@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tertulia.functions.text import letter_share
 from tertulia.operators.columns import decode
 from tertulia.operators.messages import conversation_lengths, opened_by_user
 from tertulia.schema import CATEGORIES
+from tertulia.sources.corpus import spread
 
 LETTERS = "abcdefghijk"  # one per category
 LANGUAGES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French"}
@@ -25,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table whose texts are worked on row by row, on all cores."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def hash_of(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
 
@@ -39,54 +44,63 @@ def lines_as_messages(text: Column) -> Column:
     )
 
 
-def moderation_of(content: Column) -> Column:
-    """Moderation entry of one message: letter shares as scores."""
-    names = F.array(*[F.lit(c) for c in CATEGORIES])
-    scores = F.array(*[letter_share(content, x) for x in LETTERS])
-    return F.struct(
-        F.map_from_arrays(names, F.transform(scores, lambda s: s > 0.1)).alias("categories"),
-        F.map_from_arrays(names, scores).alias("category_scores"),
-        (letter_share(content, "a") > 0.1).alias("flagged"),
+def _moderation(then: str) -> str:
+    """SQL lambda body over a message ``m``: letter shares as scores.
+
+    ``then`` builds the entry from the share vector ``s``. It is SQL text rather than
+    Columns because a plan of this many small expressions is much quicker to parse
+    than to assemble call by call.
+    """
+    text = "m.content"
+    shares = ", ".join(
+        f"CASE WHEN length({text}) = 0 THEN 0D ELSE CAST(octet_length({text}) - "
+        f"octet_length(replace({text}, '{x}', '')) AS DOUBLE) / length({text}) END"
+        for x in LETTERS
     )
+    return f"get(transform(array(array({shares})), s -> {then}), 0)"
+
+
+_NAMES = "array(" + ", ".join(f"'{c}'" for c in CATEGORIES) + ")"
+
+# a clean entry: every category scored, flagged by the first category
+ENTRY = _moderation(
+    f"""named_struct(
+      'categories', map_from_arrays({_NAMES}, transform(s, x -> x > 0.1)),
+      'category_scores', map_from_arrays({_NAMES}, s),
+      'flagged', s[0] > 0.1)"""
+)
+
+# an entry as delivered: an unknown category, some null scores, some missing maps
+RAW_ENTRY = _moderation(
+    f"""named_struct(
+      'categories', IF(i = 0 AND n_chars % 11 = 0, NULL,
+        map_from_arrays({_NAMES}, transform(s, x -> x > 0.1))),
+      'category_scores', IF(i = 0 AND n_chars % 11 = 0, NULL,
+        transform_values(
+          map_concat(map_from_arrays({_NAMES}, s), map('{UNKNOWN_CATEGORY}', 0D)),
+          (k, v) -> IF(i = 0 AND n_chars % 7 = 0 AND k = 'hate', NULL, v))),
+      'flagged', s[0] > 0.1)"""
+)
 
 
 def documents_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Clean nested corpus: conversation_hash, language, conversation, openai_moderation."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents", "doc_id", "lang", "text")
     nested = docs.select(
         "doc_id",
         hash_of("doc_id").alias("conversation_hash"),
         decode(F.col("lang"), LANGUAGES).alias("language"),
         lines_as_messages(F.col("text")).alias("conversation"),
     )
-    return nested.withColumn(
-        "openai_moderation", F.transform("conversation", lambda m: moderation_of(m["content"]))
-    )
+    return nested.withColumn("openai_moderation", F.expr(f"transform(conversation, m -> {ENTRY})"))
 
 
-def raw_moderation(conversation: Column, n_chars: Column) -> Column:
-    """Moderation as delivered: an unknown category, some null scores, some missing maps."""
-
-    def entry(m: Column, i: Column) -> Column:
-        e = moderation_of(m["content"])
-        scores = F.map_concat(
-            e["category_scores"], F.create_map(F.lit(UNKNOWN_CATEGORY), F.lit(0.0))
-        )
-        gap = (i == 0) & (n_chars % 7 == 0)
-        scores = F.transform_values(scores, lambda k, v: F.when(~(gap & (k == "hate")), v))
-        missing = (i == 0) & (n_chars % 11 == 0)
-        return F.struct(
-            F.when(~missing, e["categories"]).alias("categories"),
-            F.when(~missing, scores).alias("category_scores"),
-            e["flagged"].alias("flagged"),
-        )
-
-    return F.transform(conversation, entry)
+RAW_MODERATION = f"transform(conversation, (m, i) -> {RAW_ENTRY})"
 
 
 def first_source(spark: SparkSession, folder: str) -> DataFrame:
     """Raw table with the columns of the first source, from ``documents``."""
-    docs = table(spark, folder, "documents").select(
+    docs = texts(spark, folder, "documents", "doc_id", "lang", "text", "n_chars").select(
         "n_chars",
         hash_of("doc_id").alias("conversation_hash"),
         F.lit("model-a").alias("model"),
@@ -103,7 +117,7 @@ def first_source(spark: SparkSession, folder: str) -> DataFrame:
     return docs.withColumns(
         {
             "turn": F.floor((size + 1) / 2).cast("long"),
-            "openai_moderation": raw_moderation(F.col("conversation"), F.col("n_chars")),
+            "openai_moderation": F.expr(RAW_MODERATION),
             "detoxify_moderation": F.lit(None).cast("string"),
             "toxic": F.lit(False),
             "redacted": F.col("n_chars") % 2 == 0,
@@ -132,7 +146,7 @@ def second_source(spark: SparkSession, folder: str) -> DataFrame:
     return items.withColumns(
         {
             "turn": F.floor((size + 1) / 2).cast("long"),
-            "openai_moderation": raw_moderation(F.col("conversation"), F.col("n_chars")),
+            "openai_moderation": F.expr(RAW_MODERATION),
         }
     ).drop("n_chars")
 
@@ -145,7 +159,8 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_measures(spark: SparkSession, folder: str) -> DataFrame:
     """Lengths and language of the conversations the user opens with at least 5 words."""
-    lengths = conversation_lengths(table(spark, folder, "conversations"))
+    messages = texts(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    lengths = conversation_lengths(messages)
     return opened_by_user(lengths).join(languages(spark, folder), "conv_id")
 
 

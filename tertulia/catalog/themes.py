@@ -1,4 +1,4 @@
 """Imports every theme, which fills the registry."""
 
-from tertulia.catalog import length, preparation  # noqa: F401
+from tertulia.catalog import length, preparation, satisfaction, sentiment, toxicity  # noqa: F401
 from tertulia.catalog.registry import QUERIES, SQL  # noqa: F401

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def message(conversation: Column, position: int) -> Column:
     """Message at a 0-based position, null when the conversation is shorter."""
     return F.get(conversation, F.lit(position))

@@ -18,22 +18,11 @@ def round_half_away(x: Column, digits: int) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
 
 
-def row_mean(columns: list[Column]) -> Column:
-    """Mean of the non-null columns of a row, null when all are null."""
-    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in columns])
-    present = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in columns])
-    return F.when(present > 0, total / present)
-
-
 def row_sum(columns: list[Column]) -> Column:
     """Sum that counts nulls as zero."""
     return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in columns])
 
 
-def row_max(columns: list[Column]) -> Column:
-    return F.greatest(*columns)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double, null when b is zero."""
     return F.try_divide(a.cast("double"), b.cast("double"))

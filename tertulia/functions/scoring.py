@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, functions as F, types as T
 
+from tertulia.functions.text import occurrences
+
 MakePredict = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
@@ -71,9 +73,6 @@ def letter_sentiment() -> Callable[[np.ndarray], np.ndarray]:
 
 def letter_sentiment_scores(text: Column) -> Column:
     """The same stand-in as a native expression, for jobs that need no model worker."""
-    hits = [
-        (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) + 1).cast("double")
-        for c in "ean"
-    ]
+    hits = [(occurrences(text, c) + 1).cast("double") for c in "ean"]
     total = hits[0] + hits[1] + hits[2]
     return F.when(text.isNotNull(), F.array(*[h / total for h in hits]))

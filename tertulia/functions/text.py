@@ -36,11 +36,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(words), F.lit(0)).cast("long")
 
 
+def occurrences(text: Column, letter: str) -> Column:
+    """How often ``letter`` occurs; byte lengths are stored, so they cost no pass over the text."""
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
+    return (removed / len(letter.encode())).cast("int")
+
+
 def letter_share(text: Column, letter: str) -> Column:
     """Share of the characters of ``text`` that are ``letter``; 0 for an empty text."""
     n = F.length(text)
-    hits = n - F.length(F.replace(text, F.lit(letter), F.lit("")))
-    return F.when(n == 0, F.lit(0.0)).otherwise(hits.cast("double") / n)
+    return F.when(n == 0, F.lit(0.0)).otherwise(occurrences(text, letter).cast("double") / n)
 
 
 def after_last_marker(text: Column, marker: str = "English:") -> Column:

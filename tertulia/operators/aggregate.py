@@ -20,8 +20,8 @@ def mean_and_std(
     """Mean and sample deviation of every column per group, in one aggregation."""
     aggregates = []
     for c in columns:
-        aggregates.append(F.avg(f"`{c}`").alias(mean.format(c)))
-        aggregates.append(F.stddev_samp(f"`{c}`").alias(std.format(c)))
+        aggregates.append(F.expr(f"avg(`{c}`) AS `{mean.format(c)}`"))
+        aggregates.append(F.expr(f"stddev_samp(`{c}`) AS `{std.format(c)}`"))
     aggregates.extend(extra)
     return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
 
@@ -42,34 +42,39 @@ def mean_and_std_with_total(
 ) -> DataFrame:
     """Mean and sample deviation per (by, role) and for all roles together.
 
-    Raw rows are aggregated once, to count, mean and squared deviations. The rows
-    for ``total`` are merged from those few rows, so the input is not doubled.
+    Raw rows are aggregated once, to count, mean and squared deviations per column.
+    The rows for ``total`` are merged from those few rows, so the input is not
+    doubled.
     """
     parts = []
     for i, c in enumerate(columns):
         parts += [
-            F.count(f"`{c}`").alias(f"n{i}"),
-            F.avg(f"`{c}`").alias(f"m{i}"),
-            (F.var_pop(f"`{c}`") * F.count(f"`{c}`")).alias(f"s{i}"),
+            F.expr(f"count(`{c}`) AS n{i}"),
+            F.expr(f"avg(`{c}`) AS m{i}"),
+            F.expr(f"var_pop(`{c}`) * count(`{c}`) AS s{i}"),
         ]
-    moments = df.groupBy(by, role).agg(*parts)
-    both = moments.withColumn(role, F.explode(F.array(F.col(role), F.lit(total))))
+    stacked = ", ".join(f"{i}, n{i}, m{i}, s{i}" for i in range(len(columns)))
+    moments = df.groupBy(by, role).agg(*parts).selectExpr(
+        by,
+        f"explode(array({role}, '{total}')) AS {role}",
+        f"stack({len(columns)}, {stacked}) AS (_column, n, m, s)",
+    )
     # pooled mean first: squared deviations are then shifted to it without cancellation
-    same = Window.partitionBy(by, role)
-    pooled = {
-        f"p{i}": F.sum(F.col(f"n{i}") * F.col(f"m{i}")).over(same)
-        / F.nullif(F.sum(f"n{i}").over(same), F.lit(0))
-        for i in range(len(columns))
-    }
+    same = Window.partitionBy(by, role, "_column")
+    pooled = F.try_divide(F.sum(F.col("n") * F.col("m")).over(same), F.sum("n").over(same))
+    merged = moments.withColumn("mean", pooled).groupBy(by, role, "_column").agg(
+        F.first("mean").alias("mean"),
+        F.sum("n").alias("n"),
+        F.expr("sum(s + n * (m - mean) * (m - mean))").alias("squares"),
+    )
+    std_expr = "CASE WHEN n > 1 THEN sqrt(squares / (n - 1)) END"
     out = []
     for i, c in enumerate(columns):
-        n = F.sum(f"n{i}")
-        shifted = F.sum(
-            F.col(f"s{i}") + F.col(f"n{i}") * F.pow(F.col(f"m{i}") - F.col(f"p{i}"), F.lit(2))
+        out.append(F.expr(f"max(CASE WHEN _column = {i} THEN mean END) AS `{mean.format(c)}`"))
+        out.append(
+            F.expr(f"max(CASE WHEN _column = {i} THEN {std_expr} END) AS `{std.format(c)}`")
         )
-        out.append(F.first(f"p{i}").alias(mean.format(c)))
-        out.append(F.when(n > 1, F.sqrt(shifted / (n - 1))).alias(std.format(c)))
-    return both.withColumns(pooled).groupBy(by, role).agg(*out)
+    return merged.groupBy(by, role).agg(*out)
 
 
 def mode(df: DataFrame, by: Sequence[str], label: str, name: str = "mode") -> DataFrame:

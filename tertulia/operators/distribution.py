@@ -19,8 +19,7 @@ def value_histogram(
     df: DataFrame, by: Sequence[str], value: str = "value", count: str = "n"
 ) -> DataFrame:
     """Number of rows per ``by`` and value; null and NaN values are left out."""
-    v = F.col(value)
-    known = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+    known = df.where(f"NOT coalesce(isnan(CAST(`{value}` AS DOUBLE)) OR `{value}` IS NULL, true)")
     return known.groupBy(*by, value).agg(F.count(F.lit(1)).alias(count))
 
 
@@ -31,7 +30,8 @@ def running_counts(
     count: str = "n",
     buckets: int | None = BUCKETS,
 ) -> DataFrame:
-    """Add ``ties`` (rows with this value) and ``upto`` (rows with this value or less).
+    """Add ``ties`` (rows with this value), ``upto`` (rows with this value or less) and
+    ``size`` (all rows), each per ``by``.
 
     Rows of ``hist`` that share ``by`` and value (such as one per language) tie.
     ``buckets=None`` states that each ``by`` has few distinct values.
@@ -40,11 +40,19 @@ def running_counts(
     if buckets is None:
         upto = F.sum(count).over(Window.partitionBy(*by).orderBy(value))
         ties = F.sum(count).over(Window.partitionBy(*by, value))
-        return hist.withColumns({"upto": upto, "ties": ties})
+        size = F.sum(count).over(Window.partitionBy(*by))
+        return hist.withColumns({"upto": upto, "ties": ties, "size": size})
 
-    cuts = [i / buckets for i in range(1, buckets)]
+    cuts = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     v = F.col(value).cast("double")
-    bounds = hist.groupBy(*by).agg(F.percentile_approx(v, cuts, 10000).alias("_bounds"))
+    # the filter is always true: reading the count keeps the histogram the same in every
+    # branch of the plan, so that its shuffle is done once and reused
+    bounds = hist.groupBy(*by).agg(
+        F.expr(
+            f"percentile_approx(CAST(`{value}` AS DOUBLE), array({cuts}), 10000) "
+            f"FILTER (WHERE `{count}` > 0) AS _bounds"
+        )
+    )
     placed = _join(hist, bounds, by).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < v))
     ).drop("_bounds")
@@ -55,6 +63,7 @@ def running_counts(
         (
             F.sum("_total").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_total")
         ).alias("_offset"),
+        F.sum("_total").over(Window.partitionBy(*by)).alias("size"),
     )
     # both windows share the shuffle on (by, bucket)
     upto = F.sum(count).over(Window.partitionBy(*by, "_bucket").orderBy(value))
@@ -98,8 +107,6 @@ def quantiles(
     """
     by = list(by)
     ranked = running_counts(hist, by, value, count, buckets)
-    sizes = hist.groupBy(*by).agg(F.sum(count).alias("_size"))
-    ranked = _join(ranked, sizes, by)
     v = F.col(value).cast("double")
 
     def at(index: Column) -> Column:
@@ -107,7 +114,7 @@ def quantiles(
 
     columns = []
     for name, q in probabilities.items():
-        place = (F.col("_size") - 1) * F.lit(float(q))
+        place = (F.col("size") - 1) * F.lit(float(q))
         if method == "nearest":
             columns.append(at(F.floor(place + 0.5)).alias(name))
         else:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.functions.arrays import message
-from tertulia.functions.numeric import row_max, row_mean
 from tertulia.functions.text import word_count
 from tertulia.schema import CATEGORIES, SCORE_COLUMNS
 
@@ -32,38 +31,44 @@ def explode_messages(df: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def widen_scores(df: DataFrame) -> DataFrame:
-    """Category map to one ``<category>_score`` column each; other columns stay."""
-    keep = [c for c in df.columns if c != "category_scores"]
-    scores = F.col("category_scores")
-    return df.select(
-        *keep,
-        *[F.try_element_at(scores, F.lit(c)).alias(f"{c}_score") for c in CATEGORIES],
-    )
+_NAMES = ", ".join(f"'{c}'" for c in CATEGORIES)
 
 
-def add_max_and_mean(df: DataFrame) -> DataFrame:
-    scores = [F.col(f"`{c}`") for c in SCORE_COLUMNS]
-    return df.withColumns(
-        {"max_toxicity_score": row_max(scores), "avg_toxicity_score": row_mean(scores)}
+def list_scores(df: DataFrame) -> DataFrame:
+    """Replace the category map by ``scores``, a list in category order."""
+    return df.selectExpr(
+        *[f"`{c}`" for c in df.columns if c != "category_scores"],
+        f"transform(array({_NAMES}), c -> try_element_at(category_scores, c)) AS scores",
     )
 
 
 def drop_incomplete(df: DataFrame, *also: str) -> DataFrame:
-    """Drop messages with a null or NaN score, or a null in the named columns."""
-    complete = None
-    for name in SCORE_COLUMNS:
-        ok = F.col(f"`{name}`").isNotNull() & ~F.isnan(F.col(f"`{name}`"))
-        complete = ok if complete is None else complete & ok
-    for name in also:
-        complete = complete & F.col(f"`{name}`").isNotNull()
-    return df.where(complete)
+    """Drop messages with a null or NaN score, or a null in the named columns.
+
+    One predicate covers all scores: the optimizer derives constraints from each
+    separate one, which takes longer than a small query when there are dozens.
+    """
+    complete = ["NOT exists(scores, x -> x IS NULL OR isnan(x))"]
+    complete += [f"`{c}` IS NOT NULL" for c in also]
+    return df.where(" AND ".join(complete))
+
+
+def widen_scores(df: DataFrame) -> DataFrame:
+    """One column per category, their maximum and their mean; nulls are ignored by both."""
+    return df.selectExpr(
+        *[f"`{c}`" for c in df.columns if c != "scores"],
+        *[f"get(scores, {i}) AS `{c}`" for i, c in enumerate(SCORE_COLUMNS)],
+        "array_max(scores) AS max_toxicity_score",
+        """aggregate(filter(scores, x -> x IS NOT NULL), named_struct('total', 0D, 'n', 0),
+             (a, x) -> named_struct('total', a.total + x, 'n', a.n + 1),
+             a -> try_divide(a.total, a.n)) AS avg_toxicity_score""",
+    )
 
 
 def message_scores(df: DataFrame, *keep: str) -> DataFrame:
     """Nested corpus to scored messages: 11 categories, their maximum and their mean."""
-    wide = widen_scores(explode_messages(df, *keep))
-    return add_max_and_mean(drop_incomplete(wide, "message", "role"))
+    listed = list_scores(explode_messages(df, *keep))
+    return widen_scores(drop_incomplete(listed, "message", "role"))
 
 
 def score_vector(category_scores: Column) -> Column:

@@ -53,21 +53,24 @@ def _moderation_broken(moderation: Column) -> Column:
     )
 
 
-def keep_known_categories(moderation: Column) -> Column:
-    """Drop unknown category keys; a row with a missing map gets empty maps throughout."""
-    known = F.array(*[F.lit(c) for c in CATEGORIES])
+def _known(entry: Column, name: str) -> Column:
+    return F.map_filter(entry[name], lambda key, _: key.isin(CATEGORIES))
 
-    def keep(m: Column, name: str) -> Column:
-        return F.map_filter(m[name], lambda key, _: F.array_contains(known, key))
 
-    cleaned = F.transform(
+def _reduced(moderation: Column) -> Column:
+    """Known categories only, message by message."""
+    return F.transform(
         moderation,
         lambda m: F.struct(
-            keep(m, "categories").alias("categories"),
-            keep(m, "category_scores").alias("category_scores"),
+            _known(m, "categories").alias("categories"),
+            _known(m, "category_scores").alias("category_scores"),
             m["flagged"].alias("flagged"),
         ),
     )
+
+
+def keep_known_categories(moderation: Column) -> Column:
+    """Drop unknown category keys; a row with a missing map gets empty maps throughout."""
     emptied = F.transform(
         moderation,
         lambda m: F.struct(
@@ -76,14 +79,17 @@ def keep_known_categories(moderation: Column) -> Column:
             m["flagged"].alias("flagged"),
         ),
     )
-    return F.when(_moderation_broken(moderation), emptied).otherwise(cleaned)
+    return F.when(_moderation_broken(moderation), emptied).otherwise(_reduced(moderation))
 
 
 def scores_complete(moderation: Column) -> Column:
-    """Whether no score of any message is null; an empty list is complete."""
-    return F.forall(
+    """Whether no known score of any message is null; an empty list is complete."""
+    return ~F.exists(
         moderation,
-        lambda m: F.forall(F.map_values(m["category_scores"]), lambda v: v.isNotNull()),
+        lambda m: F.size(
+            F.map_filter(m["category_scores"], lambda k, v: v.isNull() & k.isin(CATEGORIES))
+        )
+        > 0,
     )
 
 
@@ -91,7 +97,7 @@ def moderation_state(moderation: Column) -> Column:
     """``invalid`` (a map is missing), ``null_score`` or ``ok``: why a row is kept or not."""
     return (
         F.when(moderation.isNull() | _moderation_broken(moderation), "invalid")
-        .when(~scores_complete(keep_known_categories(moderation)), "null_score")
+        .when(~scores_complete(moderation), "null_score")
         .otherwise("ok")
     )
 
@@ -99,7 +105,7 @@ def moderation_state(moderation: Column) -> Column:
 def clean_moderation(df: DataFrame) -> DataFrame:
     """Keep rows with usable scores, reduced to the known categories."""
     return df.where(moderation_state(F.col("openai_moderation")) == "ok").withColumn(
-        "openai_moderation", keep_known_categories(F.col("openai_moderation"))
+        "openai_moderation", _reduced(F.col("openai_moderation"))
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tertulia.functions.arrays import mean_pool, message
+from tertulia.functions.arrays import let, mean_pool, message
 from tertulia.functions.scoring import MakePredict, batch_scores
 from tertulia.functions.text import WHITESPACE
 from tertulia.operators.ordering import bootstrap
@@ -28,12 +28,8 @@ def hashed_words(text: Column, width: int = 16) -> Column:
         hits = F.size(F.filter(slots, lambda s: s == i)).cast("double")
         return F.coalesce(F.try_divide(hits, F.size(slots).cast("double")), F.lit(0.0))
 
-    # the one-element array binds the slots, so words are hashed once and not per dimension
     dimensions = F.sequence(F.lit(0), F.lit(width - 1))
-    return F.get(
-        F.transform(F.array(slots), lambda s: F.transform(dimensions, lambda i: share(s, i))),
-        F.lit(0),
-    )
+    return let(slots, lambda s: F.transform(dimensions, lambda i: share(s, i)))
 
 
 def embed_first_message(

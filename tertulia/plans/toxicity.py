@@ -18,14 +18,10 @@ def table(scored: DataFrame, digits: int | None = 5) -> DataFrame:
     out = mean_and_std_with_total(scored, "lang", "role", MEASURES).orderBy("lang", "role")
     if digits is None:
         return out
-    return out.select(
+    return out.selectExpr(
         "lang",
         "role",
-        *[
-            round_half_away(F.col(f"`{c}`"), digits).alias(c)
-            for c in out.columns
-            if c not in ("lang", "role")
-        ],
+        *[f"round(`{c}`, {digits}) AS `{c}`" for c in out.columns if c not in ("lang", "role")],
     )
 
 

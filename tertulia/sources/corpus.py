@@ -13,6 +13,17 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS) -
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that arrives in fewer pieces than there are cores.
+
+    Reading one small file would run every expression on it in a single task. Large
+    inputs already have more pieces than cores and are returned unchanged, so this
+    never shuffles a big table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_corpus(df: DataFrame, path: str) -> str:
     """Write a corpus to a path of its own; an existing one is an error.
 
