@@ -1,4 +1,13 @@
 """Imports every theme, which fills the registry."""
 
-from tertulia.catalog import length, preparation, satisfaction, sentiment, toxicity  # noqa: F401
+from tertulia.catalog import (  # noqa: F401
+    annotation,
+    classifier,
+    length,
+    preparation,
+    satisfaction,
+    sentiment,
+    topics,
+    toxicity,
+)
 from tertulia.catalog.registry import QUERIES, SQL  # noqa: F401

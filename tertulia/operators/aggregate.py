@@ -79,7 +79,9 @@ def mean_and_std_with_total(
 
 def mode(df: DataFrame, by: Sequence[str], label: str, name: str = "mode") -> DataFrame:
     """Most frequent label per group, the smallest one on ties."""
-    counts = value_histogram(df, by, label)
+    counts = df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(
+        F.count(F.lit(1)).alias("n")
+    )
     return counts.groupBy(*by).agg(
         F.min_by(label, F.struct((-F.col("n")).alias("n"), F.col(label).alias("l"))).alias(name)
     )

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.operators.ordering import hash_number, positions
@@ -142,29 +142,34 @@ def ready(df: DataFrame, features: str, label: str = "label") -> DataFrame:
     ).withColumn("label", F.col(label).cast("double"))
 
 
-def cross_validate(df: DataFrame, estimator, k: int = 10, parallelism: int = 4, grid=None):
-    """Fit over the ``fold`` column; returns the fitted CrossValidatorModel."""
-    validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid or ParamGridBuilder().build(),
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=k,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    return validator.fit(df)
-
-
-def grid_results(df: DataFrame, fitted, names: Sequence[str]) -> DataFrame:
-    """Mean accuracy and deviation of every parameter combination."""
-    rows = []
-    for params, mean, std in zip(
-        fitted.getEstimatorParamMaps(), fitted.avgMetrics, fitted.stdMetrics
-    ):
-        chosen = {p.name: str(v) for p, v in params.items()}
-        rows.append((*[chosen.get(n) for n in names], float(mean), float(std)))
-    fields = ", ".join([f"{n} string" for n in names] + ["mean_accuracy double", "std_accuracy double"])
-    return df.sparkSession.createDataFrame(rows, fields)
+def cross_validate(
+    df: DataFrame,
+    estimator,
+    grid: Sequence[dict] = ({},),
+    k: int = 10,
+    parallelism: int = 8,
+) -> DataFrame:
+    """Accuracy per parameter combination and fold: (params, fold, rows, accuracy).
+
+    Each fold is fitted on the rows of the others; ``fold`` is an ordinary column, so
+    the parts are plain filters. Fits run side by side as separate Spark jobs.
+    """
+
+    def run(task: tuple[dict, int]) -> DataFrame:
+        params, fold = task
+        model = estimator.fit(df.where(F.col("fold") != fold), params)
+        name = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda i: i[0].name))
+        return model.transform(df.where(F.col("fold") == fold)).agg(
+            F.lit(name).alias("params"),
+            F.lit(fold).alias("fold"),
+            F.count(F.lit(1)).alias("rows"),
+            accuracy(F.col("label"), F.col("prediction")).alias("accuracy"),
+        )
+
+    tasks = [(params, fold) for params in grid for fold in range(k)]
+    with ThreadPool(parallelism) as pool:
+        results = pool.map(run, tasks)
+    return reduce(DataFrame.unionByName, results)
 
 
 def project_2d(df: DataFrame, vector: str) -> DataFrame:

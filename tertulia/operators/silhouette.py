@@ -170,7 +170,11 @@ def overall(scores: DataFrame, subset: str = "subset") -> DataFrame:
                     F.col("mean_avg").alias("avg_silhouette_score"),
                     F.col("mean_std").alias("std_silhouette_score"),
                 ),
-                F.struct(F.lit("last subset"), "last_avg", "last_std"),
+                F.struct(
+                    F.lit("last subset").alias("figure"),
+                    F.col("last_avg").alias("avg_silhouette_score"),
+                    F.col("last_std").alias("std_silhouette_score"),
+                ),
             )
         )
     )
