@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tertulia.operators.distribution import value_histogram
+from tertulia.operators.distribution import quantiles, value_histogram
 
 
 def mean_and_std(
@@ -102,13 +102,11 @@ def category_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
 
 def five_numbers(df: DataFrame, by: str, column: str, buckets: int | None = None) -> DataFrame:
     """Minimum, quartiles and maximum per group (linear interpolation)."""
-    from tertulia.operators.distribution import quantiles
-
-    hist = value_histogram(df, [by], column)
+    hist = value_histogram(df.select(by, F.col(column).alias("_value")), [by], "_value")
     return quantiles(
         hist,
         [by],
         {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0},
-        column,
+        "_value",
         buckets=buckets,
     )

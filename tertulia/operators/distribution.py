@@ -128,8 +128,9 @@ def at_or_above_quantile(
     df: DataFrame, column: str, q: float, buckets: int | None = None
 ) -> DataFrame:
     """Rows whose ``column`` reaches its nearest-rank quantile over the whole frame."""
-    hist = value_histogram(df.withColumn("_all", F.lit(1)), ["_all"], column)
-    cut = quantiles(hist, ["_all"], {"_cut": q}, column, method="nearest", buckets=buckets)
+    values = df.select(F.lit(1).alias("_all"), F.col(column).alias("_value"))
+    hist = value_histogram(values, ["_all"], "_value")
+    cut = quantiles(hist, ["_all"], {"_cut": q}, "_value", method="nearest", buckets=buckets)
     # one row by construction, hence the broadcast
     return df.join(
         F.broadcast(cut.select("_cut")), F.col(column).cast("double") >= F.col("_cut")
