@@ -16,7 +16,7 @@ from tertulia.catalog.tables import (
 from tertulia.functions.text import word_count
 from tertulia.operators.aggregate import category_codes, five_numbers
 from tertulia.operators.correlation import correlations
-from tertulia.operators.distribution import at_or_above_quantile
+from tertulia.operators.distribution import AUTO, at_or_above_quantile
 from tertulia.plans import length
 
 
@@ -99,7 +99,7 @@ SELECT doc_id, n_chars FROM documents WHERE n_chars >= (SELECT v FROM cut)""",
 def documents_above_quantile(spark: SparkSession, folder: str) -> DataFrame:
     """The quantile over raw rows, with values cut into ordered buckets."""
     docs = table(spark, folder, "documents").select("doc_id", "n_chars")
-    return at_or_above_quantile(docs, "n_chars", 0.95, buckets=50)
+    return at_or_above_quantile(docs, "n_chars", 0.95, buckets=AUTO)
 
 
 def _correlation_sql(source: str, x: str, y: str) -> str:
@@ -132,7 +132,7 @@ def turn_length_correlations(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select(
         "turn", word_count(F.col("text")).alias("words")
     )
-    return rounded(correlations(turns, "turn", "words", buckets=50))
+    return rounded(correlations(turns, "turn", "words"))
 
 
 def _five_sql(source: str, by: str, column: str) -> str:
@@ -153,7 +153,7 @@ def five_number_summary(spark: SparkSession, folder: str) -> DataFrame:
 def five_numbers_of_events(spark: SparkSession, folder: str) -> DataFrame:
     """Quantiles of a column with nearly as many values as rows."""
     events = table(spark, folder, "events").select("event_type", "value")
-    return five_numbers(events, "event_type", "value", buckets=50)
+    return five_numbers(events, "event_type", "value", buckets=AUTO)
 
 
 @query(

@@ -49,14 +49,14 @@ def _digest_sql(lines: str = _LINES) -> str:
 
 # both raw sources with one row per conversation, and per message
 _BOTH_SQL = f"""both_sources AS (
-  SELECT md5(CAST(doc_id AS VARCHAR)) AS conversation_hash, 'model-a' AS model, text, n_chars,
-         n_chars % 2 = 0 AS redacted, {LANG_SQL} AS language FROM documents
+  SELECT md5(CAST(doc_id AS VARCHAR)) AS conversation_hash, 'model-a' AS model, text,
+         contains(text, '@') AS redacted, {LANG_SQL} AS language FROM documents
   UNION ALL
-  SELECT md5(concat('b', CAST(item_id AS VARCHAR))), 'model-b', text, length(text), false, 'Esperanto'
+  SELECT md5(concat('b', CAST(item_id AS VARCHAR))), 'model-b', text, false, 'Esperanto'
   FROM benchmark
 ),
 states AS (
-  SELECT *, CASE WHEN n_chars % 11 = 0 THEN 'invalid' WHEN n_chars % 7 = 0 THEN 'null_score'
+  SELECT *, CASE WHEN contains(text, '@') THEN 'invalid' WHEN contains(text, '0') THEN 'null_score'
                  ELSE 'ok' END AS state
   FROM both_sources
 ),

@@ -80,7 +80,7 @@ def _chi2_sql(min_expected: int) -> str:
     dof = "greatest((groups - 1) * 2, 0)"
     return f"""WITH {_tested_sql(min_expected)}
 SELECT round(statistic, 6) AS statistic, CAST({dof} AS BIGINT) AS dof,
-       round({chi2_sf_sql("statistic", dof)}, 9) AS p_value,
+       CASE WHEN groups > 0 THEN round({chi2_sf_sql("statistic", dof)}, 9) END AS p_value,
        CASE WHEN groups > 1 THEN round(sqrt(statistic / observations / least(groups - 1, 2)), 6) END AS cramers_v,
        groups, observations
 FROM test"""

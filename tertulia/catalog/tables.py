@@ -70,15 +70,16 @@ ENTRY = _moderation(
       'flagged', s[0] > 0.1)"""
 )
 
-# an entry as delivered: an unknown category, some null scores, some missing maps
+# an entry as delivered: an unknown category, a null score for texts with a zero,
+# no maps at all for texts with an @
 RAW_ENTRY = _moderation(
     f"""named_struct(
-      'categories', IF(i = 0 AND n_chars % 11 = 0, NULL,
+      'categories', IF(contains(m.content, '@'), NULL,
         map_from_arrays({_NAMES}, transform(s, x -> x > 0.1))),
-      'category_scores', IF(i = 0 AND n_chars % 11 = 0, NULL,
+      'category_scores', IF(contains(m.content, '@'), NULL,
         transform_values(
           map_concat(map_from_arrays({_NAMES}, s), map('{UNKNOWN_CATEGORY}', 0D)),
-          (k, v) -> IF(i = 0 AND n_chars % 7 = 0 AND k = 'hate', NULL, v))),
+          (k, v) -> IF(k = 'hate' AND contains(m.content, '0'), NULL, v))),
       'flagged', s[0] > 0.1)"""
 )
 
@@ -95,13 +96,13 @@ def documents_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return nested.withColumn("openai_moderation", F.expr(f"transform(conversation, m -> {ENTRY})"))
 
 
-RAW_MODERATION = f"transform(conversation, (m, i) -> {RAW_ENTRY})"
+RAW_MODERATION = f"transform(conversation, m -> {RAW_ENTRY})"
 
 
 def first_source(spark: SparkSession, folder: str) -> DataFrame:
     """Raw table with the columns of the first source, from ``documents``."""
-    docs = texts(spark, folder, "documents", "doc_id", "lang", "text", "n_chars").select(
-        "n_chars",
+    docs = texts(spark, folder, "documents", "doc_id", "lang", "text").select(
+        F.contains("text", F.lit("@")).alias("redacted"),
         hash_of("doc_id").alias("conversation_hash"),
         F.lit("model-a").alias("model"),
         F.to_timestamp(F.lit("2024-01-01")).alias("timestamp"),
@@ -120,13 +121,12 @@ def first_source(spark: SparkSession, folder: str) -> DataFrame:
             "openai_moderation": F.expr(RAW_MODERATION),
             "detoxify_moderation": F.lit(None).cast("string"),
             "toxic": F.lit(False),
-            "redacted": F.col("n_chars") % 2 == 0,
             "state": F.lit("s"),
             "country": F.lit("c"),
             "hashed_ip": F.lit("i"),
             "header": F.lit("h"),
         }
-    ).drop("n_chars")
+    )
 
 
 def second_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +138,6 @@ def second_source(spark: SparkSession, folder: str) -> DataFrame:
         F.md5(F.concat(F.lit("b"), F.col("item_id").cast("string"))).alias("conversation_id"),
         F.lit("model-b").alias("model"),
         lines_as_messages(F.col("text")).alias("conversation"),
-        F.length("text").alias("n_chars"),
         F.lit("Esperanto").alias("language"),
         F.lit(False).alias("redacted"),
     )
@@ -148,7 +147,7 @@ def second_source(spark: SparkSession, folder: str) -> DataFrame:
             "turn": F.floor((size + 1) / 2).cast("long"),
             "openai_moderation": F.expr(RAW_MODERATION),
         }
-    ).drop("n_chars")
+    )
 
 
 def languages(spark: SparkSession, folder: str) -> DataFrame:

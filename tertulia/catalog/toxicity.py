@@ -19,6 +19,7 @@ from tertulia.catalog.tables import (
 from tertulia.operators.charts import density, score_histogram, violin
 from tertulia.operators.classify import project_2d
 from tertulia.operators.columns import analysis_names
+from tertulia.operators.distribution import AUTO
 from tertulia.operators.messages import message_scores, message_vectors, vectors_of_role
 from tertulia.operators.ranktests import (
     dunn,
@@ -249,7 +250,7 @@ _EVENTS_SQL = _tests_of("events", "event_type", "value")
 
 def _event_sums(spark: SparkSession, folder: str) -> DataFrame:
     long = long_measures(table(spark, folder, "events"), "event_type", ["value"])
-    return rank_sums(ranked_histogram(long, "event_type", buckets=50), "event_type")
+    return rank_sums(ranked_histogram(long, "event_type"), "event_type")
 
 
 @query(
@@ -313,7 +314,7 @@ FROM scored WHERE role = '{role}' GROUP BY lang"""
 def _violin(role: str, measure: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         messages = scored(spark, folder).where(F.col("role") == role)
-        return rounded(violin(messages, "lang", measure, buckets=50), 9)
+        return rounded(violin(messages, "lang", measure, buckets=AUTO), 9)
 
     return run
 

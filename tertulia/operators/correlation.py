@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.functions.tails import student_t_two_sided
-from tertulia.operators.distribution import BUCKETS, mid_rank, running_counts
+from tertulia.operators.distribution import AUTO, mid_rank, running_counts
 
 
 def _p_value(r: Column, n: Column) -> Column:
@@ -37,7 +37,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def spearman(df: DataFrame, x: str, y: str, buckets: int | None = BUCKETS) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, buckets: int | None = AUTO) -> DataFrame:
     """One row: rank correlation with mid-ranks for ties, p-value and number of rows.
 
     Rows are first reduced to distinct (x, y) with a count, so a value shared by
@@ -87,5 +87,5 @@ def spearman(df: DataFrame, x: str, y: str, buckets: int | None = BUCKETS) -> Da
     )
 
 
-def correlations(df: DataFrame, x: str, y: str, buckets: int | None = BUCKETS) -> DataFrame:
+def correlations(df: DataFrame, x: str, y: str, buckets: int | None = AUTO) -> DataFrame:
     return pearson(df, x, y).unionByName(spearman(df, x, y, buckets))

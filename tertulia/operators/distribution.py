@@ -8,11 +8,19 @@ buckets whose totals give offsets, so no task sees all values of a measure.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 200
+AUTO = -1
+
+
+def bucket_count(df: DataFrame, buckets: int) -> int:
+    """``AUTO`` means one bucket per shuffle partition, so that it grows with the cluster."""
+    if buckets != AUTO:
+        return max(buckets, 1)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32)
 
 
 def value_histogram(
@@ -28,13 +36,14 @@ def running_counts(
     by: Sequence[str],
     value: str = "value",
     count: str = "n",
-    buckets: int | None = BUCKETS,
+    buckets: int | None = AUTO,
 ) -> DataFrame:
     """Add ``ties`` (rows with this value), ``upto`` (rows with this value or less) and
     ``size`` (all rows), each per ``by``.
 
     Rows of ``hist`` that share ``by`` and value (such as one per language) tie.
-    ``buckets=None`` states that each ``by`` has few distinct values.
+    ``buckets=None`` states that each ``by`` has few distinct values; otherwise a task
+    sees about a ``buckets``-th of the distinct values of one ``by``.
     """
     by = list(by)
     if buckets is None:
@@ -43,19 +52,35 @@ def running_counts(
         size = F.sum(count).over(Window.partitionBy(*by))
         return hist.withColumns({"upto": upto, "ties": ties, "size": size})
 
-    cuts = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    v = F.col(value).cast("double")
+    size = bucket_count(hist, buckets)
+    stride = math.isqrt(size) + 1
+    cuts = ", ".join(f"{i / size}D" for i in range(1, size)) or "0.5D"
     # the filter is always true: reading the count keeps the histogram the same in every
     # branch of the plan, so that its shuffle is done once and reused
-    bounds = hist.groupBy(*by).agg(
-        F.expr(
-            f"percentile_approx(CAST(`{value}` AS DOUBLE), array({cuts}), 10000) "
-            f"FILTER (WHERE `{count}` > 0) AS _bounds"
+    bounds = (
+        hist.groupBy(*by)
+        .agg(
+            F.expr(
+                f"percentile_approx(CAST(`{value}` AS DOUBLE), array({cuts}), {max(10000, 20 * size)}) "
+                f"FILTER (WHERE `{count}` > 0) AS _bounds"
+            )
+        )
+        .withColumn("_coarse", F.expr(f"filter(_bounds, (b, i) -> (i + 1) % {stride} = 0)"))
+    )
+    # bounds below the value, counted in steps of ``stride`` first, then within one step
+    steps = f"size(filter(_coarse, b -> b < CAST(`{value}` AS DOUBLE))) * {stride}"
+    placed = (
+        _join(hist, bounds, by)
+        .withColumn("_step", F.expr(steps))
+        .withColumn(
+            "_bucket",
+            F.expr(
+                f"_step + size(filter(slice(_bounds, _step + 1, {stride}), "
+                f"b -> b < CAST(`{value}` AS DOUBLE)))"
+            ),
         )
+        .drop("_bounds", "_coarse", "_step")
     )
-    placed = _join(hist, bounds, by).withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < v))
-    ).drop("_bounds")
     totals = placed.groupBy(*by, "_bucket").agg(F.sum(count).alias("_total"))
     offsets = totals.select(
         *by,
@@ -98,7 +123,7 @@ def quantiles(
     value: str = "value",
     count: str = "n",
     method: str = "linear",
-    buckets: int | None = BUCKETS,
+    buckets: int | None = AUTO,
 ) -> DataFrame:
     """Exact quantiles per group, one column per entry of ``probabilities``.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tertulia.functions.arrays import message
+from tertulia.functions.arrays import let, message
 from tertulia.functions.text import word_count
 from tertulia.operators.columns import without
 from tertulia.schema import CATEGORIES, CORPUS, LANGUAGE_REGIONS
@@ -37,7 +37,16 @@ def harmonise(df: DataFrame, renames: dict[str, str] | None = None) -> DataFrame
     """Bring one raw source to the corpus columns and order."""
     df = without(df, *UNUSED_COLUMNS).withColumnsRenamed(renames or {})
     df = df.withColumn("conversation", slim_messages(F.col("conversation")))
-    return df.select([F.col(f.name).cast(f.dataType) for f in CORPUS.fields])
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    # a cast of a nested column copies it element by element, even if only nullability differs
+    return df.select(
+        [
+            F.col(f.name)
+            if types[f.name] == f.dataType.simpleString()
+            else F.col(f.name).cast(f.dataType).alias(f.name)
+            for f in CORPUS.fields
+        ]
+    )
 
 
 def union_sources(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -95,16 +104,22 @@ def scores_complete(moderation: Column) -> Column:
 
 def moderation_state(moderation: Column) -> Column:
     """``invalid`` (a map is missing), ``null_score`` or ``ok``: why a row is kept or not."""
-    return (
-        F.when(moderation.isNull() | _moderation_broken(moderation), "invalid")
-        .when(~scores_complete(moderation), "null_score")
-        .otherwise("ok")
-    )
+
+    def state(entries: Column) -> Column:
+        return (
+            F.when(entries.isNull() | _moderation_broken(entries), "invalid")
+            .when(~scores_complete(entries), "null_score")
+            .otherwise("ok")
+        )
+
+    return let(moderation, state)
 
 
 def clean_moderation(df: DataFrame) -> DataFrame:
     """Keep rows with usable scores, reduced to the known categories."""
-    return df.where(moderation_state(F.col("openai_moderation")) == "ok").withColumn(
+    # null-safe equality: a plain one makes the optimizer test the state for null as well,
+    # which evaluates it twice
+    return df.where(moderation_state(F.col("openai_moderation")).eqNullSafe("ok")).withColumn(
         "openai_moderation", _reduced(F.col("openai_moderation"))
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tertulia.functions.numeric import round_half_away
 from tertulia.functions.tails import chi2_sf, normal_two_sided
-from tertulia.operators.distribution import BUCKETS, mid_rank, running_counts, value_histogram
+from tertulia.operators.distribution import AUTO, mid_rank, running_counts, value_histogram
 
 
 def long_measures(
@@ -22,7 +22,7 @@ def long_measures(
 
 
 def ranked_histogram(
-    long: DataFrame, group: str, buckets: int | None = BUCKETS
+    long: DataFrame, group: str, buckets: int | None = AUTO
 ) -> DataFrame:
     """(measure, group, value, n) with the mid-rank of the value within its measure."""
     hist = value_histogram(long, ["measure", group])
