@@ -48,7 +48,8 @@ _ROUND_2 = "sign(value) * floor(abs(value) * 100 + 0.5) / 100"
 @query(
     "message_scores",
     f"""WITH {SCORED_SQL}
-SELECT conversation_hash, lang, position, role, length(content) AS chars, {", ".join(
+SELECT conversation_hash, lang, CAST(position AS INTEGER) AS position, role,
+       CAST(length(content) AS INTEGER) AS chars, {", ".join(
     f'round("{m}", 9) AS "{m}"' for m in MEASURES
 )} FROM scored""",
 )

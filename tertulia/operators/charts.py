@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tertulia.operators.distribution import quantiles, value_histogram
+from tertulia.operators.distribution import quantiles, stored, value_histogram
 
 
 def log_bars(counts: DataFrame, count: str) -> DataFrame:
@@ -23,6 +23,8 @@ def score_histogram(df: DataFrame, by: Sequence[str], value: str, width: float =
 def violin(df: DataFrame, by: str, value: str, buckets: int | None = None) -> DataFrame:
     """Rows, extremes, median and mean per group."""
     hist = value_histogram(df, [by], value)
+    if buckets is not None:
+        hist = stored(hist)
     middle = quantiles(hist, [by], {"median": 0.5}, value, buckets=buckets)
     n, v = F.col("n").cast("double"), F.col(value).cast("double")
     rest = hist.groupBy(F.col(by).alias("_by")).agg(
@@ -39,21 +41,24 @@ def density(df: DataFrame, by: str, value: str, points: int = 100) -> DataFrame:
 
     The bandwidth is the deviation times n**(-1/5). Distinct values with counts
     stand in for rows, and each contributes once per grid point, so the work is
-    linear in distinct values. A group without spread has no density.
+    linear in distinct values; round a continuous score first. A group without spread
+    has no density.
     """
-    hist = value_histogram(df, [by], value)
+    hist = stored(value_histogram(df, [by], value))
     n, v = F.col("n").cast("double"), F.col(value).cast("double")
-    stats = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(F.col(by).alias("_by"))
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("_rows"),
-            F.min(F.col(value).cast("double")).alias("_min"),
-            F.max(F.col(value).cast("double")).alias("_max"),
-            F.stddev_samp(F.col(value).cast("double")).alias("_std"),
-        )
-        .where(F.col("_std") > 0)
-        .withColumn("_h", F.col("_std") * F.pow(F.col("_rows"), F.lit(-0.2)))
+    moments = hist.groupBy(F.col(by).alias("_by")).agg(
+        F.sum(n).alias("_rows"),
+        F.min(v).alias("_min"),
+        F.max(v).alias("_max"),
+        F.sum(n * v).alias("_sum"),
+        F.sum(n * v * v).alias("_squares"),
+    )
+    rows = F.col("_rows")
+    spread = F.try_divide(F.col("_squares") - F.col("_sum") * F.col("_sum") / rows, rows - 1)
+    stats = stored(
+        moments.where(F.col("_max") > F.col("_min"))
+        .withColumn("_h", F.sqrt(spread) * F.pow(rows, F.lit(-0.2)))
+        .drop("_sum", "_squares")
     )
     grid = (
         hist.join(stats, F.col(by).eqNullSafe(F.col("_by")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.functions.tails import student_t_two_sided
-from tertulia.operators.distribution import AUTO, mid_rank, running_counts
+from tertulia.operators.distribution import AUTO, mid_rank, running_counts, stored
 
 
 def _p_value(r: Column, n: Column) -> Column:
@@ -44,6 +44,8 @@ def spearman(df: DataFrame, x: str, y: str, buckets: int | None = AUTO) -> DataF
     many rows is one row (per partner value) before it is joined to its rank.
     """
     pairs = _both_known(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    if buckets is not None:
+        pairs = stored(pairs)  # read three times below
     hist = (
         pairs.select(
             F.inline(

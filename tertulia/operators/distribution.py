@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tertulia.sources.corpus import materialise
+
 AUTO = -1
 
 
@@ -23,6 +25,11 @@ def bucket_count(df: DataFrame, buckets: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A small or expensive intermediate, written once."""
+    return materialise(df, "distribution")
+
+
 def value_histogram(
     df: DataFrame, by: Sequence[str], value: str = "value", count: str = "n"
 ) -> DataFrame:
@@ -43,7 +50,10 @@ def running_counts(
 
     Rows of ``hist`` that share ``by`` and value (such as one per language) tie.
     ``buckets=None`` states that each ``by`` has few distinct values; otherwise a task
-    sees about a ``buckets``-th of the distinct values of one ``by``.
+    sees about a ``buckets``-th of the distinct values of one ``by``. The histogram and
+    the two small tables joined to it are then written to the shared folder: the source
+    is scanned once, and the joins are planned from known sizes, so the histogram is
+    not shuffled by ``by`` alone, where one group may hold most of it.
     """
     by = list(by)
     if buckets is None:
@@ -52,19 +62,14 @@ def running_counts(
         size = F.sum(count).over(Window.partitionBy(*by))
         return hist.withColumns({"upto": upto, "ties": ties, "size": size})
 
+    hist = stored(hist)
     size = bucket_count(hist, buckets)
     stride = math.isqrt(size) + 1
     cuts = ", ".join(f"{i / size}D" for i in range(1, size)) or "0.5D"
-    # the filter is always true: reading the count keeps the histogram the same in every
-    # branch of the plan, so that its shuffle is done once and reused
-    bounds = (
+    sketch = f"percentile_approx(CAST(`{value}` AS DOUBLE), array({cuts}), {max(10000, 20 * size)})"
+    bounds = stored(
         hist.groupBy(*by)
-        .agg(
-            F.expr(
-                f"percentile_approx(CAST(`{value}` AS DOUBLE), array({cuts}), {max(10000, 20 * size)}) "
-                f"FILTER (WHERE `{count}` > 0) AS _bounds"
-            )
-        )
+        .agg(F.expr(f"{sketch} AS _bounds"))
         .withColumn("_coarse", F.expr(f"filter(_bounds, (b, i) -> (i + 1) % {stride} = 0)"))
     )
     # bounds below the value, counted in steps of ``stride`` first, then within one step
@@ -90,6 +95,7 @@ def running_counts(
         ).alias("_offset"),
         F.sum("_total").over(Window.partitionBy(*by)).alias("size"),
     )
+    offsets = stored(offsets)
     # both windows share the shuffle on (by, bucket)
     upto = F.sum(count).over(Window.partitionBy(*by, "_bucket").orderBy(value))
     ties = F.sum(count).over(Window.partitionBy(*by, "_bucket", value))

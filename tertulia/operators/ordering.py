@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tertulia.sources.corpus import materialise
+
 
 def shuffle_key(key: Column, seed: int = 42) -> Column:
     """Hex digest that orders rows pseudo-randomly."""
@@ -56,7 +58,9 @@ def cap_per_group(
     finds the range that reaches ``n``; rows beyond it are dropped where they are
     read, so a group holding a third of the table sends only about ``n`` rows. What
     is left is ranked twice, first within ``spread`` parts of each group, so that even
-    many copies of one key are never sorted by one task.
+    many copies of one key are never sorted by one task. The limits (one row per group)
+    are written to the shared folder when this is called: their size is then known, and
+    a small one is broadcast instead of shuffling the table by group.
     """
     keyed = df.withColumn("_key", shuffle_key(key, seed)).withColumn(
         "_range", F.left("_key", F.lit(4))
@@ -68,10 +72,11 @@ def cap_per_group(
     )
     running = F.sum("count").over(Window.partitionBy(group).orderBy("_range"))
     # last range still needed: the first one at which the running count reaches n
-    limits = (
+    limits = materialise(
         ranges.withColumn("_running", running)
         .groupBy(F.col(group).alias("_group"))
-        .agg(F.min(F.when(F.col("_running") >= n, F.col("_range"))).alias("_last"))
+        .agg(F.min(F.when(F.col("_running") >= n, F.col("_range"))).alias("_last")),
+        "limits",
     )
     near = keyed.join(limits, F.col(group).eqNullSafe(F.col("_group")), "inner").where(
         F.col("_last").isNull() | (F.col("_range") <= F.col("_last"))
