@@ -9,6 +9,7 @@ from tertulia.catalog.tables import (
     LANG_SQL,
     MEASURED_SQL,
     conversation_measures,
+    languages,
     t_two_sided_sql,
     table,
     words_sql,
@@ -164,6 +165,4 @@ SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS index,
 FROM langs""",
 )
 def language_codes(spark: SparkSession, folder: str) -> DataFrame:
-    from tertulia.catalog.tables import languages
-
     return category_codes(languages(spark, folder), "lang")

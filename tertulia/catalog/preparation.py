@@ -25,7 +25,13 @@ from tertulia.functions.text import word_count
 from tertulia.operators.columns import analysis_names, decode, ensure_column, region, without
 from tertulia.operators.messages import triples
 from tertulia.operators.ordering import cap_per_group, positions
-from tertulia.operators.prepare import add_lengths, clean_moderation, european, moderation_state
+from tertulia.operators.prepare import (
+    add_lengths,
+    clean_moderation,
+    european,
+    moderation_state,
+    opens_with_user,
+)
 from tertulia.plans.preparation import corpus, prepared, prepared_european
 from tertulia.schema import CATEGORIES, LANGUAGE_REGIONS
 from tertulia.sources.corpus import materialise
@@ -194,8 +200,6 @@ FROM msg WHERE position = 0 GROUP BY lang""",
 )
 def opening_message_rule(spark: SparkSession, folder: str) -> DataFrame:
     """How many conversations of each language pass the opening rule."""
-    from tertulia.operators.prepare import opens_with_user
-
     df = analysis_names(documents_corpus(spark, folder))
     ok = opens_with_user(F.col("conversation"))
     return df.groupBy("lang").agg(

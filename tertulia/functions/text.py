@@ -58,8 +58,3 @@ def after_last_marker(text: Column, marker: str = "English:") -> Column:
 def translation_prompt(language: Column, text: Column, max_chars: int = 200) -> Column:
     """Prompt ``<language>: <start of the text> English:`` for one message."""
     return F.concat(language, F.lit(": "), F.left(text, F.lit(max_chars)), F.lit(" English:"))
-
-
-def file_label(name: Column) -> Column:
-    """Category name usable in a file name."""
-    return F.replace(name, F.lit("/"), F.lit("_"))

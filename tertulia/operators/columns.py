@@ -36,8 +36,7 @@ def analysis_names(df: DataFrame) -> DataFrame:
 
 def region(language: Column) -> Column:
     """Region of a language as a literal map lookup, null for other languages."""
-    pairs = [F.lit(x) for pair in LANGUAGE_REGIONS.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), language)
+    return decode(language, LANGUAGE_REGIONS)
 
 
 def decode(value: Column, mapping: dict) -> Column:

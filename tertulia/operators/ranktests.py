@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tertulia.functions.numeric import round_half_away
 from tertulia.functions.tails import chi2_sf, normal_two_sided
-from tertulia.operators.distribution import AUTO, mid_rank, running_counts, value_histogram
+from tertulia.operators.distribution import AUTO, mid_rank, running_counts, stored, value_histogram
 
 
 def long_measures(
@@ -66,8 +66,11 @@ def kruskal_wallis(sums: DataFrame, group: str) -> DataFrame:
 def dunn(sums: DataFrame, group: str, alpha: float = 0.05) -> DataFrame:
     """Dunn's z and Bonferroni-adjusted p for every two groups of each measure.
 
-    The self-join runs over one row per measure and group, not over raw rows.
+    The self-join runs over one row per measure and group, not over raw rows. These
+    rows are written first: three branches read them, and the filters a join pushes
+    into each would otherwise make every branch scan the source again.
     """
+    sums = stored(sums)
     totals = sums.groupBy("measure").agg(
         F.sum("n").cast("double").alias("total"),
         F.count(F.lit(1)).alias("groups"),

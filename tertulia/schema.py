@@ -112,13 +112,6 @@ MODERATION = T.StructType(
     ]
 )
 
-LABEL_SCORE = T.StructType(
-    [
-        T.StructField("label", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
-
 CORPUS = T.StructType(
     [
         T.StructField("conversation_hash", T.StringType()),
