@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, functions as F, types as T
 
+from tertulia.functions.arrays import let
 from tertulia.functions.text import occurrences
 
 MakePredict = Callable[[], Callable[[np.ndarray], np.ndarray]]
@@ -45,15 +46,14 @@ def batch_scores(make_predict_fn: MakePredict, text: Column, batch_size: int = 1
 
 def labelled(scores: Column, labels: list[str]) -> Column:
     """Score vector as ``array<struct<label, score>>`` in the order of ``labels``."""
-    return F.when(
-        scores.isNotNull(),
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("label"), F.get(scores, F.lit(i)).alias("score"))
-                for i, name in enumerate(labels)
-            ]
-        ),
-    )
+    def pairs(vector: Column) -> Column:
+        entries = [
+            F.struct(F.lit(name).alias("label"), F.get(vector, F.lit(i)).alias("score"))
+            for i, name in enumerate(labels)
+        ]
+        return F.when(vector.isNotNull(), F.array(*entries))
+
+    return let(scores, pairs)
 
 
 def label_score(scores: Column, label: str) -> Column:
@@ -74,5 +74,8 @@ def letter_sentiment() -> Callable[[np.ndarray], np.ndarray]:
 def letter_sentiment_scores(text: Column) -> Column:
     """The same stand-in as a native expression, for jobs that need no model worker."""
     hits = [(occurrences(text, c) + 1).cast("double") for c in "ean"]
-    total = hits[0] + hits[1] + hits[2]
-    return F.when(text.isNotNull(), F.array(*[h / total for h in hits]))
+    shares = let(
+        F.array(*hits),
+        lambda h: F.transform(h, lambda x: x / (F.get(h, F.lit(0)) + F.get(h, F.lit(1)) + F.get(h, F.lit(2)))),
+    )
+    return F.when(text.isNotNull(), shares)
