@@ -26,15 +26,23 @@ def local_session(cores: int | str = "*", app: str = "tertulia", memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the one given to
+    ``setCheckpointDir``.
 
-    A machine-local folder is used only where the setting is missing, as in tests.
+    A machine-local folder is used only by a local master without either setting, as in
+    tests; on a cluster the call fails instead of writing where others cannot read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tertulia-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder:
+        return folder
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="tertulia-")
+    context.setCheckpointDir(folder)
     return folder
 
 
