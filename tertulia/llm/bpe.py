@@ -7,8 +7,8 @@ something else, which no pre-token spans; such pieces are remembered by each wor
 in a table of bounded size.
 
 Every byte value must be a token of its own. A null text counts as empty and gives no
-ids; repeated rows are encoded each; extra columns stay, and an output name that the
-input has already is refused.
+ids; repeated rows are encoded each; extra columns stay, but for those that have the name
+of an output, which are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, types as T
 
+from tertulia.llm.store import with_computed
 from tertulia.llm.words import buffers, runs
 
 REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
@@ -217,37 +218,33 @@ def encoded(
     vocabulary: dict,
     text: str = "text",
     ids: str = "ids",
-    decoded: str | None = "decoded",
+    decoded: str = "decoded",
 ) -> DataFrame:
     """Adds the ids of each text, and the bytes that decoding these ids gives back.
 
-    The text column itself is dropped; what it held is in ``decoded`` (left out for None).
+    The text column is dropped; ``decoded`` holds what it held.
     """
-    added = [c for c in (ids, decoded) if c]
-    if set(added) & {c for c in docs.columns if c != text}:
-        raise ValueError(f"the input has a column {added} already")
-    kept = [c for c in docs.columns if c != text]
-    schema = T.StructType([f for f in docs.schema if f.name != text])
-    schema = schema.add(ids, T.ArrayType(T.IntegerType(), False))
-    if decoded:
-        schema = schema.add(decoded, T.BinaryType())
+    fields = [
+        T.StructField(ids, T.ArrayType(T.IntegerType(), False)),
+        T.StructField(decoded, T.BinaryType()),
+    ]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         v = shared.value
         encode = encoder(v)
-        for batch in batches:
-            column = batch.column(text)
+        kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
+
+        def compute(column: pa.Array) -> Iterator[list[pa.Array]]:
             _, offsets = buffers(column)
             for first, last in runs(offsets, 2 << 20):
-                rows = [encode(t) if t else b"" for t in column.slice(first, last - first).to_pylist()]
-                cuts = np.cumsum([0, *map(len, rows)]) // 4
+                texts = column.slice(first, last - first).to_pylist()
+                rows = [encode(t) if t else b"" for t in texts]
+                cuts = pa.array(np.cumsum([0, *map(len, rows)]) // 4, pa.int32())
                 flat = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
-                out = [batch.column(c).slice(first, last - first) for c in kept]
-                item = pa.field("element", pa.int32(), nullable=False)
-                out.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat, pa.list_(item)))
-                if decoded:
-                    out.append(pa.array([decode(np.frombuffer(r, dtype="<i4"), v) for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=[*kept, *added])
-
-    return docs.mapInArrow(work, schema)
+                back = [decode(np.frombuffer(r, dtype="<i4"), v) for r in rows]
+                yield [pa.ListArray.from_arrays(cuts, flat, kind), pa.array(back, pa.binary())]
+
+        return compute
+
+    return with_computed(docs, text, fields, make, drop=(text,))

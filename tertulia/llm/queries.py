@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.llm.bpe import encoded, read_ranks, vocabulary
-from tertulia.llm.store import table
+from tertulia.llm.classify import fit_language, fit_quality, with_language, with_quality
+from tertulia.llm.store import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +49,26 @@ def token_digests(docs: DataFrame) -> DataFrame:
 def bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded by byte-level BPE."""
     return token_digests(table(spark, folder, "documents"))
+
+
+@query("op3_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by a byte network that learned from four folds of five."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    return with_quality(docs, fit_quality(docs, labels)).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_language")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by a byte network that learned from three folds of four."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    fitted = fit_language(docs.where(fold(F.col("doc_id"), 4) != 2))
+    return with_language(docs.drop("lang"), fitted).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )

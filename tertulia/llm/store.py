@@ -1,8 +1,11 @@
-"""Written intermediates and small column helpers of the operators."""
+"""Written intermediates and column helpers of the operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tertulia.session import new_path
 
@@ -26,6 +29,49 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread_scan(df: DataFrame, *columns: str) -> DataFrame:
-    """Just the named columns, so that the scan reads no other."""
-    return df.select(*columns)
+def others(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """Columns not named (in any case) in ``names``."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The frame with ``columns`` at its end; columns of the same name, in any case, go."""
+    return df.select(
+        *(F.col(f"`{c}`") for c in others(df, columns)), *(v.alias(k) for k, v in columns.items())
+    )
+
+
+Compute = Callable[[pa.Array], Iterator[list[pa.Array]]]
+
+
+def with_computed(
+    df: DataFrame,
+    source: str,
+    fields: list[T.StructField],
+    make: Callable[[], Compute],
+    drop: tuple[str, ...] = (),
+) -> DataFrame:
+    """Adds columns that NumPy code computes from one column, batch by batch.
+
+    ``make`` is called once per task. The function it returns turns an Arrow array into
+    lists of new arrays that together cover its rows in order. A column of the input that
+    has the name of a new one (in any case) is replaced.
+    """
+    kept = others(df, [*(f.name for f in fields), *drop])
+    by_name = dict(zip(df.columns, df.schema, strict=True))
+    schema = T.StructType([*(by_name[c] for c in kept), *fields])
+    frame = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{source}`").alias("__source"))
+    names = schema.names
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            at = 0
+            for arrays in compute(batch.column(len(kept))):
+                n = len(arrays[0])
+                left = [batch.column(i).slice(at, n) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*left, *arrays], names=names)
+                at += n
+
+    return frame.mapInArrow(work, schema)
