@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.llm.bpe import encoded, read_ranks, vocabulary
 from tertulia.llm.classify import fit_language, fit_quality, with_language, with_quality
+from tertulia.llm.neardup import near_duplicates
 from tertulia.llm.store import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,9 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return with_language(docs.drop("lang"), fitted).select(
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op7_minhash")
+def minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate documents: components of links at 85 in 100 shared shingles."""
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
