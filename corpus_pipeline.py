@@ -1,4 +1,66 @@
-"""Placeholder."""
+"""A corpus pipeline over ``documents``: each stage keeps what the next one works on.
+
+Every stage is written as Parquet to the shared folder and read again. All stages but the
+last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tertulia.llm.classify import UNKNOWN, fit_language, fit_quality, with_language, with_quality
+from tertulia.llm.contamination import without_contaminated
+from tertulia.llm.neardup import without_near_duplicates
+from tertulia.llm.queries import token_digests
+from tertulia.llm.store import fold, others, table, written
+
+LEAST_LANGUAGE, LEAST_QUALITY = 0.25, 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is known; mixtures of two languages stay."""
+    fitted = fit_language(docs.where(fold(F.col("doc_id"), 4) != 2))
+    found = with_language(docs, fitted, language="__lang", score="__score")
+    known = (F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)
+    return found.where(known).select(*others(docs, ()))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of quality."""
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    found = with_quality(docs, fit_quality(docs, labels), score="__score")
+    return found.where(F.col("__score") >= LEAST_QUALITY).select(*others(docs, ()))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    return without_near_duplicates(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no benchmark item."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what was encoded and decoded."""
+    return token_digests(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("contamination", contamination),
+    ("tokens", tokens),
+]
+
+#: The first two stages are trained networks, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tertulia.llm import sql
 from tertulia.llm.bpe import encoded, read_ranks, vocabulary
 from tertulia.llm.classify import fit_language, fit_quality, with_language, with_quality
 from tertulia.llm.neardup import near_duplicates
+from tertulia.llm.contamination import with_hits
 from tertulia.llm.store import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +77,23 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op7_minhash")
+@query("op7_minhash", sql.NEAR_DUPLICATES)
 def minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate documents: components of links at 85 in 100 shared shingles."""
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op4_contamination", sql.CONTAMINATION)
+def contamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents hold at 80 in 100 of their shingles."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = with_hits(docs, table(spark, folder, "benchmark")).select(
+        "doc_id", F.explode("hits").alias("hit")
+    )
+    return marked.select(
+        "doc_id",
+        "hit.item_id",
+        "hit.item_shingles",
+        "hit.shared",
+        (F.col("hit.shared") / F.col("hit.item_shingles")).alias("containment"),
+    )
