@@ -11,6 +11,7 @@ from tertulia.llm.bpe import encoded, read_ranks, vocabulary
 from tertulia.llm.classify import fit_language, fit_quality, with_language, with_quality
 from tertulia.llm.neardup import near_duplicates
 from tertulia.llm.contamination import with_hits
+from tertulia.llm.shards import sharded
 from tertulia.llm.store import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,20 @@ def contamination(spark: SparkSession, folder: str) -> DataFrame:
         "hit.shared",
         (F.col("hit.shared") / F.col("hit.item_shingles")).alias("containment"),
     )
+
+
+SHARDS = 24
+
+
+@query("op1_sharding")
+def sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in one of 24 shards of near equal size; equal texts stay together."""
+    return sharded(table(spark, folder, "documents"), SHARDS).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
