@@ -12,6 +12,7 @@ from tertulia.llm.classify import fit_language, fit_quality, with_language, with
 from tertulia.llm.neardup import near_duplicates
 from tertulia.llm.contamination import with_hits
 from tertulia.llm.shards import sharded
+from tertulia.llm.lattice import read_pieces, scored
 from tertulia.llm.store import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,22 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op6_lattice")
+def lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document over all its segmentations into pieces."""
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    training = fold(F.col("doc_id"), 10) != 0
+    return scored(docs, training, pieces).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
