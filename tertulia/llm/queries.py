@@ -13,6 +13,7 @@ from tertulia.llm.neardup import near_duplicates
 from tertulia.llm.contamination import with_hits
 from tertulia.llm.shards import sharded
 from tertulia.llm.lattice import read_pieces, scored
+from tertulia.llm.toxicity import fit_toxicity, with_toxicity
 from tertulia.llm.store import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,16 @@ def lattice(spark: SparkSession, folder: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query("op9_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by trees that learned from four folds of five."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    return with_toxicity(docs, fit_toxicity(docs, labels)).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )

@@ -48,16 +48,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """Splits byte pieces into words; keeps the tables of powers between pieces."""
+    """Splits byte pieces into words; keeps the tables of powers between pieces.
 
-    def __init__(self):
+    ``blank`` says which bytes, lower-cased, are no part of a word.
+    """
+
+    def __init__(self, blank: np.ndarray = BLANK):
+        self.blank = blank
         self.up = _powers(_BASE, PIECE + 1)
         self.down = _powers(_INVERSE, PIECE + 1)
 
     def of(self, data: np.ndarray, cuts: np.ndarray | None = None):
         """Starts, ends, hashes and lower-cased bytes; no word spans a position in ``cuts``."""
         low = LOWER[data]
-        solid = ~BLANK[low]
+        solid = ~self.blank[low]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
         if cuts is not None and len(cuts):
@@ -71,8 +75,13 @@ class Words:
         sums = np.empty(len(low) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(_CODES[low] * self.up[: len(low)], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * self.down[starts]
-        return starts, ends, mixed(raw + (ends - starts).astype(np.uint64)), low
+        self.sums = sums
+        return starts, ends, self.span_hashes(starts, ends), low
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges of the piece that was split last."""
+        raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        return mixed(raw + (ends - starts).astype(np.uint64))
 
 
 def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
