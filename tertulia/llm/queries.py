@@ -14,6 +14,7 @@ from tertulia.llm.contamination import with_hits
 from tertulia.llm.shards import sharded
 from tertulia.llm.lattice import read_pieces, scored
 from tertulia.llm.toxicity import fit_toxicity, with_toxicity
+from tertulia.llm.neighbours import nearest
 from tertulia.llm.store import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +150,10 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op10_neighbours")
+def neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
