@@ -7,12 +7,14 @@ keys of ROWS minima each, from universal hashes h(x) = (a x + b) mod 2^64; two d
 at 0.85 fail to share a key with a chance of 3e-7.
 
 Documents that share a key are not paired with each other all. Each is first compared
-with the smallest id it shares a key with, and the links found are closed to components.
-Only keys whose documents then still lie in several components go on: of a small group all
-pairs from different components are compared; of a large one, a growing number of pivots
-with every document of another component, after which the pivots leave the group. The
-rounds end when no key joins two components that were not compared. So no link that the
-keys show is lost, and a group of copies costs about one comparison a document.
+with the smallest id it shares a key with, and the links found are closed to components,
+so a group of copies costs one comparison a document. Only keys whose documents then still
+lie in several components go on: of a small group all pairs from different components are
+compared. Large groups that share documents are taken together, ordered by component and
+cut into blocks; a task compares two blocks by products of 0/1 matrices, skips what lies in
+one component, and returns links that join components only, so never more than it has rows.
+That part is quadratic in the documents of a large group that are alike but not linked.
+So no link that the keys show is lost, and no group meets in one task.
 
 A comparison looks at the signatures first (equal in at least AGREE of the minima) and
 then at the full sets.
@@ -29,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tertulia.llm.stars import components
 from tertulia.llm.store import others, with_computed, written
@@ -38,7 +40,7 @@ from tertulia.llm.words import Words, shingle_sets
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
 AGREE = 0.65
-SMALL, FIRST_PIVOTS, MORE_PIVOTS = 32, 8, 4
+SMALL, ROWS_OF_BLOCK, COLUMNS = 16, 512, 4096
 BLOCK = 1024
 
 _DRAW = np.random.Generator(np.random.PCG64(77))
@@ -154,21 +156,137 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_column: str, text: str) -> DataF
     )
 
 
-def _pairs(grouped: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare of groups (key, node, comp, size, last), and what stays grouped."""
-    small = grouped.where(F.col("size") <= SMALL)
+def _within(small: DataFrame) -> DataFrame:
+    """Pairs from different components of groups (key, node, comp) of at most SMALL nodes."""
     other = small.select("key", F.col("node").alias("b"), F.col("comp").alias("_comp"))
     every = small.select("key", F.col("node").alias("a"), "comp").join(other, "key")
     every = every.where((F.col("comp") != F.col("_comp")) & (F.col("a") > F.col("b")))
-    large = grouped.where(F.col("size") > SMALL)
-    rate = FIRST_PIVOTS * MORE_PIVOTS**round_ / F.col("size")
-    draw = F.pmod(F.xxhash64("node", "key", F.lit(round_)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    large = large.withColumn("pivot", (F.col("node") == F.col("last")) | (draw < rate))
-    pivots = large.where("pivot").select("key", F.col("node").alias("p"), F.col("comp").alias("_comp"))
-    spokes = large.join(pivots, "key").where(F.col("comp") != F.col("_comp"))
-    spokes = spokes.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"))
-    pairs = every.select("a", "b").union(spokes).distinct()
-    return pairs, large.where(~F.col("pivot")).select("key", "node")
+    return every.select("a", "b").distinct()
+
+
+def common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``rows`` with each of ``columns``."""
+    sides = []
+    for sets in (rows, columns):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    if not len(shared):
+        return out
+    places = []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        good = shared[at] == values
+        order = np.argsort(at[good], kind="stable")
+        places.append((at[good][order], owner[good][order]))
+    for first in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - first)
+        dense = []
+        for (at, owner), n in zip(places, (len(rows), len(columns)), strict=True):
+            a, b = np.searchsorted(at, [first, first + width])
+            x = np.zeros((n, width), dtype=np.float32)
+            x[owner[a:b], at[a:b] - first] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def joining(nodes, comps, minima_, sets, half: np.ndarray, same: bool, percent: int) -> list[tuple]:
+    """Links between the two halves (within, if ``same``) that join different components."""
+    left, right = np.flatnonzero(~half), np.flatnonzero(half)
+    if same:
+        right = left
+    signed = np.frombuffer(b"".join(minima_), "<u4").reshape(-1, HASHES)
+    agree = np.zeros((len(left), len(right)), dtype=np.uint8)
+    for k in range(HASHES):
+        agree += signed[left, k][:, None] == signed[right, k][None, :]
+    likely = (agree >= AGREE * HASHES) & (comps[left][:, None] != comps[right][None, :])
+    if same:
+        likely &= np.tri(len(left), k=-1, dtype=bool)
+    rows, columns = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+    if not len(rows):
+        return []
+    mine, theirs = left[rows], right[columns]
+    full = [np.frombuffer(x, "<u8") for x in sets]
+    both = common([full[i] for i in mine], [full[i] for i in theirs])
+    size = np.array([len(x) for x in full])
+    whole = size[mine][:, None] + size[theirs][None, :] - both
+    good = likely[np.ix_(rows, columns)] & (100 * both >= percent * whole)
+    home, out = {}, []
+
+    def root(x: int) -> int:
+        while home.get(x, x) != x:
+            x = home[x]
+        return x
+
+    for i, j in zip(*np.nonzero(good), strict=True):
+        a, b = mine[i], theirs[j]
+        x, y = root(int(comps[a])), root(int(comps[b]))
+        if x != y:
+            home[max(x, y)] = min(x, y)
+            out.append((int(nodes[a]), int(nodes[b])))
+    return out
+
+
+def _across(large: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components, of groups (key, node, comp, low) of more than SMALL nodes."""
+    lows = large.groupBy("key").agg(F.min("node").alias("b"))
+    together = components(large.select("key", F.col("node").alias("a")).join(lows, "key"))
+    found = large.select("node", "comp").distinct()
+    found = found.join(together.withColumnRenamed("a", "node"), "node", "left")
+    found = written(found.select("node", "comp", F.coalesce("b", "node").alias("kind")), "alike")
+    # blocks by position: components in order of their id, in ranges of equal numbers
+    ordered = _numbered(found)
+    blocks = ordered.withColumn("block", F.floor(F.col("at") / ROWS_OF_BLOCK))
+    spans = written(
+        blocks.groupBy("kind", "block").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")),
+        "blocks",
+    )
+    other = spans.select("kind", F.col("block").alias("other"), F.col("_low").alias("_l"), F.col("_high").alias("_h"))
+    pairs = spans.join(other, "kind").where(
+        (F.col("block") <= F.col("other")) & ~((F.col("_low") == F.col("_h")) & (F.col("_l") == F.col("_high")))
+    )  # both blocks in one component: nothing to join
+    pairs = pairs.select("kind", "block", "other")
+    roles = pairs.withColumn("half", F.lit(False)).select(
+        "kind", F.col("block").alias("mine"), "block", "other", "half"
+    ).union(
+        pairs.where("block < other").select(
+            "kind", F.col("other").alias("mine"), "block", "other", F.lit(True).alias("half")
+        )
+    )
+    full = blocks.join(signed, "node").join(sets, "node")
+    dealt = full.withColumnRenamed("block", "mine").join(roles, ["kind", "mine"]).select(
+        "kind", "block", "other", "half", "node", "comp", "minima", "members"
+    )
+
+    def work(group: pa.Table) -> pa.Table:
+        same = group.column("block")[0] == group.column("other")[0]
+        half = group.column("half").to_numpy()
+        columns = [group.column(c).to_pylist() for c in ("minima", "members")]
+        links = joining(
+            group.column("node").to_numpy(), group.column("comp").to_numpy(), *columns, half, same, percent
+        )
+        return pa.table(
+            {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())}
+        )
+
+    return dealt.groupBy("kind", "block", "other").applyInArrow(work, "a long, b long")
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """Positions ``at`` within each kind, by component and node, counted in ranges of the order."""
+    parts = found.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = found.repartitionByRange(int(parts), "kind", "comp", "node").sortWithinPartitions(
+        "kind", "comp", "node"
+    )
+    dealt = written(dealt.withColumn("part", F.spark_partition_id()), "in-order")
+    sizes = dealt.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("kind", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("kind", "part").orderBy("comp", "node")
+    return dealt.withColumn("k", F.row_number().over(inside) - 1).join(starts, ["kind", "part"]).select(
+        "node", "comp", "kind", (F.col("start") + F.col("k")).alias("at")
+    )
 
 
 def links_closed(
@@ -183,28 +301,20 @@ def links_closed(
     sets = written(_sets(docs, met, id_column, text), "sets")
     signed = written(nodes.join(met, "node", "left_semi"), "signed")
     pairs = grouped.groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b")).where("a > b")
-    grouped, stars, round_ = grouped.select("key", "node"), None, 0
-    while True:
-        likely = written(_agreeing(pairs, signed), "likely")
-        links = _linked(likely, sets, percent)
-        stars = components(links if stars is None else links.union(stars))
-        homes = stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-        grouped = grouped.join(homes, "node", "left").withColumn(
-            "comp", F.coalesce("comp", "node")
-        )
-        spans = grouped.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"),
-            F.max(F.struct("comp", "node")).getField("node").alias("last"),
-            F.min("comp").alias("_low"),
-            F.max("comp").alias("_high"),
-        )
-        spans = spans.where("_low < _high").select("key", "size", "last")
-        still = written(grouped.join(spans, "key"), "open-groups")
-        if still.isEmpty():
-            return stars
-        pairs, left = _pairs(still, round_)
-        pairs = written(pairs, "pairs")
-        grouped, round_ = written(left, "left-groups"), round_ + 1
+    stars = components(_linked(written(_agreeing(pairs, signed), "likely"), sets, percent))
+    homes = stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    grouped = grouped.join(homes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    spans = grouped.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("comp").alias("_low"), F.max("comp").alias("_high")
+    )
+    spans = spans.where("_low < _high").select("key", "size")
+    still = written(grouped.select("key", "node", "comp").join(spans, "key"), "open-groups")
+    likely = written(_agreeing(_within(still.where(F.col("size") <= SMALL)), signed), "likely")
+    links = _linked(likely, sets, percent)
+    large = still.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        links = links.union(_across(large, signed, sets, percent))
+    return components(links.union(stars))
 
 
 def near_duplicates(
