@@ -15,6 +15,7 @@ from tertulia.llm.shards import sharded
 from tertulia.llm.lattice import read_pieces, scored
 from tertulia.llm.toxicity import fit_toxicity, with_toxicity
 from tertulia.llm.neighbours import nearest
+from tertulia.llm.lengths import length_table, with_token_count
 from tertulia.llm.store import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +158,10 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every vector whose id is divisible by 100."""
     vectors = table(spark, folder, "embeddings")
     return nearest(vectors, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
+@query("op5_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, tokens and truncated tokens at every encoded length."""
+    docs = table(spark, folder, "documents").select("text")
+    return length_table(with_token_count(docs, multilingual_bpe()))
