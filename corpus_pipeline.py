@@ -12,7 +12,7 @@ from tertulia.llm.classify import UNKNOWN, fit_language, fit_quality, with_langu
 from tertulia.llm.contamination import without_contaminated
 from tertulia.llm.neardup import without_near_duplicates
 from tertulia.llm.queries import token_digests
-from tertulia.llm.store import fold, others, table, written
+from tertulia.llm.store import fold, free, others, table, written
 
 LEAST_LANGUAGE, LEAST_QUALITY = 0.25, 0.3
 
@@ -20,16 +20,18 @@ LEAST_LANGUAGE, LEAST_QUALITY = 0.25, 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; mixtures of two languages stay."""
     fitted = fit_language(docs.where(fold(F.col("doc_id"), 4) != 2))
-    found = with_language(docs, fitted, language="__lang", score="__score")
-    known = (F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)
+    name, score = free(docs, "__language"), free(docs, "__score")
+    found = with_language(docs, fitted, language=name, score=score)
+    known = (F.col(name) != UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE)
     return found.where(known).select(*others(docs, ()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of quality."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
-    found = with_quality(docs, fit_quality(docs, labels), score="__score")
-    return found.where(F.col("__score") >= LEAST_QUALITY).select(*others(docs, ()))
+    score = free(docs, "__score")
+    found = with_quality(docs, fit_quality(docs, labels), score=score)
+    return found.where(F.col(score) >= LEAST_QUALITY).select(*others(docs, ()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,6 +213,11 @@ def decode(ids: np.ndarray, v: dict) -> bytes:
     return v["flat"][np.repeat(starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
 
+def sent(df: DataFrame, v: dict):
+    """The vocabulary as a broadcast, without what the driver itself remembers."""
+    return df.sparkSession.sparkContext.broadcast(v | {"memo": {}})
+
+
 def encoded(
     docs: DataFrame,
     vocabulary: dict,
@@ -228,7 +233,7 @@ def encoded(
         T.StructField(ids, T.ArrayType(T.IntegerType(), False)),
         T.StructField(decoded, T.BinaryType()),
     ]
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = sent(docs, vocabulary)
 
     def make():
         v = shared.value

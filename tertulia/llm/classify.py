@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tertulia.llm import conv
-from tertulia.llm.store import replaced, with_computed
+from tertulia.llm.store import free, replaced, with_computed
 
 SAMPLE, SAMPLE_BYTES = 2_400, 16_384
 UNKNOWN = "und"
@@ -88,16 +88,16 @@ def with_language(
 
         return compute
 
-    marked = replaced(docs, {"__letters": letters})
-    out = with_computed(marked, text, fields, make)
-    found = F.col("__letters")
+    has = free(docs, "__letters")
+    out = with_computed(replaced(docs, {has: letters}), text, fields, make)
+    found = F.col(has)
     return replaced(
         out,
         {
             language: F.when(found, F.col(language)).otherwise(F.lit(UNKNOWN)),
             score: F.when(found, F.col(score)).otherwise(F.lit(0.0)),
         },
-    ).drop("__letters")
+    ).drop(has)
 
 
 def labelled_sample(

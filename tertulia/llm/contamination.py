@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tertulia.llm.store import others, replaced, with_computed
+from tertulia.llm.store import free, others, replaced, with_computed
 from tertulia.llm.words import Words, shingle_sets
 
 BLOCK_SHINGLES = 1 << 20
@@ -140,14 +140,15 @@ def with_hits(
 
             return compute
 
-        field = T.StructField("__hits", HITS)
-        out = with_computed(out, text, [field], make)
-        out = replaced(out, {hits: F.concat(hits, "__hits")}).drop("__hits")
+        more = free(out, "__more")
+        out = with_computed(out, text, [T.StructField(more, HITS)], make)
+        out = replaced(out, {hits: F.concat(hits, more)}).drop(more)
     return out
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     kept = others(docs, ())
-    marked = with_hits(docs, items, percent, hits="__found")
-    return marked.where(F.size("__found") == 0).select(*(F.col(f"`{c}`") for c in kept))
+    found = free(docs, "__found")
+    marked = with_hits(docs, items, percent, hits=found)
+    return marked.where(F.size(found) == 0).select(*(F.col(f"`{c}`") for c in kept))

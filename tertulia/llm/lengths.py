@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tertulia.llm.bpe import encoder
+from tertulia.llm.bpe import encoder, sent
 from tertulia.llm.store import with_computed
 from tertulia.llm.words import buffers, runs
 
@@ -26,7 +26,7 @@ def with_token_count(
     docs: DataFrame, vocabulary: dict, text: str = "text", count: str = "n_tokens"
 ) -> DataFrame:
     """Replaces the text by the number of its byte-level BPE tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = sent(docs, vocabulary)
 
     def make():
         encode = encoder(shared.value)

@@ -35,6 +35,13 @@ def others(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name, near ``name``, that the frame does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """The frame with ``columns`` at its end; columns of the same name, in any case, go."""
     return df.select(
@@ -61,7 +68,8 @@ def with_computed(
     kept = others(df, [*(f.name for f in fields), *drop])
     by_name = dict(zip(df.columns, df.schema, strict=True))
     schema = T.StructType([*(by_name[c] for c in kept), *fields])
-    frame = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{source}`").alias("__source"))
+    inner = F.col(f"`{source}`").alias(free(df, "__source"))
+    frame = df.select(*(F.col(f"`{c}`") for c in kept), inner)
     names = schema.names
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
