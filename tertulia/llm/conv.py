@@ -244,7 +244,7 @@ def scores(model: Model, column: pa.Array) -> Iterator[np.ndarray]:
 def blocks(data: np.ndarray, offsets: np.ndarray, shape: Shape, most: int = 48):
     """Windows of the rows, at most ``most`` at a time; a very long row comes in parts."""
     if len(offsets) == 2 and offsets[1] - offsets[0] > PIECE:
-        stride = shape.step * 1024
+        stride = shape.step * max(1, PIECE // 2 // shape.step)
         for at in range(offsets[0], offsets[1], stride):
             end = min(offsets[1], at + stride + shape.window - shape.step)
             if at > offsets[0] and end - at <= shape.window - shape.step:
