@@ -154,8 +154,12 @@ def trained(
     rate: float = 0.01,
     weights: np.ndarray | None = None,
     seed: int = 7,
+    least_steps: int = 250,
 ) -> Model:
-    """The network fitted by Adam to the texts; ``weights`` are per class."""
+    """The network fitted by Adam to the texts; ``weights`` are per class.
+
+    A small sample is gone through more often than ``epochs``, for ``least_steps`` steps.
+    """
     rng = np.random.default_rng(seed)
     model = Model(
         shape,
@@ -172,6 +176,7 @@ def trained(
     first_m = [np.zeros_like(p) for p in model.parts()]
     second_m = [np.zeros_like(p) for p in model.parts()]
     steps = 0
+    epochs = max(epochs, -(-least_steps * batch_windows // int(per_row.sum())))
     total = max(1, int(epochs * per_row.sum() / batch_windows))
     for _ in range(epochs):
         order = rng.permutation(len(texts))

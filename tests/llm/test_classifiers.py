@@ -85,7 +85,7 @@ def test_quality(spark):
     bad += [(w + " ") * 20 for w in ENGLISH * 4]
     docs, labels = labelled(spark, "quality", good, bad)
     model = K.fit_quality(docs, labels, epochs=10)
-    fresh = sentences(ENGLISH, 30, 5) + [" ".join(w + "###" for w in t.split()) for t in sentences(ENGLISH, 30, 6)]
+    fresh = sentences(ENGLISH, 30, 5) + [" ".join(w + "###" for w in t.split()) for t in sentences(GERMAN, 30, 6)]
     found = {r[0]: r[1] for r in K.with_quality(pairs(spark, list(enumerate(fresh))), model).select("doc_id", "score").collect()}
     assert np.mean([(found[i] >= 0.3) == (i < 30) for i in found]) > 0.95
     rows = K.with_quality(documents(spark), model).select("score").collect()
