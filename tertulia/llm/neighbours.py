@@ -25,13 +25,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.llm.store import written
 
 DIMENSIONS = 16
 CONFIDENCE = 0.995
-BLOCK, BATCH, SAMPLE, LEAF, STEP = 8192, 512, 4096, 32, 256
+BLOCK, BATCH, SAMPLE, LEAF, STEP = 8192, 2048, 4096, 32, 256
 
 
 def chi_square_quantile(p: float, even: int) -> float:
@@ -239,9 +239,7 @@ def nearest(
         )
 
     found = asked.union(held).groupBy("batch", "block").applyInArrow(search, schema)
-    ranked = found.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near")
-    )  # k rows from each block
-    return ranked.select("query_id", F.posexplode("near")).select(
-        "query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", "col.score"
-    )
+    # k rows of each block; the limit on the rank is applied in each task before the shuffle
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
