@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, types as T
 from tertulia.llm.store import with_computed
 from tertulia.llm.words import buffers, runs
 
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
 WORD = (1 << 64) - 1
 SPREAD, TURN = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 
