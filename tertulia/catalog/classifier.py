@@ -22,9 +22,10 @@ from tertulia.functions.arrays import argmax, doubles, pair_features
 from tertulia.functions.scoring import letter_sentiment_scores
 from tertulia.operators import classify
 from tertulia.operators.aggregate import count_per_group, mode
-from tertulia.operators.annotate import completed
+from tertulia.operators.annotate import completed, label_missing_by_head
 from tertulia.operators.columns import analysis_names, decode
 from tertulia.operators.messages import triples
+from tertulia.plans import satisfaction as satisfaction_plan
 from tertulia.plans.topics import hashed_words
 from tertulia.schema import SATISFACTION_CODES
 from tertulia.sources.corpus import materialise
@@ -117,7 +118,10 @@ placed AS (
   SELECT *, row_number() OVER (ORDER BY {shuffle_key_sql("doc_id")}) - 1 AS position,
          count(*) OVER () AS n FROM coded
 ),
-folded AS (SELECT *, CAST(position % 10 AS INTEGER) AS fold FROM placed)"""
+folded AS (
+  SELECT *, CAST(position % 10 AS INTEGER) AS fold FROM placed
+  WHERE position < CAST(floor(0.8 * n) AS BIGINT) + CAST(floor(0.1 * n) AS BIGINT)
+)"""
 
 
 @query(
@@ -133,7 +137,8 @@ def train_eval_test_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, folder: str) -> DataFrame:
-    return classify.folds(coded(spark, folder), F.col("doc_id"))
+    df = coded(spark, folder)
+    return classify.folds(df, F.col("doc_id"), df.count())
 
 
 _MAJORITY_SQL = f"""{_CODED_SQL},
@@ -240,9 +245,17 @@ def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
 def features(spark: SparkSession, folder: str) -> DataFrame:
     """Annotated triples as pair features of their three embedded messages."""
     df = completed(annotated(spark, folder)).select("doc_id", "chat_triples", "label")
-    vectors = [hashed_words(F.get("chat_triples", F.lit(i))["content"], 8) for i in range(3)]
-    df = df.select("doc_id", "label", *[v.alias(f"v{i}") for i, v in enumerate(vectors)])
-    df = df.select("doc_id", "label", pair_features(F.col("v0"), F.col("v1"), F.col("v2")).alias("x"))
+    return triple_features(df).drop("chat_triples")
+
+
+def triple_features(df: DataFrame, width: int = 8) -> DataFrame:
+    """Adds the head's input of ``chat_triples`` (zeros where it is null), label and weight."""
+    parts = [f"_v{i}" for i in range(3)]
+    for i, name in enumerate(parts):
+        df = df.withColumn(name, hashed_words(F.get("chat_triples", F.lit(i))["content"], width))
+    df = df.withColumn("x", pair_features(*map(F.col, parts))).drop(*parts)
+    if "label" not in df.columns:
+        df = df.withColumn("label", decode(F.col("satisfaction_label"), SATISFACTION_CODES))
     return classify.ready(df, "x")
 
 
@@ -265,27 +278,62 @@ def train_head(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _folded_features(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(classify.folds(features(spark, folder), F.col("doc_id")), "folds")
+    df = materialise(features(spark, folder), "features")
+    return materialise(classify.folds(df, F.col("doc_id"), df.count()), "folds")
 
 
 @query("cross_validation")
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Ten-fold accuracy of the linear head: mean and population deviation."""
     df = _folded_features(spark, folder)
-    return classify.mean_and_spread(classify.cross_validate(df, classify.head(1, max_iter=10)))
+    return classify.mean_and_spread(classify.cross_validate(df, classify.head(1)))
 
 
 @query("grid_search")
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean five-fold accuracy over a small grid of regularisation and bias, best first."""
-    estimator = classify.head(1, max_iter=10)
+    """Mean ten-fold accuracy over layers, width, bias and regularisation, best first."""
+    df = _folded_features(spark, folder)
+    linear = classify.head(1)
     grid = (
         ParamGridBuilder()
-        .addGrid(estimator.regParam, [0.0, 0.1])
-        .addGrid(estimator.fitIntercept, [True, False])
+        .addGrid(linear.regParam, [0.0, 0.1])
+        .addGrid(linear.fitIntercept, [True, False])
         .build()
     )
-    df = materialise(classify.folds(features(spark, folder), F.col("doc_id"), 5), "folds")
-    scores = classify.cross_validate(df, estimator, grid, k=5)
-    means = scores.groupBy("params").agg(F.avg("accuracy").alias("mean_accuracy"))
-    return means.orderBy(F.desc("mean_accuracy"), "params")
+    scores = classify.cross_validate(df, linear, grid).withColumn("layers", F.lit(1))
+    for width in (8, 16):
+        deep = classify.head(2, inputs=48, hidden=width)
+        found = classify.cross_validate(df, deep).withColumn("params", F.lit(f"hidden={width}"))
+        scores = scores.unionByName(found.withColumn("layers", F.lit(2)))
+    means = scores.groupBy("layers", "params").agg(F.avg("accuracy").alias("mean_accuracy"))
+    return means.orderBy(F.desc("mean_accuracy"), "layers", "params")
+
+
+def labelled_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus with a label for every conversation of three messages: the known one, or
+    that of a head fitted on the known ones."""
+    corpus = documents_corpus(spark, folder).drop("openai_moderation")
+    df = corpus.join(satisfaction(spark, folder), "doc_id", "left")
+    train = features(spark, folder).select("label", "weight", "features")
+    model = classify.head(1, weighted=True).fit(train)
+    return label_missing_by_head(df, model, triple_features)
+
+
+@query("labelled_by_head")
+def labelled_by_head(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of the whole corpus, with the messages they were read from."""
+    return labelled_corpus(spark, folder).select(
+        "doc_id", F.col("language").alias("lang"), "satisfaction_label", "chat_triples"
+    )
+
+
+@query("head_satisfaction_pivot")
+def head_satisfaction_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    """Satisfaction per language over the corpus that the head has labelled."""
+    return satisfaction_plan.table(analysis_names(labelled_corpus(spark, folder)))
+
+
+@query("head_chi2_independence")
+def head_chi2_independence(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether satisfaction depends on the language, over the labelled corpus."""
+    return satisfaction_plan.independence(head_satisfaction_pivot(spark, folder))

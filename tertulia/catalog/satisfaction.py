@@ -134,8 +134,10 @@ SELECT label, {", ".join(f"round(max(residual) FILTER (lang = '{x}'), 6) AS {x}"
 FROM long GROUP BY label""",
 )
 def residual_heatmap(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per label, one column per language."""
-    return rounded(transposed(satisfaction.residual_table(counts(spark, folder), 4), "lang", _LANGS))
+    """One row per label, one column per language with labels, kept by the test or not."""
+    table = counts(spark, folder)
+    languages = [r["lang"] for r in table.select("lang").orderBy("lang").collect()]  # few
+    return rounded(transposed(satisfaction.residual_table(table, 4), "lang", languages))
 
 _TEXT = "array_to_string(lines[1:3], ' ')"
 _HIT = "(length(t) - length(replace(t, '{c}', '')) + 1)"

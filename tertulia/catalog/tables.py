@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tertulia.operators.columns import decode
 from tertulia.operators.messages import conversation_lengths, opened_by_user
 from tertulia.schema import CATEGORIES
-from tertulia.sources.corpus import spread
 
 LETTERS = "abcdefghijk"  # one per category
 LANGUAGES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French"}
@@ -26,8 +25,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A table whose texts are worked on row by row, on all cores."""
-    return spread(table(spark, folder, name).select(*columns))
+    """The named columns of a table."""
+    return table(spark, folder, name).select(*columns)
 
 
 def hash_of(key: str) -> Column:

@@ -108,7 +108,7 @@ _VECTORS_SQL = "vec AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[])
 SELECT id, label, round(s, 7) AS silhouette FROM sil""",
 )
 def silhouette_per_row(spark: SparkSession, folder: str) -> DataFrame:
-    df = silhouettes(vectors(spark, folder), "vec_id", "embedding", "label", block_rows=256)
+    df = silhouettes(vectors(spark, folder), "vec_id", "embedding", "label")
     return rounded(df, 7)
 
 
@@ -139,7 +139,9 @@ vec AS (SELECT subset, id, label, v FROM draws JOIN placed ON draws.position = p
 
 
 def _bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    return topics.bootstrap_scores(vectors(spark, folder), F.col("vec_id"), "embedding", "label")
+    return topics.bootstrap_scores(
+        vectors(spark, folder), F.col("vec_id"), "embedding", "label", fraction=0.05
+    )
 
 
 @query(

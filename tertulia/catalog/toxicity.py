@@ -16,6 +16,7 @@ from tertulia.catalog.tables import (
     share_sql,
     table,
 )
+from tertulia.functions.numeric import round_half_away
 from tertulia.operators.charts import density, score_histogram, violin
 from tertulia.operators.classify import project_2d
 from tertulia.operators.columns import analysis_names
@@ -225,7 +226,7 @@ def dunn_matrix(spark: SparkSession, folder: str) -> DataFrame:
     pairs = toxicity.dunn_table(
         toxicity.ranked_scores(scored(spark, folder), measures=["max_toxicity_score"])
     )
-    return rounded(matrix(square(pairs, "lang"), _LANGS), 7)
+    return rounded(matrix(square(pairs, "lang")), 7)
 
 
 @query(
@@ -298,7 +299,7 @@ def kruskal_wallis_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "score_histogram",
     f"""WITH {SCORED_SQL}
-SELECT lang, role, CAST(floor(max_toxicity_score * 100.0) AS BIGINT) AS bin, count(*) AS n
+SELECT lang, role, CAST(floor(round(max_toxicity_score / 0.01, 9)) AS BIGINT) AS bin, count(*) AS n
 FROM scored GROUP BY ALL""",
 )
 def score_histogram_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -325,34 +326,47 @@ for _role in ("user", "assistant"):
         query(f"violin_{_role}_{_measure}", _violin_sql(_role, _measure))(_violin(_role, _measure))
 
 
-@query(
-    "score_density",
-    f"""WITH {SCORED_SQL},
-v AS (SELECT lang, max_toxicity_score AS x FROM scored WHERE role = 'user'),
+def _density_sql(role: str, measure: str) -> str:
+    return f"""WITH {SCORED_SQL},
+v AS (SELECT lang, round({measure}, 2) AS x FROM scored WHERE role = '{role}'),
 s AS (SELECT lang, count(*) AS n, min(x) AS lo, max(x) AS hi,
              stddev_samp(x) * pow(count(*), -0.2) AS h FROM v GROUP BY lang),
 g AS (SELECT *, lo + (hi - lo) * point / 99.0 AS spot
       FROM (SELECT *, CAST(unnest(range(0, 100)) AS INTEGER) AS point FROM s WHERE h > 0))
 SELECT g.lang, point, round(any_value(spot), 6) AS x,
        round(sum(exp(-0.5 * ((spot - x) / h) * ((spot - x) / h)) / (n * h * sqrt(2 * pi()))), 5) AS density
-FROM g JOIN v ON g.lang = v.lang GROUP BY g.lang, point""",
-)
-def score_density(spark: SparkSession, folder: str) -> DataFrame:
-    messages = scored(spark, folder).where(F.col("role") == "user")
-    return density(messages, "lang", "max_toxicity_score").select(
-        "lang", "point", F.round("x", 6).alias("x"), F.round("density", 5).alias("density")
-    )
+FROM g JOIN v ON g.lang = v.lang GROUP BY g.lang, point"""
 
 
-@query("toxicity_projection")
-def toxicity_projection(spark: SparkSession, folder: str) -> DataFrame:
-    """Score vectors of user messages in two dimensions, with their language."""
-    df = corpus(spark, folder).withColumn("vectors", message_vectors(F.col("openai_moderation")))
-    rows = df.select(
-        "conversation_hash",
-        "lang",
-        F.posexplode(
-            vectors_of_role(F.col("conversation"), F.col("vectors"), "user")
-        ).alias("position", "vector"),
-    )
-    return project_2d(rows, "vector").drop("vector")
+def _density(role: str, measure: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        """Scores are rounded first, so there are about a hundred values to spread."""
+        messages = scored(spark, folder).where(F.col("role") == role)
+        short = messages.withColumn(measure, round_half_away(F.col(measure), 2))
+        return density(short, "lang", measure).select(
+            "lang", "point", F.round("x", 6).alias("x"), F.round("density", 5).alias("density")
+        )
+
+    return run
+
+
+for _role in ("user", "assistant"):
+    for _measure in ("max_toxicity_score", "avg_toxicity_score"):
+        _name = f"score_density_{_role}_{_measure}"
+        query(_name, _density_sql(_role, _measure))(_density(_role, _measure))
+query("score_density", _density_sql("user", "max_toxicity_score"))(_density("user", "max_toxicity_score"))
+
+
+def _projection(role: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        """Score vectors of one role's messages in two dimensions, with their language."""
+        df = corpus(spark, folder).withColumn("vectors", message_vectors(F.col("openai_moderation")))
+        found = vectors_of_role(F.col("conversation"), F.col("vectors"), role)
+        rows = df.select("conversation_hash", "lang", F.posexplode(found).alias("position", "vector"))
+        return project_2d(rows, "vector").drop("vector")
+
+    return run
+
+
+query("toxicity_projection")(_projection("user"))
+query("toxicity_projection_assistant")(_projection("assistant"))

@@ -83,6 +83,16 @@ def _log_step(i: Column, shift: Column) -> Column:
     return F.when(step > 0, F.ln(step)).otherwise(F.lit(0.0))
 
 
+MANY_DEGREES = 1e6
+
+
+def _near_normal(t2: Column, df: Column) -> Column:
+    """The same for very many degrees: a normal deviate, right to about 1 / df**3."""
+    a = df - 0.5
+    y = a * F.log1p(t2 / df)
+    return normal_two_sided(F.sqrt(y) * (1.0 + (y + 3.0) / (48.0 * a * a)))
+
+
 def student_t_two_sided(t: Column, df: Column) -> Column:
     """P(|T| >= |t|), the regularised incomplete beta I_x(df/2, 1/2) at x = df/(df+t*t)."""
     a = df / 2.0
@@ -104,6 +114,7 @@ def student_t_two_sided(t: Column, df: Column) -> Column:
     return (
         F.when(t.isNull() | df.isNull() | (df < 1), F.lit(None).cast("double"))
         .when(t2 == 0, F.lit(1.0))
+        .when(df > MANY_DEGREES, _near_normal(t2, df))
         .when(x < (a + 1) / (a + 2.5), tail)
         .otherwise(head)
     )
@@ -114,7 +125,7 @@ def _beta_fraction(a: Column, b: Column, x: Column, df: Column) -> Column:
 
     It needs about sqrt(max(a, b)) steps to settle.
     """
-    steps = (F.lit(60) + 4 * F.sqrt(df)).cast("int")
+    steps = (F.lit(60) + 4 * F.sqrt(F.least(df, F.lit(MANY_DEGREES)))).cast("int")
 
     def coefficient(m: Column) -> tuple[Column, Column]:
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))

@@ -42,12 +42,6 @@ def occurrences(text: Column, letter: str) -> Column:
     return (removed / len(letter.encode())).cast("int")
 
 
-def letter_share(text: Column, letter: str) -> Column:
-    """Share of the characters of ``text`` that are ``letter``; 0 for an empty text."""
-    n = F.length(text)
-    return F.when(n == 0, F.lit(0.0)).otherwise(occurrences(text, letter).cast("double") / n)
-
-
 def after_last_marker(text: Column, marker: str = "English:") -> Column:
     """Trimmed text after the last ``marker``; the whole text when it is absent."""
     tail = F.substring_index(text, marker, -1)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tertulia.operators.distribution import quantiles, value_histogram
+from tertulia.operators.distribution import AUTO, quantiles, value_histogram
 
 
 def mean_and_std(
@@ -100,7 +100,7 @@ def category_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     ).select(column, "index", (F.col("index") / F.col("values")).alias(name))
 
 
-def five_numbers(df: DataFrame, by: str, column: str, buckets: int | None = None) -> DataFrame:
+def five_numbers(df: DataFrame, by: str, column: str, buckets: int | None = AUTO) -> DataFrame:
     """Minimum, quartiles and maximum per group (linear interpolation)."""
     hist = value_histogram(df.select(by, F.col(column).alias("_value")), [by], "_value")
     return quantiles(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -52,9 +55,26 @@ def prompts(df: DataFrame, max_chars: int = 200) -> DataFrame:
 
 
 def translate(df: DataFrame, make_predict_fn: MakePredict, batch_size: int = 32) -> DataFrame:
-    """Add ``generated``: the model's text for each of the three prompts."""
+    """Add ``generated``: the model's text for each of the three prompts.
+
+    A null prompt is never sent to the model and stays null.
+    """
+
+    def make_skipping_nulls():
+        predict = make_predict_fn()
+
+        def run(texts: np.ndarray) -> np.ndarray:
+            texts = np.asarray(texts, dtype=object)
+            known = np.array([t is not None for t in texts], dtype=bool)
+            out = np.full(len(texts), None, dtype=object)
+            if known.any():
+                out[known] = np.asarray(predict(texts[known]), dtype=object)
+            return out
+
+        return run
+
     generate = predict_batch_udf(
-        make_predict_fn, return_type=T.StringType(), batch_size=batch_size
+        make_skipping_nulls, return_type=T.StringType(), batch_size=batch_size
     )
     return df.withColumn(
         "generated", F.array(*[generate(F.get("prompts", F.lit(i))) for i in range(3)])
@@ -108,3 +128,24 @@ def label_missing_by_model(
     return label_missing(
         df, batch_scores(make_predict_fn, F.when(todo, text), batch_size), column
     )
+
+
+def label_missing_by_head(
+    df: DataFrame,
+    model,
+    features: Callable[[DataFrame], DataFrame],
+    column: str = "satisfaction_label",
+) -> DataFrame:
+    """The same with a fitted head; keeps ``chat_triples``, null for shorter conversations.
+
+    ``features`` adds the head's input to a frame with ``chat_triples``, whatever these are.
+    Nothing is joined: rows are scored where they are.
+    """
+    df = ensure_column(df, column, "string")
+    kept = [c for c in df.columns if c != "chat_triples"]
+    three = F.when(F.size("conversation") >= 3, F.slice("conversation", 1, 3))
+    scored = model.transform(features(df.withColumn("chat_triples", three)))
+    names = {code: name for name, code in SATISFACTION_CODES.items()}
+    todo = F.col(column).isNull() & F.col("chat_triples").isNotNull()
+    found = F.when(todo, decode(F.col("prediction").cast("int"), names)).otherwise(F.col(column))
+    return scored.withColumn(column, found).select(*kept, "chat_triples")

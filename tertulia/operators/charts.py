@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tertulia.operators.distribution import quantiles, stored, value_histogram
+from tertulia.operators.distribution import AUTO, quantiles, stored, value_histogram
 
 
 def log_bars(counts: DataFrame, count: str) -> DataFrame:
@@ -15,17 +15,20 @@ def log_bars(counts: DataFrame, count: str) -> DataFrame:
 
 
 def score_histogram(df: DataFrame, by: Sequence[str], value: str, width: float = 0.01) -> DataFrame:
-    """Rows per bin of ``width``; the bin is named by its lower edge's index."""
-    bins = df.withColumn("bin", F.floor(F.col(value) * (1.0 / width)).cast("long"))
+    """Rows per bin of ``width``; the bin is named by its lower edge's index.
+
+    Rounding to nine digits keeps a value that lies on an edge in the bin above it.
+    """
+    bins = df.withColumn("bin", F.floor(F.round(F.col(value) / width, 9)).cast("long"))
     return value_histogram(bins, by, "bin")
 
 
-def violin(df: DataFrame, by: str, value: str, buckets: int | None = None) -> DataFrame:
+def violin(df: DataFrame, by: str, value: str, buckets: int | None = AUTO) -> DataFrame:
     """Rows, extremes, median and mean per group."""
     hist = value_histogram(df, [by], value)
     if buckets is not None:
         hist = stored(hist)
-    middle = quantiles(hist, [by], {"median": 0.5}, value, buckets=buckets)
+    middle = quantiles(hist, [by], {"median": 0.5}, value, buckets=buckets, is_stored=buckets is not None)
     n, v = F.col("n").cast("double"), F.col(value).cast("double")
     rest = hist.groupBy(F.col(by).alias("_by")).agg(
         F.sum("n").alias("rows"),

@@ -12,6 +12,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tertulia.operators.columns import listed
 from tertulia.operators.ordering import hash_number, positions
 
 # Class weights of the weighted loss, by class code.
@@ -34,11 +35,19 @@ def split(df: DataFrame, key: Column, rows: int, seed: int = 42) -> DataFrame:
     )
 
 
-def folds(df: DataFrame, key: Column, k: int = 10, seed: int = 42) -> DataFrame:
-    """Add ``fold``: shuffled position modulo ``k``, so sizes differ by at most one."""
-    return positions(df, key, "_position", seed).withColumn(
-        "fold", (F.col("_position") % k).cast("int")
-    ).drop("_position")
+def folds(df: DataFrame, key: Column, rows: int, k: int = 10, seed: int = 42) -> DataFrame:
+    """Add ``fold`` to the first train and test rows: shuffled position modulo ``k``.
+
+    Of ``rows`` rows the first int(0.8 n) + int(0.1 n) are used; none of the evaluation
+    part is among them. Fold sizes differ by at most one.
+    """
+    used = int(0.8 * rows) + int(0.1 * rows)
+    return (
+        positions(df, key, "_position", seed)
+        .where(F.col("_position") < used)
+        .withColumn("fold", (F.col("_position") % k).cast("int"))
+        .drop("_position")
+    )
 
 
 def fold_label_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -96,8 +105,10 @@ def accuracy(label: Column, prediction: Column) -> Column:
 def confusion_matrix(
     df: DataFrame, label: str, prediction: str, classes: Sequence[int] = (0, 1, 2)
 ) -> DataFrame:
-    """One row per actual class, one ``predicted_<class>`` column per predicted class."""
-    wide = df.groupBy(label).pivot(prediction, list(classes)).count().na.fill(0)
+    """One row per actual class, one ``predicted_<class>`` column per predicted class; a
+    predicted class that is not listed stops the job."""
+    checked = df.select(F.col(label), listed(F.col(prediction), classes, "class").alias(prediction))
+    wide = checked.groupBy(label).pivot(prediction, list(classes)).count().na.fill(0)
     return wide.select(label, *[F.col(f"`{c}`").alias(f"predicted_{c}") for c in classes])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tertulia.schema import LANGUAGE_REGIONS
@@ -43,3 +45,9 @@ def decode(value: Column, mapping: dict) -> Column:
     """Dictionary lookup as a literal map, null for unknown values."""
     pairs = [F.lit(x) for pair in mapping.items() for x in pair]
     return F.try_element_at(F.create_map(*pairs), value)
+
+
+def listed(column: Column, values: Sequence, what: str) -> Column:
+    """The column; a value that is neither null nor one of ``values`` stops the job."""
+    message = F.concat(F.lit(f"unlisted {what}: "), column.cast("string"))
+    return F.when(column.isNull() | column.isin(*values), column).otherwise(F.raise_error(message))

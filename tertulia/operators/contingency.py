@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.functions.numeric import ratio, row_sum
 from tertulia.functions.tails import chi2_sf
+from tertulia.operators.columns import listed
 from tertulia.schema import SATISFACTION_LABELS
 
 
@@ -16,10 +17,12 @@ def label_counts(
 ) -> DataFrame:
     """Counts, total and shares of each label per group; rows without a label are ignored.
 
-    The labels are listed, so one that never occurs is a column of zeros.
+    The labels are listed, so one that never occurs is a column of zeros, and one that
+    is not listed stops the job instead of being left out of the totals.
     """
     wide = (
         df.where(F.col(label).isNotNull())
+        .select(F.col(group), listed(F.col(label), labels, "label").alias(label))
         .groupBy(group)
         .pivot(label, labels)
         .agg(F.count(label))
@@ -118,6 +121,9 @@ def residuals(counts: DataFrame, group: str, names: list[str]) -> DataFrame:
     return expected_counts(counts, names).select(group, F.inline(F.array(*cells)))
 
 
-def transposed(long: DataFrame, group: str, groups: list[str]) -> DataFrame:
-    """Residuals with one row per label and one column per group."""
+def transposed(long: DataFrame, group: str, groups: list[str] | None = None) -> DataFrame:
+    """Residuals with one row per label and one column per group of the data, or per
+    listed group; a group that is not listed stops the job."""
+    if groups is not None:
+        long = long.withColumn(group, listed(F.col(group), groups, "group"))
     return long.groupBy("label").pivot(group, groups).agg(F.first("residual"))

@@ -37,15 +37,46 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
+def distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct (x, y) and the number of rows with them."""
+    return _both_known(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pearson_of_pairs(pairs: DataFrame) -> DataFrame:
+    """``pearson`` from written distinct pairs; sums are taken about the means, which are two
+    numbers of a first pass over the pairs."""
+    n = F.col("n").cast("double")
+    means = pairs.agg(F.sum(n * F.col("x")) / F.sum(n), F.sum(n * F.col("y")) / F.sum(n)).first()
+    u, v = (F.col(c) - F.lit(m).cast("double") for c, m in zip(("x", "y"), means, strict=True))
+    sums = pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.sum(n * u * v).alias("uv"),
+        F.sum(n * u * u).alias("uu"),
+        F.sum(n * v * v).alias("vv"),
+    )
+    spread = F.nullif(F.sqrt(F.col("uu")) * F.sqrt(F.col("vv")), F.lit(0.0))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("uv"), spread)))
+    out = sums.select(F.when(spread.isNotNull(), r).alias("r"), "n")
+    return out.select(
+        F.lit("pearson").alias("method"),
+        "r",
+        _p_value(F.col("r"), F.col("n")).alias("p_value"),
+        "n",
+    )
+
+
 def spearman(df: DataFrame, x: str, y: str, buckets: int | None = AUTO) -> DataFrame:
     """One row: rank correlation with mid-ranks for ties, p-value and number of rows.
 
     Rows are first reduced to distinct (x, y) with a count, so a value shared by
     many rows is one row (per partner value) before it is joined to its rank.
     """
-    pairs = _both_known(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    if buckets is not None:
-        pairs = stored(pairs)  # read three times below
+    pairs = distinct_pairs(df, x, y)
+    return spearman_of_pairs(pairs if buckets is None else stored(pairs), buckets)
+
+
+def spearman_of_pairs(pairs: DataFrame, buckets: int | None = AUTO) -> DataFrame:
+    """``spearman`` from distinct pairs, which are read three times."""
     hist = (
         pairs.select(
             F.inline(
@@ -80,7 +111,9 @@ def spearman(df: DataFrame, x: str, y: str, buckets: int | None = AUTO) -> DataF
     var_x = F.col("sxx") - F.col("sx") * F.col("sx") / size
     var_y = F.col("syy") - F.col("sy") * F.col("sy") / size
     r = F.try_divide(cov, F.nullif(F.sqrt(var_x * var_y), F.lit(0.0)))
-    out = sums.select(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"), "n")
+    # least() passes over a null, so a side without spread is kept out of it
+    bounded = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    out = sums.select(bounded.alias("r"), "n")
     return out.select(
         F.lit("spearman").alias("method"),
         "r",
@@ -90,4 +123,6 @@ def spearman(df: DataFrame, x: str, y: str, buckets: int | None = AUTO) -> DataF
 
 
 def correlations(df: DataFrame, x: str, y: str, buckets: int | None = AUTO) -> DataFrame:
-    return pearson(df, x, y).unionByName(spearman(df, x, y, buckets))
+    """Both, from one scan of ``df``: all but its distinct pairs is read once."""
+    pairs = stored(distinct_pairs(df, x, y))
+    return pearson_of_pairs(pairs).unionByName(spearman_of_pairs(pairs, buckets))

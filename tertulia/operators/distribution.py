@@ -44,6 +44,7 @@ def running_counts(
     value: str = "value",
     count: str = "n",
     buckets: int | None = AUTO,
+    is_stored: bool = False,
 ) -> DataFrame:
     """Add ``ties`` (rows with this value), ``upto`` (rows with this value or less) and
     ``size`` (all rows), each per ``by``.
@@ -53,7 +54,8 @@ def running_counts(
     sees about a ``buckets``-th of the distinct values of one ``by``. The histogram and
     the two small tables joined to it are then written to the shared folder: the source
     is scanned once, and the joins are planned from known sizes, so the histogram is
-    not shuffled by ``by`` alone, where one group may hold most of it.
+    not shuffled by ``by`` alone, where one group may hold most of it. ``is_stored`` says
+    that the histogram is such a written one already.
     """
     by = list(by)
     if buckets is None:
@@ -62,7 +64,7 @@ def running_counts(
         size = F.sum(count).over(Window.partitionBy(*by))
         return hist.withColumns({"upto": upto, "ties": ties, "size": size})
 
-    hist = stored(hist)
+    hist = hist if is_stored else stored(hist)
     size = bucket_count(hist, buckets)
     stride = math.isqrt(size) + 1
     cuts = ", ".join(f"{i / size}D" for i in range(1, size)) or "0.5D"
@@ -130,6 +132,7 @@ def quantiles(
     count: str = "n",
     method: str = "linear",
     buckets: int | None = AUTO,
+    is_stored: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group, one column per entry of ``probabilities``.
 
@@ -137,7 +140,7 @@ def quantiles(
     round((n - 1) * q), halves away from zero.
     """
     by = list(by)
-    ranked = running_counts(hist, by, value, count, buckets)
+    ranked = running_counts(hist, by, value, count, buckets, is_stored)
     v = F.col(value).cast("double")
 
     def at(index: Column) -> Column:
@@ -156,7 +159,7 @@ def quantiles(
 
 
 def at_or_above_quantile(
-    df: DataFrame, column: str, q: float, buckets: int | None = None
+    df: DataFrame, column: str, q: float, buckets: int | None = AUTO
 ) -> DataFrame:
     """Rows whose ``column`` reaches its nearest-rank quantile over the whole frame."""
     values = df.select(F.lit(1).alias("_all"), F.col(column).alias("_value"))

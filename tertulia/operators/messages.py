@@ -13,14 +13,15 @@ def explode_messages(df: DataFrame, *keep: str) -> DataFrame:
     """One row per message of a nested corpus, with its moderation entry and position.
 
     The two arrays must have the same length; a row where they differ stops the
-    job instead of being padded with nulls.
+    job instead of being padded with nulls. A row where either is null has no messages.
     """
     conversation, moderation = F.col("conversation"), F.col("openai_moderation")
-    checked = F.when(
-        F.size(conversation) == F.size(moderation), F.arrays_zip("conversation", "openai_moderation")
-    ).otherwise(
-        F.raise_error(F.lit("conversation and openai_moderation differ in length"))
+    unequal = conversation.isNotNull() & moderation.isNotNull() & (
+        F.size(conversation) != F.size(moderation)
     )
+    checked = F.when(
+        unequal, F.raise_error(F.lit("conversation and openai_moderation differ in length"))
+    ).otherwise(F.arrays_zip("conversation", "openai_moderation"))
     exploded = df.select(*keep, F.posexplode(checked).alias("position", "entry"))
     return exploded.select(
         *keep,

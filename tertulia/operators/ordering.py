@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.sources.corpus import materialise
 
+PICKS_SENT = 200_000
+
 
 def shuffle_key(key: Column, seed: int = 42) -> Column:
-    """Hex digest that orders rows pseudo-randomly."""
-    return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
+    """Hex digest that orders rows pseudo-randomly; a null key counts as an empty one."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}")))
 
 
 def hash_number(key: Column, seed: int = 42, digits: int = 8) -> Column:
@@ -98,8 +100,11 @@ def bootstrap(
 ) -> DataFrame:
     """Samples with replacement: ``subsets`` times ``draws`` rows out of ``rows``.
 
-    Adds ``subset`` and ``draw``. Each draw picks a position by hash and is joined
-    to the row at that position, so only draws and sampled rows move.
+    Adds ``subset`` and ``draw``. Each draw picks a position by hash. Positions are given
+    to the keys alone and only picked keys are joined to the rows, so other columns are
+    never shuffled for it while the picks, at most ``subsets * draws`` rows, are few enough
+    to be broadcast (PICKS_SENT); beyond that, rows are shuffled by key once. ``key`` must
+    identify a row.
     """
     spark = df.sparkSession
     picks = spark.range(subsets * draws).select(
@@ -108,6 +113,10 @@ def bootstrap(
     )
     label = F.concat_ws("/", F.col("subset").cast("string"), F.col("draw").cast("string"))
     picks = picks.withColumn("_pick", hash_number(label, seed, digits=12) % rows)
-    return picks.join(
-        positions(df, key, "_pick", seed), "_pick"
-    ).drop("_pick")
+    placed = positions(df.select(key.alias("_picked")), F.col("_picked"), "_pick", seed)
+    chosen = picks.join(placed, "_pick").select("subset", "draw", "_picked")
+    if subsets * draws <= PICKS_SENT:
+        chosen = F.broadcast(chosen)
+    keyed = df.withColumn("_key", key)
+    same = F.col("_key").eqNullSafe(F.col("_picked"))
+    return keyed.join(chosen, same).drop("_key", "_picked")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from tertulia.operators.columns import listed
 from tertulia.functions.numeric import round_half_away
 from tertulia.functions.tails import chi2_sf, normal_two_sided
 from tertulia.operators.distribution import AUTO, mid_rank, running_counts, stored, value_histogram
@@ -48,15 +49,22 @@ def kruskal_wallis(sums: DataFrame, group: str) -> DataFrame:
 
     Null when all values of a measure tie or fewer than two groups have rows.
     """
-    n = F.col("n").cast("double")
-    totals = sums.groupBy("measure").agg(
-        F.sum("n").cast("double").alias("total"),
-        F.count(F.lit(1)).alias("groups"),
-        F.sum(F.col("rank_sum") * F.col("rank_sum") / n).alias("squares"),
-        F.sum("tie_share").alias("tie_term"),
+    # squares about the mean rank: the textbook difference of two sums loses all digits
+    # of H when there are very many rows
+    n, whole = F.col("n").cast("double"), F.sum("n").over(Window.partitionBy("measure"))
+    gap = F.col("rank_sum") / n - (F.col("total") + 1) / 2.0
+    totals = (
+        sums.withColumn("total", whole.cast("double"))
+        .groupBy("measure")
+        .agg(
+            F.first("total").alias("total"),
+            F.count(F.lit(1)).alias("groups"),
+            F.sum(n * gap * gap).alias("squares"),
+            F.sum("tie_share").alias("tie_term"),
+        )
     )
     t = F.col("total")
-    raw = 12.0 / (t * (t + 1)) * F.col("squares") - 3.0 * (t + 1)
+    raw = 12.0 / (t * (t + 1)) * F.col("squares")
     correction = 1.0 - F.try_divide(F.col("tie_term"), t * t * t - t)
     h = F.when((F.col("groups") > 1) & (t > 1) & (correction > 0), F.try_divide(raw, correction))
     out = totals.select("measure", h.alias("h_statistic"), (F.col("groups") - 1).alias("df"))
@@ -130,10 +138,15 @@ def square(pairs: DataFrame, group: str) -> DataFrame:
     return entries.unionByName(diagonal)
 
 
-def matrix(long: DataFrame, columns: Sequence[str], label: str = "lang") -> DataFrame:
-    """Long square table of one measure to a labelled wide matrix."""
+def matrix(
+    long: DataFrame, columns: Sequence[str] | None = None, label: str = "lang"
+) -> DataFrame:
+    """Long square table of one measure to a labelled wide matrix, with a column per group
+    of the data or per listed group; a group that is not listed stops the job."""
+    if columns is not None:
+        long = long.withColumn("col", listed(F.col("col"), columns, "group"))
     return (
         long.groupBy(F.col("row").alias(label))
-        .pivot("col", list(columns))
+        .pivot("col", None if columns is None else list(columns))
         .agg(F.first("p"))
     )

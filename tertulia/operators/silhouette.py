@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS, LEAST_ROWS, TILE = 16_384, 256, 1024
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -25,6 +27,14 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+def _members(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct labels and a 0/1 matrix of rows by label."""
+    distinct, codes = np.unique(labels, return_inverse=True)
+    member = np.zeros((len(labels), len(distinct)))
+    member[np.arange(len(labels)), codes] = 1.0
+    return distinct, member
+
+
 def _partial_sums(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     """Distance sums of one block pair: per row and label of the opposite block."""
     same = pdf["block_a"].iat[0] == pdf["block_b"].iat[0]
@@ -32,24 +42,28 @@ def _partial_sums(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     frames = []
     if len(parts[0]) and len(parts[1]):
         vectors = [np.stack(p["vector"].to_numpy()).astype(np.float64) for p in parts]
-        distance = _distances(*vectors)
-        turns = [(parts[0], parts[1], distance)]
-        if not same:
-            turns.append((parts[1], parts[0], distance.T))
-        for rows, others, d in turns:
-            labels, codes = np.unique(others["label"].to_numpy(), return_inverse=True)
-            member = np.zeros((len(others), len(labels)))
-            member[np.arange(len(others)), codes] = 1.0
-            sums = d @ member
+        labels, members = zip(*(_members(p["label"].to_numpy()) for p in parts), strict=True)
+        sums = [np.zeros((len(parts[i]), len(labels[1 - i]))) for i in (0, 1)]
+        for i in range(0, len(vectors[0]), TILE):
+            for j in range(0, len(vectors[1]), TILE):
+                here, there = slice(i, i + TILE), slice(j, j + TILE)
+                distance = _distances(vectors[0][here], vectors[1][there])
+                sums[0][here] += distance @ members[1][there]
+                if not same:
+                    sums[1][there] += distance.T @ members[0][here]
+        for turn in (0,) if same else (0, 1):
+            rows, others = parts[turn], labels[1 - turn]
             frames.append(
                 pd.DataFrame(
                     {
-                        **{c: np.repeat(rows[c].to_numpy(), len(labels)) for c in by},
-                        "id": np.repeat(rows["id"].to_numpy(), len(labels)),
-                        "label": np.repeat(rows["label"].to_numpy(), len(labels)),
-                        "other": np.tile(labels, len(rows)),
-                        "distance": sums.ravel(),
-                        "members": np.tile(member.sum(axis=0).astype(np.int64), len(rows)),
+                        **{c: np.repeat(rows[c].to_numpy(), len(others)) for c in by},
+                        "id": np.repeat(rows["id"].to_numpy(), len(others)),
+                        "label": np.repeat(rows["label"].to_numpy(), len(others)),
+                        "other": np.tile(others, len(rows)),
+                        "distance": sums[turn].ravel(),
+                        "members": np.tile(
+                            members[1 - turn].sum(axis=0).astype(np.int64), len(rows)
+                        ),
                     }
                 )
             )
@@ -64,7 +78,7 @@ def silhouettes(
     label: str,
     by: Sequence[str] = (),
     rows: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Silhouette of every row within its ``by`` subset: (by, id, label, silhouette).
 
@@ -73,12 +87,19 @@ def silhouettes(
     a distance sum, so row pairs exist only inside a matrix product. ``rows`` is the
     size of the largest subset (counted here when it is not given); ``id`` must be
     unique within a subset. The work is quadratic in ``rows``: sample large corpora.
+    Blocks hold up to BLOCK_ROWS rows, or fewer while that gives the shuffle partitions
+    something to do each, so a vector is sent rows / BLOCK_ROWS times or about the
+    square root of twice the partitions.
     """
     by = list(by)
     if rows is None:
         counted = df.groupBy(*by).count() if by else df.agg(F.count(F.lit(1)).alias("count"))
         rows = counted.agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-rows // block_rows))
+    if block_rows:
+        blocks = max(1, -(-rows // block_rows))
+    else:
+        busy = math.isqrt(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+        blocks = max(1, -(-rows // BLOCK_ROWS), min(-(-rows // LEAST_ROWS), busy))
     narrow = df.select(
         *by,
         F.col(id).alias("id"),

@@ -53,18 +53,18 @@ def bootstrap_scores(
     key: Column,
     vector: str,
     label: str,
-    fraction: float = 0.05,
+    size: int = 1000,
     subsets: int = 20,
     seed: int = 42,
-    size: int | None = None,
+    fraction: float | None = None,
 ) -> DataFrame:
     """Silhouettes of ``subsets`` samples with replacement: (subset, id, label, silhouette).
 
-    The distance work is quadratic in the sample, so a large corpus should be given
-    an absolute ``size`` instead of a fraction.
+    The distance work is quadratic in the sample, so its ``size`` is absolute; a
+    ``fraction`` of the rows in its place is for small corpora.
     """
     rows = df.count()
-    draws = size if size is not None else int(rows * fraction)
+    draws = size if fraction is None else int(rows * fraction)
     sampled = bootstrap(df, key, draws, subsets, rows, seed)
     return silhouettes(sampled, "draw", vector, label, ["subset"], rows=draws)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tertulia.functions.numeric import round_half_away
 from tertulia.operators.aggregate import mean_and_std_with_total
-from tertulia.operators.distribution import mid_rank, running_counts, value_histogram
+from tertulia.operators.distribution import AUTO, mid_rank, running_counts, value_histogram
 from tertulia.operators.ranktests import dunn, kruskal_wallis, rank_sums
 from tertulia.schema import MEASURES
 
@@ -42,8 +42,8 @@ def ranked_scores(
     """Rounded scores of one role as a ranked histogram over eligible languages.
 
     All roles are counted in the same pass: eligibility needs every message of a
-    language, and a window over the counts spares a second scan. Rounded scores have
-    about a hundred values per measure, so ranks need no buckets.
+    language, and a window over the counts spares a second scan. Scores rounded to at
+    most three digits have about a thousand values per measure and are ranked without buckets.
     """
     quoted = [f"`{m}`" for m in measures]
     long = scored.select("lang", "role", *quoted).unpivot(
@@ -58,7 +58,8 @@ def ranked_scores(
         .where(F.col("role") == role)
         .drop("_messages", "role")
     )
-    return running_counts(eligible, ["measure"], buckets=None).withColumn("mid_rank", mid_rank())
+    few = None if digits <= 3 else AUTO
+    return running_counts(eligible, ["measure"], buckets=few).withColumn("mid_rank", mid_rank())
 
 
 def value_ranks(ranked: DataFrame) -> DataFrame:

@@ -51,45 +51,6 @@ LANGUAGE_REGIONS = {
     "Ukrainian": "Eastern",
 }
 
-# Languages the translation prompts support.
-TRANSLATION_LANGUAGES = [
-    "Bulgarian",
-    "Croatian",
-    "Czech",
-    "Danish",
-    "Dutch",
-    "English",
-    "Estonian",
-    "Finnish",
-    "French",
-    "German",
-    "Greek",
-    "Hungarian",
-    "Irish",
-    "Italian",
-    "Latvian",
-    "Lithuanian",
-    "Maltese",
-    "Polish",
-    "Portuguese",
-    "Romanian",
-    "Slovak",
-    "Slovenian",
-    "Spanish",
-    "Swedish",
-    "Arabic",
-    "Catalan",
-    "Chinese",
-    "Galician",
-    "Hindi",
-    "Japanese",
-    "Korean",
-    "Norwegian",
-    "Russian",
-    "Turkish",
-    "Ukrainian",
-]
-
 # Label orders.
 SENTIMENTS = ["negative", "neutral", "positive"]
 SATISFACTION_LABELS = ["YES", "NO", "NA"]

@@ -1,6 +1,7 @@
 """Result tables: CSV with a header, labelled matrices, one-row reports.
 
-All of them are aggregates of at most a few thousand rows, hence one output file.
+All of them are aggregates of at most a few thousand rows, hence one output file. Only the
+finished rows are brought together; what makes them runs on all tasks.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from tertulia.operators.ranktests import matrix, square
 
 
 def write_table(df: DataFrame, path: str, order: Sequence = ()) -> str:
-    out = df.orderBy(*order) if order else df
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    out = df.repartition(1)
+    out = out.sortWithinPartitions(*order) if order else out
+    out.write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -23,7 +25,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def write_matrix(
-    pairs: DataFrame, measure: str, columns: Sequence[str], folder: str, group: str = "lang"
+    pairs: DataFrame,
+    measure: str,
+    columns: Sequence[str] | None,
+    folder: str,
+    group: str = "lang",
 ) -> str:
     """Square p-value table of one measure; a slash in its name becomes an underscore."""
     long = square(pairs.where(F.col("measure") == measure), group)
@@ -33,5 +39,5 @@ def write_matrix(
 
 def write_report(df: DataFrame, path: str) -> str:
     """A one-row statistic as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.repartition(1).write.mode("overwrite").json(path)
     return path

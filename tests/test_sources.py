@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tertulia.schema import ANNOTATED_TRIPLES, CORPUS, SATISFACTION_COUNTS
 from tertulia.session import new_path, shared_folder
-from tertulia.sources.corpus import materialise, read_annotations, read_corpus, spread, write_corpus
+from tertulia.sources.corpus import materialise, read_annotations, read_corpus, write_corpus
 from tertulia.sources.results import read_table, write_matrix, write_report, write_table
 
 
@@ -58,9 +58,3 @@ def test_intermediates_go_to_the_shared_folder(spark):
     stored = materialise(spark.range(5), "numbers")
     assert stored.count() == 5
     assert all(folder in f for f in stored.inputFiles())
-
-
-def test_spread_leaves_wide_inputs_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
