@@ -32,7 +32,7 @@ WORD = (1 << 64) - 1
 SPREAD, TURN = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 
 ASCII_BLANKS = "\t\n\x0b\x0c\r"
-OTHER_BLANKS = re.compile("[\x85\xa0  -     　]")
+OTHER_BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 UNITS = regex.compile(r"\s*\S+|\s+")
 UNEVEN = ["  ", *(c + " " for c in ASCII_BLANKS), *(" " + c for c in ASCII_BLANKS)]
 
