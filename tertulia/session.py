@@ -46,6 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+RUN = f"tertulia-{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no earlier run has written."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path under this run's part of the shared folder that nothing has written yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> bool:
+    """Delete what this run has written to the shared folder; frames read from it are void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{RUN}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tertulia.schema import ANNOTATED_TRIPLES, CORPUS, SATISFACTION_COUNTS
-from tertulia.session import new_path, shared_folder
+from tertulia import session
+from tertulia.session import new_path, remove_written, shared_folder
 from tertulia.sources.corpus import materialise, read_annotations, read_corpus, write_corpus
 from tertulia.sources.results import read_table, write_matrix, write_report, write_table
 
@@ -58,3 +59,11 @@ def test_intermediates_go_to_the_shared_folder(spark):
     stored = materialise(spark.range(5), "numbers")
     assert stored.count() == 5
     assert all(folder in f for f in stored.inputFiles())
+
+
+def test_what_a_run_has_written_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    path = write_corpus(spark.range(3), new_path(spark, "some"))
+    assert spark.read.parquet(path).count() == 3
+    assert remove_written(spark) and os.listdir(tmp_path) == []
+    assert not remove_written(spark)
