@@ -4,6 +4,7 @@ from zlib import crc32
 import corpus_pipeline
 import pytest
 from llm_rows import long_text
+from pyspark.sql import functions as F
 from test_neardup import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,6 +28,26 @@ def test_stages(spark):
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_language_rejects_texts_with_letters(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r["lang"]: r["text"] for r in docs.where("length(text) between 400 and 2000").collect()}
+    names = sorted(texts)
+    mixed = [f"{texts[a][:400]} {texts[b][:400]}" for a in names for b in names if a < b]
+    strange = ["ข้อความภาษาไทย", "שלום עולם"]
+    added = [(10**6 + i, t) for i, t in enumerate(strange + mixed)]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in added], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(more), FOLDER).collect()}
+    lost = {t for i, t in added if i not in kept}
+    assert lost == set(strange)
+    assert kept >= {r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+
+
+def test_least_language_score():
+    for n in range(3, 200):
+        assert 1 / n < corpus_pipeline.least_language(n) < 0.5
+    assert corpus_pipeline.least_language(2) == 0.5 and corpus_pipeline.least_language(1) < 1
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, "?! 123"), (4, long_text(30)), (5, long_text(30))]])
 def test_edge_tables(spark, tmp_path, rows):
     docs = [(i, t, "en", "s", 0) for i, t in rows]
