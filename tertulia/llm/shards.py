@@ -3,7 +3,9 @@
 Documents are ordered by the SHA-256 of their text, so that equal texts are one atomic group,
 and the order is cut into contiguous shards. The largest shard is as small as it can be: the
 smallest capacity for which a greedy walk needs no more shards than there are, found by binary
-search over the group sizes in order.
+search over the group sizes in order. Within that capacity the cuts lie at the fair share of
+what remains, groups larger than a fair share aside: beside such a group the other shards are
+of near equal size too, and no shard is empty while there are as many groups.
 
 The walk needs the sizes' running sums, not every group. Sums over ranges of the order come
 first, at most RANGES of them; a capacity range that these cannot decide names the ranges
@@ -22,7 +24,7 @@ read, so others cannot clash.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -33,6 +35,7 @@ PER_ROW = 8
 BUCKET_ROWS, MOST_BUCKETS = 250_000, 4096
 DIGITS = 64
 END = "g"  # after every digest
+NEAR = 0.01  # of a fair share: a range not wider than this is not refined for a fair cut
 
 
 def _level(narrow: DataFrame, within: list[str], length: int) -> list[tuple[str, int, bool]]:
@@ -82,6 +85,65 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return low
 
 
+def oversized(sizes: list[int], shards: int) -> set[int]:
+    """Positions of the groups larger than the share of a shard once those are set aside."""
+    found, left = set(), sum(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        if len(found) + 1 >= shards or sizes[i] * (shards - len(found)) <= left:
+            break
+        found.add(i)
+        left -= sizes[i]
+    return found
+
+
+def fair(sizes: list[int], capacity: int, shards: int) -> list[int]:
+    """Positions after which to cut for sizes near equal, no shard over ``capacity``.
+
+    ``capacity`` must be one that suffices. No shard is empty if there are as many sizes.
+    """
+    n, ends = len(sizes), [0]
+    for s in sizes:
+        ends.append(ends[-1] + s)
+    # first[k]: the earliest position from which k shards hold the rest
+    first = [n]
+    for _ in range(shards):
+        first.append(bisect_left(ends, ends[first[-1]] - capacity))
+    large = sorted(oversized(sizes, shards))
+    loose = ends[-1] - sum(sizes[i] for i in large)  # bytes of other groups that remain
+    cuts, at, passed = [], 0, 0
+    for left in range(shards, 1, -1):
+        stop = large[passed] if passed < len(large) else n
+        run = ends[stop] - ends[at]  # up to the next oversized group
+        share = loose / max(1, left - (len(large) - passed))
+        if 2 * run < share and stop < n:
+            want = ends[stop + 1]
+        else:
+            want = ends[at] + run / max(1, round(run / share)) if run else ends[at]
+        cut = bisect_left(ends, want)
+        if cut > 0 and (cut > n or want - ends[cut - 1] < ends[cut] - want):
+            cut -= 1
+        low = max(first[left - 1], min(at + 1, n))
+        high = min(bisect_right(ends, ends[at] + capacity) - 1, n - left + 1)
+        cut = max(low, min(cut, high))
+        while passed < len(large) and large[passed] < cut:
+            passed += 1
+        loose -= ends[cut] - ends[at] - sum(sizes[i] for i in large if at <= i < cut)
+        cuts.append(cut)
+        at = cut
+    return [*cuts, n]
+
+
+def _uneven(parts: list[tuple[str, int, bool]], at: list[int], shards: int) -> list[str]:
+    """Ranges of several groups beside a cut that are too wide for sizes near equal."""
+    if len(parts) < shards:
+        return [p for p, _, single in parts if not single]
+    sizes = [s for _, s, _ in parts]
+    large = oversized(sizes, shards)
+    share = (sum(sizes) - sum(sizes[i] for i in large)) / (shards - len(large))
+    beside = {i for cut in at for i in (cut - 1, cut) if 0 <= i < len(parts)} | large
+    return [parts[i][0] for i in sorted(beside) if not parts[i][2] and parts[i][1] > NEAR * share]
+
+
 def _bounds(parts: list[tuple[str, int, bool]], shards: int) -> tuple[int, int]:
     """Capacities between which the smallest one lies, knowing only sums over ranges.
 
@@ -114,7 +176,7 @@ def _reach(parts: list[tuple[str, int, bool]], low: int, high: int, shards: int)
 
 
 def cuts(narrow: DataFrame, shards: int) -> list[str]:
-    """The first digest of every shard but the first; END for a shard that stays empty.
+    """The first digest of every shard but the first; END if there are fewer groups than shards.
 
     ``narrow`` has the columns digest (64 hex digits, or empty) and size.
     """
@@ -123,6 +185,10 @@ def cuts(narrow: DataFrame, shards: int) -> list[str]:
     while True:
         low, high = _bounds(parts, shards)
         split = _reach(parts, low, high, shards) if parts else []
+        if not split:
+            sizes = [s for _, s, _ in parts]
+            at = fair(sizes, smallest_capacity(sizes, shards), shards)
+            split = _uneven(parts, at, shards)
         if not split:
             break
         # ranges have several lengths by now; those to split are refined by equal length
@@ -132,12 +198,6 @@ def cuts(narrow: DataFrame, shards: int) -> list[str]:
         finer = _level(narrow, now, min(DIGITS, length + more))
         gone = set(now)
         parts = sorted([x for x in parts if x[0] not in gone] + finer)
-    capacity = smallest_capacity([s for _, s, _ in parts], shards)
-    ends, total = [], 0
-    for _, s, _ in parts:
-        total += s
-        ends.append(total)
-    at = greedy(ends, capacity, shards) or []
     firsts = [parts[i][0] if i < len(parts) else END for i in at]
     return (firsts + [END] * shards)[: shards - 1]
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -30,6 +31,33 @@ def test_capacity_is_the_smallest(shards):
     assert S.smallest_capacity(sizes, shards) == brute(sizes, shards)
 
 
+@pytest.mark.parametrize("part", [0.0, 0.06, 0.1, 1 / 3])
+@pytest.mark.parametrize("place", [0, 7_000, 20_000])
+def test_other_shards_are_near_equal_beside_a_hot_group(part, place):
+    draw = random.Random(4)
+    sizes = [draw.randint(200, 2000) for _ in range(20_000)]
+    hot = int(sum(sizes) * part / (1 - part))
+    if hot:
+        sizes.insert(place, hot)
+    capacity = S.smallest_capacity(sizes, 24)
+    cuts = [0, *S.fair(sizes, capacity, 24)]
+    got = [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert cuts[-1] == len(sizes) and max(got) <= capacity and min(got) > 0
+    others = [g for g in got if not hot or g < hot]
+    assert len(others) >= 23 and max(others) < 1.1 * min(others)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_fair_cuts_keep_the_capacity(seed):
+    draw = random.Random(seed)
+    sizes = [draw.choice([8, 9, 20, 50, 400]) for _ in range(draw.randint(1, 40))]
+    shards = draw.randint(1, 12)
+    cuts = [0, *S.fair(sizes, brute(sizes, shards), shards)]
+    got = [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert len(got) == shards and sum(got) == sum(sizes) and max(got) <= brute(sizes, shards)
+    assert sum(g > 0 for g in got) == min(shards, len(sizes))
+
+
 def digest(text):
     return "" if text is None else hashlib.sha256(text.encode()).hexdigest()
 
@@ -65,5 +93,16 @@ def test_hot_group_and_refined_ranges(spark, monkeypatch):
     check(rows, S.sharded(pairs(spark, rows), 6).collect(), 6)
 
 
+def test_no_shard_is_empty_beside_a_hot_group(spark):
+    rows = [(i, "same text " * 9) for i in range(1200)] + [(5000 + i, f"other text {i} " * 6) for i in range(2400)]
+    found = S.sharded(pairs(spark, rows), 24).collect()
+    check(rows, found, 24)
+    got = Counter()
+    for r in found:
+        got[r["shard"]] += r["size"]
+    others = sorted(got.values())[:-1]
+    assert len(got) == 24 and others[-1] < 1.2 * others[0]
+
+
 def test_empty(spark):
     assert S.sharded(empty(spark), 4).count() == 0
