@@ -15,6 +15,7 @@ from tertulia.llm.shards import sharded
 from tertulia.llm.lattice import read_pieces, scored
 from tertulia.llm.toxicity import fit_toxicity, with_toxicity
 from tertulia.llm.neighbours import nearest
+from tertulia.llm.phrases import collocations
 from tertulia.llm.lengths import length_table, with_token_count
 from tertulia.llm.store import fold, table
 
@@ -165,3 +166,9 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, tokens and truncated tokens at every encoded length."""
     docs = table(spark, folder, "documents").select("text")
     return length_table(with_token_count(docs, multilingual_bpe()))
+
+
+@query("op11_collocations", sql.COLLOCATIONS)
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return collocations(table(spark, folder, "documents").select("text", "lang"))

@@ -55,3 +55,44 @@ SELECT d.id AS doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, component_id,
        d.id = component_id AS kept
 FROM documents_sets d JOIN smallest USING (id)
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, m, w[i:i + m - 1] AS p
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM words, (SELECT unnest(range(1, 6)) AS m))
+), counts AS (
+  SELECT lang, m, p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.m, c.p, c.a, k, l.a AS l, r.a AS r, n,
+         CAST(1000 * CAST(c.a AS HUGEINT) * n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM counts WHERE m > 1) c
+  JOIN counts l ON l.lang = c.lang AND l.p = c.p[1:k]
+  JOIN counts r ON r.lang = c.lang AND r.p = c.p[k + 1:]
+  JOIN totals t ON t.lang = c.lang
+), scored AS (
+  SELECT * FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT DISTINCT lang, q, a
+  FROM (SELECT lang, p, m, a, s, unnest(range(1, m - s + 2)) AS i
+        FROM counts, (SELECT unnest(range(2, 5)) AS s) WHERE m > s) x,
+       LATERAL (SELECT p[i:i + s - 1] AS q)
+), ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC,
+                            encode(array_to_string(p, ' '))) AS rank
+  FROM scored s
+  WHERE NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = s.lang AND i.q = s.p AND i.a >= s.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+""".format(upper=LETTERS, lower=LETTERS.lower())
