@@ -38,7 +38,8 @@ SPLITS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 BLANKS = SPLITS.copy()
 BLANKS[[32, 9]] = True
 
-STRETCH = 4 << 20  # bytes worked on at once
+STRETCH = 1 << 20  # bytes worked on at once
+COUNTED = 1 << 21  # keys counted at once
 BLOOM_LEAST, BLOOM_MOST = 16, 28  # log2 of the filter's bits
 ROWS_A_TASK = 400_000
 _WORD, _PAIR = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xD6D0B4F6C3A1E58B)
@@ -141,17 +142,24 @@ def _keys(hashes: np.ndarray, of: np.ndarray, joined: np.ndarray) -> tuple[np.nd
 def key_counts(docs: DataFrame) -> DataFrame:
     """key, n: occurrences of words and pairs of words by hash (of language and words)."""
 
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
     def work(batches):
-        texts = Texts()
+        texts, parts, size = Texts(), [], 0
         for batch in batches:
             _, hashed = _language_keys(batch)
             for span, local, codes, owned in _stretched(batch):
                 hashes, code, joined, mine = texts.of(span, local, codes, owned)
                 words, pairs = _keys(hashes, hashed[code], joined)
-                keys, n = np.unique(
-                    np.concatenate([words[mine], pairs[mine[:-1][joined]]]), return_counts=True
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+                parts += [words[mine], pairs[mine[:-1][joined]]]
+                size += len(parts[-1]) + len(parts[-2])
+                if size > COUNTED:
+                    yield counted(parts)
+                    parts, size = [], 0
+        if parts:
+            yield counted(parts)
 
     return docs.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
