@@ -39,7 +39,7 @@ BLANKS = SPLITS.copy()
 BLANKS[[32, 9]] = True
 
 STRETCH = 1 << 20  # bytes worked on at once
-COUNTED = 1 << 21  # keys counted at once
+COUNTED = 1 << 20  # keys counted at once
 BLOOM_LEAST, BLOOM_MOST = 16, 28  # log2 of the filter's bits
 ROWS_A_TASK = 400_000
 _WORD, _PAIR = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xD6D0B4F6C3A1E58B)
@@ -243,15 +243,14 @@ def routed(rows: DataFrame, tasks: int, limit: int) -> DataFrame:
     out = rows.withColumn("depth", F.lit(1))
     for depth in range(1, LONGEST):
         lead = F.substring_index("phrase", " ", depth)
-        deep = out.where(F.col("depth") == depth)
-        hot = deep.groupBy("lang", lead.alias("_lead")).count().where(F.col("count") > limit)
+        hot = rows.groupBy("lang", lead.alias("_lead")).count().where(F.col("count") > limit)
         hot = hot.select(F.col("lang").alias("_lang"), "_lead").collect()
         if not hot:
-            break
+            break  # words that lead more rows than that also do so without the last of them
         few = rows.sparkSession.createDataFrame(hot, "_lang string, _lead string")
-        met = (F.col("lang") == F.col("_lang")) & (lead == F.col("_lead")) & (F.col("depth") == depth)
+        met = (F.col("lang") == F.col("_lang")) & (lead == F.col("_lead"))
         out = out.join(F.broadcast(few), met, "left").withColumn(
-            "depth", F.when(F.col("_lead").isNotNull(), depth + 1).otherwise(F.col("depth"))
+            "depth", F.col("depth") + F.col("_lead").isNotNull().cast("int")
         ).drop("_lang", "_lead")
     route = F.expr("substring_index(phrase, ' ', depth)")
     return out.withColumn("route", route).repartition(tasks, "lang", "route")
