@@ -13,6 +13,7 @@ from tertulia.llm.neardup import near_duplicates
 from tertulia.llm.contamination import with_hits
 from tertulia.llm.shards import sharded
 from tertulia.llm.lattice import read_pieces, scored
+from tertulia.llm.tries import prefix_trie
 from tertulia.llm.toxicity import fit_toxicity, with_toxicity
 from tertulia.llm.neighbours import nearest
 from tertulia.llm.phrases import collocations
@@ -172,3 +173,9 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def phrases(spark: SparkSession, folder: str) -> DataFrame:
     """The first 2000 collocations of each language."""
     return collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
+@query("op12_prefix_trie", sql.PREFIX_TRIE)
+def trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie(table(spark, folder, "conversations"))

