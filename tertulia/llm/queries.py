@@ -16,6 +16,7 @@ from tertulia.llm.lattice import read_pieces, scored
 from tertulia.llm.tries import prefix_trie
 from tertulia.llm.toxicity import fit_toxicity, with_toxicity
 from tertulia.llm.neighbours import nearest
+from tertulia.llm.packing import file_encoder, packed
 from tertulia.llm.phrases import collocations
 from tertulia.llm.lengths import length_table, with_token_count
 from tertulia.llm.store import fold, table
@@ -179,3 +180,25 @@ def phrases(spark: SparkSession, folder: str) -> DataFrame:
 def trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     return prefix_trie(table(spark, folder, "conversations"))
+
+
+def word_encoder():
+    """In a worker: the encoder of the public tokenizer file of the packing query."""
+    import public_tokenizers
+
+    return file_encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids in pieces of sequences of 4096 tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packed(docs, word_encoder).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
