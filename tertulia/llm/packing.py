@@ -19,7 +19,10 @@ token spans. A null key is returned as null. Other columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable, Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -27,68 +30,123 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tertulia.llm.words import buffers
+from tertulia.llm.words import buffers, runs
 
 LENGTH, END, OPEN = 4096, 2, 2048
-REMEMBERED = 250_000  # words whose ids a worker keeps, twice
+REMEMBERED = 400_000  # words whose ids a worker keeps, twice
 LONGEST_REMEMBERED = 64  # bytes of such a word
+TOGETHER = 10_000  # words encoded at once
 PART, ROWS_OUT = 1 << 20, 8192
+MARKS, BLANK = b".,;:!?", re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 class WordIds:
-    """Ids of texts by a tokenizer whose tokens never span ASCII white space.
+    """Ids of texts by a tokenizer to which the case of words of ASCII does not matter, and whose
+    tokens span no ASCII white space and no border between letters and MARKS after them.
 
-    ``encode`` turns a list of texts into lists of ids. Each distinct word between white space is
-    encoded once while it is remembered; the older half of what is remembered goes when full.
+    ``encode`` turns a list of texts into the bytes of their ids (little-endian, 32 bits each).
+    A word between white space is encoded once while it is remembered; the older half of what is
+    remembered goes when full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def of(self, raw: bytes) -> bytes:
-        """The ids of one text, little-endian, 32 bits each."""
-        if len(raw) <= PART:
-            return self._part(raw)
-        out, at = [], 0
-        while at < len(raw):
-            end = min(len(raw), at + PART)
-            while end < len(raw) and raw[end] not in b" \t\n\x0b\x0c\r":
-                end += 1
-            out.append(self._part(raw[at:end]))
-            at = end
-        return b"".join(out)
-
-    def _part(self, raw: bytes) -> bytes:
-        words = raw.split()
-        missing = list(set(words).difference(self.new))
-        if missing:
-            if len(self.new) + len(missing) > self.remembered:
-                self.old, self.new = self.new, {}
-                missing = list(set(words))
-            unknown = [w for w in missing if w not in self.old]
-            for w in missing:
-                if w in self.old:
-                    self.new[w] = self.old[w]
-            if unknown:
-                texts = [w.decode("utf-8") for w in unknown]
-                for w, ids in zip(unknown, self.encode(texts), strict=True):
-                    self.new[w] = np.array(ids, dtype="<u4").tobytes()
-        out = b"".join(map(self.new.__getitem__, words))
-        for w in missing:
-            if len(w) > LONGEST_REMEMBERED:
-                del self.new[w]
+    def of(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        parts = [list(_parts(raw)) for raw in raws]
+        words = [[p.split() for p in of] for of in parts]
+        self._learn({w for of in words for p in of for w in p})
+        known = self.new.__getitem__
+        out = [b"".join([b"".join(map(known, p)) for p in of]) for of in words]
+        for w in self.long:
+            del self.new[w]
         return out
 
-
-def file_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """The encoder of a tokenizer file; strings of special tokens are ordinary text."""
+    def _learn(self, wanted: set[bytes]) -> None:
+        """Has ``new`` hold all words of ``wanted``."""
+        missing = wanted.difference(self.new)
+        if len(self.new) + len(missing) > self.remembered:
+            self.old, self.new, missing = self.new, {}, wanted
+        unknown = []
+        for w in missing:
+            ids = self.old.get(w)
+            if ids is None:
+                unknown.append(w)
+            else:
+                self.new[w] = ids
+        halves, alone = {}, set()  # words made of others, and those that are not
+        for w in unknown:
+            plain = w.lower() if w.isascii() else w
+            body = plain.rstrip(MARKS)
+            if len(body) < len(w) and (body.isalpha() or normalize("NFC", body.decode().lower()).isalpha()):
+                halves[w] = body, plain[len(body) :]
+            elif plain != w:
+                halves[w] = plain, b""
+            else:
+                alone.add(w)
+                continue
+            alone.update(x for x in halves[w] if x not in self.new)
+        alone = list(alone)
+        found = dict(zip(alone, self.encode([w.decode() for w in alone]), strict=True))
+        self.new.update(found)
+        for w, (body, marks) in halves.items():
+            self.new[w] = self.new[body] + self.new[marks]
+        self.long = [w for w in {*halves, *alone} if len(w) > LONGEST_REMEMBERED]
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of about PART bytes, cut before white space."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + PART)
+        if end < len(raw):
+            blank = BLANK.search(raw, end)
+            end = blank.start() if blank else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def file_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """The encoder of a tokenizer file whose words end with a token in ``</w>``.
+
+    Strings of special tokens are ordinary text. Texts of letters alone are words, and encoded
+    together; the ends show which ids are whose.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def separately(texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def together(words: list[str]) -> list[bytes]:
+        ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(words):  # a letter whose lower case is more than letters
+            return separately(words)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for of, how in ((plain, together), (rest, separately)):
+            for first in range(0, len(of), TOGETHER):
+                some = of[first : first + TOGETHER]
+                for i, ids in zip(some, how([texts[i] for i in some]), strict=True):
+                    out[i] = ids
+        return out
+
+    return encode
 
 
 class Levels:
@@ -177,7 +235,7 @@ def packed_rows(sizes: Iterator[int], length: int = LENGTH) -> Iterator[list]:
 
 def packed(
     docs: DataFrame,
-    encoder: Callable[[], Callable[[list[str]], list[list[int]]]],
+    encoder: Callable[[], Callable[[list[str]], list[bytes]]],
     key: str = "doc_id",
     text: str = "text",
     length: int = LENGTH,
@@ -199,8 +257,12 @@ def packed(
     )
     kinds = [to_arrow_type(schema[0].dataType), *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 3]
 
+    memo = docs.sparkSession.sparkContext.broadcast({})  # each worker fills its own
+
     def work(batches):
-        words = WordIds(encoder())
+        if "words" not in memo.value:
+            memo.value["words"] = WordIds(encoder())
+        words = memo.value["words"]
         keys: dict[int, object] = {}  # of rows with pieces that are not out yet
         held: dict[int, tuple[bytes, int, int]] = {}  # ids, the first one's place, doc_tokens
 
@@ -208,12 +270,14 @@ def packed(
             n = 0
             for batch in batches:
                 data, offsets = buffers(batch.column(1))
-                for i in range(batch.num_rows):
-                    raw = words.of(data[offsets[i] : offsets[i + 1]].tobytes()) + tail
-                    size = len(raw) // 4
-                    keys[n], held[n] = batch.column(0)[i].as_py(), (raw, 0, size)
-                    yield size
-                    n += 1
+                of = batch.column(0).to_pylist()
+                for first, last in runs(offsets, PART):
+                    raws = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]
+                    for value, ids in zip(of[first:last], words.of(raws), strict=True):
+                        size = len(ids) // 4 + 1
+                        keys[n], held[n] = value, (ids + tail, 0, size)
+                        yield size
+                        n += 1
 
         left: dict[int, int] = {}  # tokens that are not out yet
         number = TaskContext.get().partitionId() << 32
