@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tertulia.llm.words import buffers, runs
 
 LENGTH, END, OPEN = 4096, 2, 2048
-REMEMBERED = 400_000  # words whose ids a worker keeps, twice
+REMEMBERED = 600_000  # words whose ids a worker keeps, twice
 LONGEST_REMEMBERED = 64  # bytes of such a word
 TOGETHER = 10_000  # words encoded at once
 PART, ROWS_OUT = 1 << 20, 8192

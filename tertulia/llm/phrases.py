@@ -214,8 +214,7 @@ def suffixes(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
                         size += on
                         at = np.flatnonzero(on)
                         key[at] = mixed(key[at] * _PAIR + words[at + k])
-                        on[: len(on) - k] &= go[k:]
-                        on[max(0, len(on) - k) :] = False
+                        on &= np.concatenate([go[k:], np.zeros(min(k, len(go)), dtype=bool)])
                 begin = np.flatnonzero(frequent & mine)
                 _, first, n = np.unique(key[begin], return_index=True, return_counts=True)
                 first = begin[first]
