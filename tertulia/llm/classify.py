@@ -1,7 +1,7 @@
 """Language and quality of whole texts by the byte network of ``conv``.
 
-Both are trained on the driver on a bounded sample of labelled rows (``SAMPLE`` rows in
-expectation, texts of at most ``SAMPLE_BYTES`` bytes; a hash of the id picks them, so the
+Both are trained on the driver on a bounded sample of labelled rows (``SAMPLE`` rows at most
+or one a label, texts of at most ``SAMPLE_BYTES`` bytes; a hash of the id picks them, so the
 sample does not depend on how rows are stored) and then applied to every row where it is.
 Null and empty texts get the score of a window of zero bytes, so never null; repeated rows
 get equal scores; an empty table gives an empty result; with nothing to learn from, the
@@ -14,10 +14,10 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tertulia.llm import conv
-from tertulia.llm.store import free, replaced, with_computed
+from tertulia.llm.store import free, others, replaced, with_computed
 
 SAMPLE, SAMPLE_BYTES = 2_400, 16_384
 UNKNOWN = "und"
@@ -25,7 +25,11 @@ _SCALE = 1 << 30
 
 
 def balanced(df: DataFrame, label: str, key: str, sample: int) -> DataFrame:
-    """About ``sample`` rows, as many of each label as there are, the same ones each time."""
+    """At most ``sample`` rows and a label, as many of each label, the same ones each time.
+
+    A row without ``key`` is not taken, and a key once for each label, with its smallest values.
+    """
+    df = df.where(F.col(key).isNotNull())
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     if not counts:
         return df.limit(0)
@@ -35,7 +39,12 @@ def balanced(df: DataFrame, label: str, key: str, sample: int) -> DataFrame:
         T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("_rate", T.LongType())]),
     )  # one row per label
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(_SCALE))
-    return df.join(F.broadcast(rates), label).where(draw < F.col("_rate")).drop("_rate")
+    near = df.join(F.broadcast(rates), label).where(draw < 2 * F.col("_rate")).drop("_rate")
+    rest = others(df, (key, label))
+    least = F.min(F.struct(*rest)) if rest else F.lit(None)
+    near = near.groupBy(key, label).agg(least.alias("_least")).select(key, label, *(F.col(f"_least.{c}") for c in rest))
+    order = Window.partitionBy(label).orderBy(draw, key)
+    return near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= share).drop("_place")
 
 
 def short(text: Column) -> Column:
@@ -110,7 +119,8 @@ def labelled_sample(
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     picked = balanced(known, "_label", "doc_id", sample)  # about ``sample`` rows
     texts = docs.select("doc_id", "text").where(short(F.col("text")))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("_label", "text").collect()
+    met = texts.join(F.broadcast(picked), "doc_id")  # ``sample`` rows
+    rows = met.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
     rows = sorted((r["_label"], r["text"]) for r in rows)
     order = np.random.default_rng(5).permutation(len(rows))
     total = max(1, sum(counts.values()))

@@ -61,24 +61,31 @@ class Model:
 
 
 def repeat_levels(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Share of the last NEAR bytes whose four bytes stood within the LAGS bytes before."""
+    """Share of the last NEAR bytes whose four bytes stood within the LAGS bytes before.
+
+    ``cuts`` are the rows' first bytes; a row's levels depend on its own bytes only.
+    """
     n = len(data)
     seen = np.zeros(n, dtype=bool)
-    if n > 8:
+    at = np.arange(n)
+    row = np.searchsorted(cuts, at, side="right") - 1
+    start, stop = cuts[row], np.append(cuts[1:], n)[row]
+    if n > 3:
         wide = data.astype(np.uint32)
         code = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
         for lag in range(2, min(LAGS, len(code) - 1) + 1):
-            seen[lag : len(code)] |= code[lag:] == code[:-lag]
+            seen[lag : len(code)] |= (code[lag:] == code[:-lag]) & ((at - start)[lag : len(code)] >= lag)
+    seen &= at + 3 < stop  # nothing is compared across the border of two rows
     total = np.concatenate([[0], np.cumsum(seen)])
-    at = np.arange(n)
-    begin = np.maximum(at - NEAR + 1, cuts[np.searchsorted(cuts, at, side="right") - 1])
+    begin = np.maximum(at - NEAR + 1, start)
     return ((total[at + 1] - total[begin]) * (LEVELS - 1) // NEAR).astype(np.uint8)
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, shape: Shape):
+def windows(data: np.ndarray, offsets: np.ndarray, shape: Shape, around: tuple[int, int] = (0, 0)):
     """Windows of the rows as a byte matrix, their levels, their sizes and each row's first one.
 
-    An empty row has one window of zero bytes.
+    An empty row has one window of zero bytes. ``around``: how many bytes before and after are
+    of the same row, if there is but one and it is a part.
     """
     sizes = np.diff(offsets)
     count = np.maximum(1, -(-np.maximum(sizes - shape.window, 0) // shape.step) + 1)
@@ -94,8 +101,11 @@ def windows(data: np.ndarray, offsets: np.ndarray, shape: Shape):
     found = np.where(outside, 0, padded[np.minimum(index, len(padded) - 1)]).astype(np.uint8)
     level = None
     if shape.repeats:
+        before, after = around
         starts = np.unique(offsets[:-1] - offsets[0])
-        marks = repeat_levels(span, starts[starts < max(1, len(span))] if len(span) else np.zeros(1, int))
+        wide = data[offsets[0] - before : offsets[-1] + after]
+        marks = repeat_levels(wide, starts[starts < max(1, len(span))] if len(span) else np.zeros(1, int))
+        marks = marks[before : before + len(span)]
         marks = np.concatenate([marks, np.zeros(shape.window, dtype=np.uint8)])
         level = np.where(outside, 0, marks[np.minimum(index, len(marks) - 1)]).astype(np.uint8)
     return found, level, left, first[:-1]
@@ -243,20 +253,24 @@ def scores(model: Model, column: pa.Array) -> Iterator[np.ndarray]:
         z = sums / size[:, None]
         if shape.with_max:
             z = np.concatenate([z, most], axis=1)
-        yield softmax(z @ model.dense + model.bias)
+        # row by row: a matrix product may round a row otherwise beside others
+        yield softmax((z[:, :, None] * model.dense[None]).sum(axis=1) + model.bias)
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, shape: Shape, most: int = 48):
+def blocks(
+    data: np.ndarray, offsets: np.ndarray, shape: Shape, most: int = 48, around: tuple[int, int] = (0, 0)
+):
     """Windows of the rows, at most ``most`` at a time; a very long row comes in parts."""
-    if len(offsets) == 2 and offsets[1] - offsets[0] > PIECE:
+    if len(offsets) == 2 and offsets[1] - offsets[0] > PIECE and around == (0, 0):
         stride = shape.step * max(1, PIECE // 2 // shape.step)
         for at in range(offsets[0], offsets[1], stride):
             end = min(offsets[1], at + stride + shape.window - shape.step)
             if at > offsets[0] and end - at <= shape.window - shape.step:
                 break
-            yield from blocks(data, np.array([at, end]), shape, most)
+            near = min(NEAR + LAGS, at - offsets[0]), min(3, offsets[1] - end)
+            yield from blocks(data, np.array([at, end]), shape, most, near)
         return
-    found, level, left, first = windows(data, offsets, shape)
+    found, level, left, first = windows(data, offsets, shape, around)
     row = np.searchsorted(first, np.arange(len(found)), side="right") - 1
     for at in range(0, len(found), most):
         part = slice(at, at + most)

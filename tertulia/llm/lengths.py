@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tertulia.llm.bpe import encoder, sent
-from tertulia.llm.store import with_computed
+from tertulia.llm.store import with_computed, written
 from tertulia.llm.words import buffers, runs
 
 BUCKET = 1024
@@ -51,7 +51,8 @@ def length_table(counted: DataFrame, count: str = "n_tokens") -> DataFrame:
     a token; see ``at_limits``.
     """
     rows = counted.groupBy(F.col(count).alias("length")).agg(F.count(F.lit(1)).alias("docs"))
-    rows = rows.withColumn("_bucket", F.floor(F.col("length") / BUCKET))
+    # written, as two branches read it and the texts are to be encoded once
+    rows = written(rows.withColumn("_bucket", F.floor(F.col("length") / BUCKET)), "lengths")
     totals = rows.groupBy("_bucket").agg(
         F.sum("docs").alias("_docs"), F.sum(F.col("docs") * F.col("length")).alias("_tokens")
     )

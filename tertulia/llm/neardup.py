@@ -31,15 +31,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tertulia.llm.stars import components
-from tertulia.llm.store import others, with_computed, written
+from tertulia.llm.store import free, with_computed, written
 from tertulia.llm.words import Words, shingle_sets
 
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
 AGREE = 0.65
+WORD = r"[^\x20\x09-\x0D]"
 SMALL, ROWS_OF_BLOCK, COLUMNS = 16, 512, 4096
 BLOCK = 1024
 
@@ -295,7 +296,8 @@ def links_closed(
     """Components (a, b) over ``nodes`` (node, minima), as ``stars.components`` gives them."""
     bands = nodes.select("node", F.explode(F.array(*band_keys("minima"))).alias("key"))
     lows = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = lows.where("low < high").select("key", "low")
+    # written, so that its size is known and the bands of a hot key need not meet in one task
+    shared = written(lows.where("low < high").select("key", "low"), "shared-keys")
     grouped = written(bands.join(shared, "key").select("key", "node", "low"), "groups")
     met = grouped.select("node").distinct()
     sets = written(_sets(docs, met, id_column, text), "sets")
@@ -318,11 +320,21 @@ def links_closed(
     return components(links.union(stars))
 
 
+def _row_key(id_column: Column, text: Column) -> Column:
+    """A digest of an id and a text that are not null, or of the text alone."""
+    return F.md5(F.concat_ws(" ", F.md5(text.cast("binary")), id_column.cast("string")).cast("binary"))
+
+
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text: str = "text"
+    docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text: str = "text", rows: bool = False
 ) -> DataFrame:
-    """One row for each row: the id, n_shingles, component_id and kept."""
+    """One row for each row: the id, n_shingles, component_id and kept.
+
+    With ``rows`` also the digest of the set and ``_row``, a key of id and text.
+    """
     pair = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
+    if rows:
+        pair = pair.withColumn("_row", _row_key(F.col("_id"), F.col("_text")))
     signed = written(with_signatures(pair, "_text"), "signatures")
     classes = written(
         signed.where(F.col("digest").isNotNull())
@@ -332,24 +344,36 @@ def near_duplicates(
     )
     first = classes.where(F.col("node").isNotNull()).select(F.col("node").alias("_id"), "digest")
     nodes = written(
-        signed.join(first, ["_id", "digest"], "left_semi").select(F.col("_id").alias("node"), "minima"),
+        signed.join(first, ["_id", "digest"], "left_semi")
+        .dropDuplicates(["_id", "digest"])  # repeated rows have the same minima
+        .select(F.col("_id").alias("node"), "minima"),
         "nodes",
     )
     stars = links_closed(pair, nodes, percent, "_id", "_text")
     homes = classes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("comp")), "node", "left")
     homes = homes.select("digest", F.coalesce("comp", "node").alias("comp"))
-    found = signed.select("_id", "n_shingles", "digest").join(homes, "digest", "left")
+    found = signed.drop("minima").join(homes, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("_id")).otherwise(F.col("comp"))
     return found.select(
         F.col("_id").alias(id_column),
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("_id") == component, component.isNull()).alias("kept"),
+        *(["digest", "_row"] if rows else []),
     )
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    found = near_duplicates(docs, percent).where("not kept and doc_id is not null")
-    gone = found.select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(docs[c] for c in others(docs, ())))
+    """The documents that stay, with all their columns: one of each component.
+
+    Rows are judged each, so a text stays if no other document has a copy, whatever other rows
+    of its doc_id hold. Of rows with the same doc_id and set one stays, and so of copies that
+    have no doc_id. Rows without words all stay.
+    """
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    found = near_duplicates(docs.where(has_words), percent, rows=True)
+    stay = found.where("kept").groupBy("doc_id", "digest").agg(F.min("_row").alias("_row"))
+    name = free(docs, "__row")
+    once = docs.where(has_words).withColumn(name, _row_key(F.col("doc_id"), F.col("text"))).dropDuplicates([name])
+    kept = once.join(stay.select(F.col("_row").alias(name)), name, "left_semi").drop(name)
+    return kept.unionByName(docs.where(~has_words))

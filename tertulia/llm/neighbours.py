@@ -31,6 +31,7 @@ from tertulia.llm.store import written
 
 DIMENSIONS = 16
 CONFIDENCE = 0.995
+ROUNDING = 1e-24  # of squared projected distances, relative to the squared norms
 BLOCK, BATCH, SAMPLE, LEAF, STEP = 8192, 2048, 4096, 32, 256
 
 
@@ -212,11 +213,13 @@ def nearest(
             tree = Tree(theirs @ basis)
             tree.finish()
             projected = mine @ basis
+            # two projections of one vector may differ in their last bits
+            norms = (projected**2).sum(axis=1), float((tree.points**2).sum(axis=1).max())
             for q in range(len(mine)):
                 found_ids, found = np.zeros(0, np.int64), np.zeros(0)
-                limit = bounds[q]
+                limit, slack = bounds[q], ROUNDING * (norms[0][q] + norms[1])
                 for at, near in tree.increasing(projected[q]):
-                    at = at[near <= quantile * limit] if np.isfinite(limit) else at
+                    at = at[near <= quantile * limit + slack] if np.isfinite(limit) else at
                     away = theirs[at] - mine[q]
                     other = known_ids[at] != query_ids[q]
                     found_ids = np.append(found_ids, known_ids[at][other])
@@ -225,7 +228,7 @@ def nearest(
                     found_ids, found = found_ids[keep], found[keep]
                     if len(found) == k:
                         limit = min(limit, found[-1])
-                    if near[-1] > quantile * limit:
+                    if near[-1] > quantile * limit + slack:
                         break
                 out[0].extend([query_ids[q]] * len(found))
                 out[1].extend(found_ids.tolist())

@@ -84,8 +84,18 @@ def lexicon(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     return keys[(n >= 4) & (share >= 0.025) & (share >= 12 * (rest + 0.001))]
 
 
+def beside(person: np.ndarray, at: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
+    """Which of the words ``at`` have one of the words ``person`` of the same row within NEAR."""
+    out = np.zeros(len(at), dtype=bool)
+    if len(person):
+        for side in (np.searchsorted(person, at) - 1, np.searchsorted(person, at)):
+            other = person[np.clip(side, 0, len(person) - 1)]
+            out |= (np.abs(other - at) <= NEAR) & (True if row is None else row[other] == row[at])
+    return out
+
+
 class Counter:
-    """Additive counts of texts, see COUNTS."""
+    """Counts of texts, see COUNTS; those of a text do not depend on what is beside it."""
 
     def __init__(self, words: np.ndarray):
         self.split, self.words = splitter(), words
@@ -123,19 +133,19 @@ class Counter:
             likely = np.flatnonzero(self.maybe[keys >> np.uint64(48)])
             hit[of[likely[self._in(self.words, keys[likely])]]] = True
         row = np.repeat(np.arange(rows), np.diff(edge))
-        person = np.flatnonzero(self._in(self.second, hashes))
+        person, at = np.flatnonzero(self._in(self.second, hashes)), np.flatnonzero(hit)
         near = np.zeros(len(starts), dtype=bool)
-        at = np.flatnonzero(hit)
-        if len(person) and len(at):
-            for side in (np.searchsorted(person, at) - 1, np.searchsorted(person, at)):
-                other = person[np.clip(side, 0, len(person) - 1)]
-                near[at] |= (np.abs(other - at) <= NEAR) & (row[other] == row[at])
+        near[at] = beside(person, at, row)
+        self.found = person, at, len(starts)
         letter, capital = LETTER[data], CAPITAL[data]
         raised = np.concatenate([[0], np.cumsum(capital)])
         shouted = (raised[ends] - raised[starts] == ends - starts) & (ends - starts > 2)
         between = np.zeros((3, len(data)), dtype=bool)
         if len(data) > 2:
             around = letter[:-2] & letter[2:]
+            inside = np.ones(len(data), dtype=bool)  # not the first or last byte of a row
+            inside[cuts], inside[local[1:][local[1:] > 0] - 1] = False, False
+            around &= inside[1:-1]
             between[0, 1:-1] = around & SIGN[data[1:-1]]
             between[1, 1:-1] = around & JOINT[data[1:-1]]
             low = LOWER[data]
@@ -155,8 +165,14 @@ class Counter:
         for first, last in runs(offsets):
             span = data[offsets[first] : offsets[last]]
             if last == first + 1 and len(span) > PIECE:
-                parts = [self.part(p, np.array([0, len(p)])) for p in pieces(span)]
-                yield np.sum(parts, axis=0)
+                total, persons, hits, words = np.zeros((1, len(COUNTS))), [], [], 0
+                for p in pieces(span):
+                    total += self.part(p, np.array([0, len(p)]))
+                    persons.append(self.found[0] + words)
+                    hits.append(self.found[1] + words)
+                    words += self.found[2]
+                total[0, COUNTS.index("near")] = beside(np.concatenate(persons), np.concatenate(hits)).sum()
+                yield total
             else:
                 yield self.part(span, offsets[first : last + 1] - offsets[first])
 

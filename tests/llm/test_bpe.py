@@ -104,3 +104,12 @@ def test_lengths(spark, vocabulary, reference):
 def test_no_lengths(spark, vocabulary):
     table = lengths.length_table(lengths.with_token_count(empty(spark), vocabulary))
     assert table.count() == 0 and lengths.quantile(table, 0.5) is None
+
+
+def test_texts_are_encoded_once_for_lengths(spark, vocabulary, monkeypatch):
+    stored = []
+    keep = lengths.written
+    monkeypatch.setattr(lengths, "written", lambda df, name: stored.append(df) or keep(df, name))
+    found = lengths.length_table(lengths.with_token_count(documents(spark), vocabulary))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, *stored)]
+    assert [p.count("MapInArrow") for p in plans] == [0, 1]

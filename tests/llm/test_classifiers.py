@@ -140,3 +140,125 @@ def test_chi_square(n):
     x = chi_square_quantile(0.9, n)
     below = 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(n // 2))
     assert abs(below - 0.9) < 1e-9
+
+
+def mixed_texts():
+    draw = np.random.default_rng(6)
+    texts = ["", "abc!", "you aa", "aa b", "aaaaaaaa", "hello wide world", None, "ab" * 300, "!!!", "a"]
+    texts += ["".join(draw.choice(list("abcdefg you!*.AB "), int(n))) for n in draw.integers(1, 1500, 60)]
+    return texts + texts[:20]
+
+
+def all_scores(of, texts):
+    return np.concatenate(list(of(pa.array(texts, pa.string()))))
+
+
+def networks():
+    draw, texts = np.random.default_rng(1), sentences(ENGLISH, 20, 1) + sentences(GERMAN, 20, 2)
+    shape = conv.Shape(2, widths=(4, 6), filters=4, window=64, with_max=True, repeats=True)
+    model = conv.trained(texts, draw.integers(0, 2, 40), shape, 1)
+    return model, lambda column: conv.scores(model, column)
+
+
+def test_network_scores_depend_on_the_row_alone(monkeypatch):
+    _, of = networks()
+    texts = mixed_texts()
+    alone = np.concatenate([all_scores(of, [t]) for t in texts])
+    assert (all_scores(of, texts) == alone).all()
+    assert (all_scores(of, texts[::-1])[::-1] == alone).all()
+    long = [" ".join(sentences(GERMAN, 300, 5)) + "xy" * 500 + " ".join(sentences(ENGLISH, 300, 6))]
+    whole = all_scores(of, long)
+    monkeypatch.setattr(conv, "PIECE", 5000)
+    assert (all_scores(of, texts) == alone).all()
+    assert np.allclose(all_scores(of, long), whole, atol=1e-12)
+
+
+def naive_scores(model, text):
+    """The network's forward pass, one byte at a time."""
+    raw, shape = text.encode(), model.shape
+    code = [raw[i : i + 4] if i + 4 <= len(raw) else None for i in range(len(raw))]
+    seen = [c is not None and any(i >= lag and code[i - lag] == c for lag in range(2, conv.LAGS + 1)) for i, c in enumerate(code)]
+    level = [sum(seen[max(0, i - conv.NEAR + 1) : i + 1]) * (conv.LEVELS - 1) // conv.NEAR for i in range(len(raw))]
+    total, most, size, at = 0, 0, 0, 0
+    while True:
+        part = raw[at : at + shape.window]
+        n = max(1, len(part))
+        window = part + bytes(shape.window - len(part))
+        marks = level[at : at + len(part)] + [0] * (shape.window - len(part))
+        h = []
+        for k, width in enumerate(shape.widths):
+            table = model.tables[k].astype(float)
+            h.append(np.maximum(0, np.max([
+                sum(table[j, window[i + j]] for j in range(width)) + model.levels[k][marks[i + width - 1]]
+                for i in range(shape.window - width + 1)
+            ], axis=0)))
+        h = np.concatenate(h)
+        total, most, size = total + n * h, np.maximum(most, h), size + n
+        if at + shape.window >= len(raw):
+            break
+        at += shape.step
+    z = np.concatenate([total / size, most]) @ model.dense + model.bias
+    return np.exp(z) / np.exp(z).sum()
+
+
+def test_forward_pass_of_brute_force():
+    model, of = networks()
+    texts = ["", "a", "hello wide world", "abab" * 40, sentences(GERMAN, 3, 5)[0] * 3]
+    assert np.allclose(all_scores(of, texts), [naive_scores(model, t) for t in texts], atol=1e-4)
+
+
+def naive_counts(text, words):
+    counter, raw = X.Counter(words), text.encode()
+    is_letter = [bool(X.LETTER[b]) for b in raw]
+    spans, i = [], 0
+    while i < len(raw):
+        j = i
+        while j < len(raw) and is_letter[j]:
+            j += 1
+        if j > i:
+            spans.append((i, j))
+        i = max(j, i + 1)
+    low = raw.lower()
+    split = X.splitter()
+    key = lambda b: int(split.of(np.frombuffer(b, np.uint8))[2][0])
+    known = set(words.tolist())
+    hit = [
+        key(low[a:b]) in known or any(b - a > n and (key(low[a : a + n]) + n) % 2**64 in known for n in X.BEGINNINGS)
+        for a, b in spans
+    ]
+    second = {key(w.encode()) for w in X.SECOND_PERSON}
+    person = [key(low[a:b]) in second for a, b in spans]
+    near = [h and any(person[max(0, i - X.NEAR) : i + X.NEAR + 1]) for i, h in enumerate(hit)]
+    inner = [i for i in range(1, len(raw) - 1) if is_letter[i - 1] and is_letter[i + 1]]
+    del counter
+    return [
+        len(raw), sum(is_letter), len(spans), sum(hit), sum(near), sum(bool(X.CAPITAL[b]) for b in raw),
+        sum(b - a > 2 and all(X.CAPITAL[x] for x in raw[a:b]) for a, b in spans),
+        sum(bool(X.POINT[b]) for b in raw), raw.count(b"!"), sum(bool(X.SIGN[raw[i]]) for i in inner),
+        sum(bool(X.JOINT[raw[i]]) for i in inner), sum(low[i - 1] == low[i] == low[i + 1] for i in inner),
+    ]
+
+
+def test_toxicity_counts_of_brute_force(monkeypatch):
+    texts = [t or "" for t in mixed_texts()] + ["YOU ARE b*d, yoou! aaab", "you " + "b " * 40 + "you bad"]
+    words = np.unique(X.splitter().of(np.frombuffer(b"abc bad aa b ab", np.uint8))[2])
+    of = X.Counter(words).counts
+    wanted = np.array([naive_counts(t, words) for t in texts])
+    assert (all_scores(of, texts) == wanted).all()
+    assert (all_scores(of, texts[::-1])[::-1] == wanted).all()
+    from tertulia.llm import words as W
+
+    monkeypatch.setattr(X, "PIECE", 200)
+    monkeypatch.setattr(W, "PIECE", 200)
+    assert (all_scores(of, texts) == wanted).all()
+
+
+def test_label_samples_are_bounded(spark):
+    rows = [(None, f"text {i}", "en") for i in range(3000)] + [(7, f"again {i}", "en") for i in range(3000)]
+    rows += [(i, f"other {i}", "de" if i % 2 else "en") for i in range(100, 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = K.balanced(df, "lang", "doc_id", 100).collect()
+    assert all(r["doc_id"] is not None for r in picked)
+    assert len({(r["doc_id"], r["lang"]) for r in picked}) == len(picked) and 40 < len(picked) <= 100
+    again = K.balanced(df.repartition(7), "lang", "doc_id", 100).collect()
+    assert sorted(map(tuple, picked)) == sorted(map(tuple, again))

@@ -83,9 +83,24 @@ def test_removal_keeps_columns_and_clean_rows(spark):
     docs = documents(spark)
     kept = N.without_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(
-        str(i) for i, _ in ROWS if i != 2
-    )
+    # of the repeated row 1, its copy 2 and the copies of "word" one each stays
+    wanted = [str(i) for i, t in ROWS if i not in (1, 2) and (i, t) != (None, "word")] + ["1"]
+    assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(wanted)
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    c = "some words that nothing else here has at all"
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, a), (4, c), (None, c), (None, "alone here"), (None, "alone here")]
+    kept = N.without_near_duplicates(pairs(spark, rows)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (2, b), (4, c), (None, "alone here")], key=str)
+
+
+def test_repeated_rows_are_one_node(spark):
+    rows = [(5, "a b c d e f g h")] * 40 + [(6, "a b c d e f g h"), (7, "q r s t u v")]
+    found = N.near_duplicates(pairs(spark, rows)).collect()
+    assert sorted({(r["doc_id"], r["component_id"]) for r in found}) == [(5, 5), (6, 5), (7, 7)]
+    assert len(found) == 42
 
 
 def test_empty(spark):

@@ -72,3 +72,10 @@ def test_a_tree_gives_points_in_order():
     at, near = (np.concatenate(x) for x in zip(*tree.increasing(query), strict=True))
     assert sorted(at.tolist()) == list(range(700)) and np.all(np.diff(near) >= 0)
     assert np.allclose(near, ((points[at] - query) ** 2).sum(axis=1))
+
+
+def test_one_query_and_many_exact_copies(spark):
+    v = np.random.default_rng(4).normal(size=64).tolist()
+    rows = [(100, v)] + [(i, v) for i in range(1, 13)]
+    found = N.nearest(frame(spark, rows), wanted()).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(i, 0.0) for i in range(1, 11)]
