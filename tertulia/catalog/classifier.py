@@ -24,7 +24,9 @@ from tertulia.operators import classify
 from tertulia.operators.aggregate import count_per_group, mode
 from tertulia.operators.annotate import completed, label_missing_by_head
 from tertulia.operators.columns import analysis_names, decode
+from tertulia.operators.heads import ACTIVATIONS, HeadShape, NetworkHead, predicted_accuracy, weights_of
 from tertulia.operators.messages import triples
+from tertulia.operators.search import Choice, Real, search
 from tertulia.plans import satisfaction as satisfaction_plan
 from tertulia.plans.topics import hashed_words
 from tertulia.schema import SATISFACTION_CODES
@@ -73,30 +75,31 @@ def annotated_per_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "pair_features",
-    f"""WITH cut AS (SELECT vec_id, {", ".join(
-        f"CAST(embedding[{21 * i + 1}:{21 * i + 21}] AS DOUBLE[]) AS v{i}" for i in range(3)
-    )} FROM embeddings),
+    f"""WITH whole AS (SELECT vec_id, list_concat(CAST(embedding AS DOUBLE[]), [0.0, 0.0]) AS v FROM embeddings),
+cut AS (SELECT vec_id, {", ".join(
+        f"v[{22 * i + 1}:{22 * i + 22}] AS v{i}" for i in range(3)
+    )} FROM whole),
 gaps AS (SELECT vec_id, v0, v1, v2, {", ".join(
-    f"list_transform(range(1, 22), lambda i: abs(v{a}[i] - v{b}[i])) AS d{k}"
+    f"list_transform(range(1, 23), lambda i: abs(v{a}[i] - v{b}[i])) AS d{k}"
     for k, (a, b) in enumerate([(1, 0), (2, 1), (2, 0)])
 )} FROM cut)
-SELECT vec_id, CAST(126 AS INTEGER) AS features, {", ".join(
+SELECT vec_id, CAST(132 AS INTEGER) AS features, {", ".join(
     f"round(list_sum({c}), 7) AS s{i}, round({c}[1], 7) AS f{i}"
     for i, c in enumerate(["v0", "v1", "v2", "d0", "d1", "d2"])
 )} FROM gaps""",
 )
 def pair_features_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Three 21-wide parts of a vector as the three messages of a triple."""
-    whole = doubles(F.col("embedding"))
-    parts = [F.slice(whole, 21 * i + 1, 21) for i in range(3)]
+    """Three 22-wide parts of a vector and two zeros as the three messages of a triple."""
+    whole = F.concat(doubles(F.col("embedding")), F.array(F.lit(0.0), F.lit(0.0)))
+    parts = [F.slice(whole, 22 * i + 1, 22) for i in range(3)]
     df = table(spark, folder, "embeddings").select(
         "vec_id", pair_features(*parts).alias("features")
     )
     sums = [
-        f"aggregate(slice(features, {21 * i + 1}, 21), 0D, (a, x) -> a + x) AS s{i}"
+        f"aggregate(slice(features, {22 * i + 1}, 22), 0D, (a, x) -> a + x) AS s{i}"
         for i in range(6)
     ]
-    first = [f"features[{21 * i}] AS f{i}" for i in range(6)]
+    first = [f"features[{22 * i}] AS f{i}" for i in range(6)]
     return rounded(
         df.selectExpr("vec_id", *sums, *first, "size(features) AS features"), 7
     )
@@ -200,9 +203,9 @@ def label_mode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predicted(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents with the class a stand-in model gives their first message."""
+    """Labelled documents with the class a stand-in model gives their first three messages."""
     docs = documents_corpus(spark, folder).drop("openai_moderation")
-    text = F.get("conversation", F.lit(0))["content"]
+    text = F.array_join(F.transform(F.slice("conversation", 1, 3), lambda m: m["content"]), " ")
     scored = docs.select("doc_id", argmax(letter_sentiment_scores(text)).alias("prediction"))
     return scored.join(coded(spark, folder), "doc_id")
 
@@ -210,7 +213,8 @@ def predicted(spark: SparkSession, folder: str) -> DataFrame:
 _PREDICTED_SQL = f"""{_CODED_SQL}, {PARTS_SQL},
 predicted AS (
   SELECT c.doc_id, label, list_position(s, list_max(s)) - 1 AS prediction
-  FROM coded c JOIN (SELECT doc_id, [{", ".join(share_sql(c, "lines[1]") for c in "ean")}] AS s FROM parts) p
+  FROM coded c JOIN (SELECT doc_id, [{", ".join(share_sql(c, "three") for c in "ean")}] AS s
+    FROM (SELECT doc_id, array_to_string(lines[1:3], ' ') AS three FROM parts)) p
   ON c.doc_id = p.doc_id
 )"""
 
@@ -337,3 +341,78 @@ def head_satisfaction_pivot(spark: SparkSession, folder: str) -> DataFrame:
 def head_chi2_independence(spark: SparkSession, folder: str) -> DataFrame:
     """Whether satisfaction depends on the language, over the labelled corpus."""
     return satisfaction_plan.independence(head_satisfaction_pivot(spark, folder))
+
+
+@query("train_deep_head")
+def train_deep_head(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss of the last epoch, and accuracy on the test part, of a weighted head of five layers
+    with smoothed labels, beside that of one layer."""
+    df = features(spark, folder).select("doc_id", "label", "x")
+    parts = materialise(classify.split(df, F.col("doc_id"), df.count()), "features")
+    train, test = (parts.where(F.col("split") == s) for s in ("train", "test"))
+    weights = weights_of(classify.CLASS_WEIGHTS)
+    rows = []
+    for layers, activation in ((1, "ReLU"), (5, "Mish")):
+        shape = HeadShape(48, layers, 24, activation=activation, smoothing=0.2, class_weights=weights)
+        model = NetworkHead(shape, epochs=12, batch=max(32, df.count() // 3)).fit(train)
+        hit = classify.accuracy(F.col("label"), F.col("prediction"))
+        rows.append(
+            model.transform(test).agg(
+                F.lit(layers).alias("layers"),
+                F.lit(float(model.losses[-1])).alias("train_loss"),
+                F.count(F.lit(1)).alias("rows"),
+                hit.alias("accuracy"),
+            )
+        )
+    return rows[0].unionByName(rows[1])
+
+
+#: The parameters that are searched, and their ranges.
+HEAD_SPACE = {
+    "learning_rate": Real(1e-6, 1e-3, log=True),
+    "batch_size": Choice((32, 64, 128)),
+    "hidden_size": Real(10, 3000, log=True, whole=True),
+    "num_layers": Real(1, 5, whole=True),
+    "use_bias": Choice((True, False)),
+    "use_weighted_loss": Choice((True, False)),
+    "label_smoothing": Real(0.0, 0.3, step=0.1),
+    "activation": Choice(tuple(ACTIVATIONS)),
+}
+
+
+def search_heads(train: DataFrame, held: DataFrame, inputs: int, trials: int, epochs: int, parallel: int = 4):
+    """Trials of heads on two stored parts: the largest accuracy on ``held`` is looked for."""
+
+    def objective(params: dict, report) -> float:
+        weights = weights_of(classify.CLASS_WEIGHTS) if params["use_weighted_loss"] else None
+        shape = HeadShape(
+            inputs, params["num_layers"], params["hidden_size"], bias=params["use_bias"],
+            activation=params["activation"], smoothing=params["label_smoothing"], class_weights=weights,
+        )
+        seen: list[float] = []
+
+        def watch(epoch: int, model) -> None:
+            seen.append(predicted_accuracy(model, held) or 0.0)
+            report(epoch, seen[-1])
+
+        NetworkHead(
+            shape, epochs=epochs, batch=params["batch_size"], rate=params["learning_rate"], watch=watch
+        ).fit(train)
+        return seen[-1]
+
+    return search(objective, HEAD_SPACE, trials, parallel=parallel, startup=6)
+
+
+@query("head_search")
+def head_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Twelve trials over the eight parameters of a head, with their accuracy."""
+    df = features(spark, folder).select("doc_id", "label", "x")
+    parts = materialise(classify.split(df, F.col("doc_id"), df.count()), "features")
+    train, held = (parts.where(F.col("split") == s) for s in ("train", "eval"))
+    found = search_heads(train, held, 48, trials=12, epochs=2)
+    rows = [
+        (t.number, *(str(t.params[p]) if p in ("activation",) else float(t.params[p]) for p in HEAD_SPACE), t.value, t.stopped)
+        for t in found
+    ]
+    kinds = ", ".join(f"{p} {'string' if p == 'activation' else 'double'}" for p in HEAD_SPACE)
+    return spark.createDataFrame(rows, f"trial int, {kinds}, accuracy double, stopped boolean")

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.catalog.length import rounded
 from tertulia.catalog.registry import query
-from tertulia.catalog.tables import PARTS_SQL, documents_corpus
-from tertulia.functions.scoring import letter_sentiment
+from tertulia.catalog.tables import PARTS_SQL, documents_corpus, table
+from tertulia.functions.scoring import (
+    MAX_TOKENS,
+    character_ids,
+    letter_sentiment,
+    letter_sentiment_of_ids,
+    token_scores,
+)
 from tertulia.operators.columns import analysis_names
 from tertulia.operators.messages import first_messages
 from tertulia.plans import sentiment
@@ -66,6 +72,24 @@ def sentiment_batch_model(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sentiment.score_columns(df).select("conversation_hash", *sentiment.SCORES), 9)
 
 
+_CUT_SQL = ", ".join(
+    f"length(head) - length(replace(head, '{c}', '')) + 1 AS h{i}" for i, c in enumerate("ean")
+)
+
+
+@query(
+    "sentiment_of_first_tokens",
+    f"""SELECT doc_id, {", ".join(f"round(h{i} / (h0 + h1 + h2), 9) AS {name}" for i, name in enumerate(SENTIMENTS))}
+FROM (SELECT doc_id, {_CUT_SQL} FROM (SELECT doc_id, left(text, {MAX_TOKENS}) AS head FROM documents))""",
+)
+def sentiment_of_first_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document by a model that reads its first 512 tokens, in batches of about
+    one length."""
+    scores = token_scores(character_ids, letter_sentiment_of_ids, F.col("text"))
+    df = table(spark, folder, "documents").select("doc_id", scores.alias("s"))
+    return rounded(df.select("doc_id", *(F.get("s", F.lit(i)).alias(c) for i, c in enumerate(SENTIMENTS))), 9)
+
+
 def _aggregates_sql(counts: bool) -> str:
     parts = []
     for c in sentiment.SCORES:

@@ -10,6 +10,7 @@ from tertulia.catalog.tables import PARTS_SQL, documents_corpus, hash_number_sql
 from tertulia.functions.arrays import doubles
 from tertulia.operators.classify import project_2d
 from tertulia.operators.columns import analysis_names
+from tertulia.operators.embedding import neighbourhood_map
 from tertulia.operators.silhouette import by_label, silhouettes
 from tertulia.plans import topics
 from tertulia.sources.corpus import materialise
@@ -173,3 +174,11 @@ def bootstrap_silhouette_overall(spark: SparkSession, folder: str) -> DataFrame:
 def embedding_projection(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors in two dimensions with their label."""
     return project_2d(vectors(spark, folder), "embedding").select("vec_id", "label", "x", "y")
+
+
+@query("embedding_map")
+def embedding_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's place on a map that keeps neighbours together, with its label."""
+    rows = vectors(spark, folder)
+    places = neighbourhood_map(rows, "vec_id", "embedding", epochs=40).withColumnRenamed("id", "vec_id")
+    return rows.select("vec_id", "label").join(places, "vec_id")

@@ -21,6 +21,7 @@ from tertulia.operators.charts import density, score_histogram, violin
 from tertulia.operators.classify import project_2d
 from tertulia.operators.columns import analysis_names
 from tertulia.operators.distribution import AUTO
+from tertulia.operators.embedding import neighbourhood_map
 from tertulia.operators.messages import message_scores, message_vectors, vectors_of_role
 from tertulia.operators.ranktests import (
     dunn,
@@ -357,16 +358,32 @@ for _role in ("user", "assistant"):
 query("score_density", _density_sql("user", "max_toxicity_score"))(_density("user", "max_toxicity_score"))
 
 
+def _role_vectors(spark: SparkSession, folder: str, role: str) -> DataFrame:
+    df = corpus(spark, folder).withColumn("vectors", message_vectors(F.col("openai_moderation")))
+    found = vectors_of_role(F.col("conversation"), F.col("vectors"), role)
+    return df.select("conversation_hash", "lang", F.posexplode(found).alias("position", "vector"))
+
+
+def _map(role: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        """Score vectors of one role's messages on a map that keeps neighbours together."""
+        key = F.xxhash64("conversation_hash", "position")
+        rows = _role_vectors(spark, folder, role).withColumn("id", key)
+        places = neighbourhood_map(rows, "id", "vector", epochs=40)
+        return rows.drop("vector").join(places, "id").drop("id")
+
+    return run
+
+
 def _projection(role: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         """Score vectors of one role's messages in two dimensions, with their language."""
-        df = corpus(spark, folder).withColumn("vectors", message_vectors(F.col("openai_moderation")))
-        found = vectors_of_role(F.col("conversation"), F.col("vectors"), role)
-        rows = df.select("conversation_hash", "lang", F.posexplode(found).alias("position", "vector"))
-        return project_2d(rows, "vector").drop("vector")
+        return project_2d(_role_vectors(spark, folder, role), "vector").drop("vector")
 
     return run
 
 
 query("toxicity_projection")(_projection("user"))
 query("toxicity_projection_assistant")(_projection("assistant"))
+query("toxicity_map")(_map("user"))
+query("toxicity_map_assistant")(_map("assistant"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BLOCK_ROWS, LEAST_ROWS, TILE = 16_384, 256, 1024
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances; pairs too close for the product formula are redone exactly."""
     aa = np.einsum("ij,ij->i", a, a)
     bb = np.einsum("ij,ij->i", b, b)
@@ -47,7 +47,7 @@ def _partial_sums(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
         for i in range(0, len(vectors[0]), TILE):
             for j in range(0, len(vectors[1]), TILE):
                 here, there = slice(i, i + TILE), slice(j, j + TILE)
-                distance = _distances(vectors[0][here], vectors[1][there])
+                distance = pair_distances(vectors[0][here], vectors[1][there])
                 sums[0][here] += distance @ members[1][there]
                 if not same:
                     sums[1][there] += distance.T @ members[0][here]
