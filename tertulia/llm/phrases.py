@@ -237,20 +237,17 @@ def routed(rows: DataFrame, tasks: int, limit: int) -> DataFrame:
     """Adds ``route``, the leading words that deal out the row, and ``depth``, their number.
 
     Leading words with more than ``limit`` rows are routed by one word more. There are at most
-    rows / limit of them at each depth, which bounds what is broadcast.
+    rows / limit of them at each depth, which bounds the sets that the expression holds. (Two
+    that differ in where the language ends and the words begin only share how they are routed.)
     """
-    out = rows.withColumn("depth", F.lit(1))
+    deeper = F.lit(1)
     for depth in range(1, LONGEST):
-        lead = F.substring_index("phrase", " ", depth)
-        hot = rows.groupBy("lang", lead.alias("_lead")).count().where(F.col("count") > limit)
-        hot = hot.select(F.col("lang").alias("_lang"), "_lead").collect()
+        lead = F.concat_ws(" ", F.col("lang"), F.substring_index("phrase", " ", depth))
+        hot = rows.groupBy(lead.alias("_lead")).count().where(F.col("count") > limit).collect()
         if not hot:
             break  # words that lead more rows than that also do so without the last of them
-        few = rows.sparkSession.createDataFrame(hot, "_lang string, _lead string")
-        met = (F.col("lang") == F.col("_lang")) & (lead == F.col("_lead"))
-        out = out.join(F.broadcast(few), met, "left").withColumn(
-            "depth", F.col("depth") + F.col("_lead").isNotNull().cast("int")
-        ).drop("_lang", "_lead")
+        deeper = deeper + lead.isin([r["_lead"] for r in hot]).cast("int")
+    out = rows.withColumn("depth", deeper)
     route = F.expr("substring_index(phrase, ' ', depth)")
     return out.withColumn("route", route).repartition(tasks, "lang", "route")
 
