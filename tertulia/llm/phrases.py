@@ -237,12 +237,12 @@ def routed(rows: DataFrame, tasks: int, limit: int) -> DataFrame:
     """Adds ``route``, the leading words that deal out the row, and ``depth``, their number.
 
     Leading words with more than ``limit`` rows are routed by one word more. There are at most
-    rows / limit of them at each depth, which bounds the sets that the expression holds. (Two
-    that differ in where the language ends and the words begin only share how they are routed.)
+    rows / limit of them at each depth, which bounds the sets that the expression holds. (Words
+    hold no tab, so language and words together name them.)
     """
     deeper = F.lit(1)
     for depth in range(1, LONGEST):
-        lead = F.concat_ws(" ", F.col("lang"), F.substring_index("phrase", " ", depth))
+        lead = F.concat_ws("\t", F.col("lang"), F.substring_index("phrase", " ", depth))
         hot = rows.groupBy(lead.alias("_lead")).count().where(F.col("count") > limit).collect()
         if not hot:
             break  # words that lead more rows than that also do so without the last of them
