@@ -26,6 +26,7 @@ from tertulia.operators.annotate import completed, label_missing_by_head
 from tertulia.operators.columns import analysis_names, decode
 from tertulia.operators.heads import ACTIVATIONS, HeadShape, NetworkHead, predicted_accuracy, weights_of
 from tertulia.operators.messages import triples
+from tertulia.operators.ordering import positions
 from tertulia.operators.search import Choice, Real, search
 from tertulia.plans import satisfaction as satisfaction_plan
 from tertulia.plans.topics import hashed_words
@@ -122,7 +123,7 @@ placed AS (
          count(*) OVER () AS n FROM coded
 ),
 folded AS (
-  SELECT *, CAST(position % 10 AS INTEGER) AS fold FROM placed
+  SELECT *, CAST(ntile(10) OVER (ORDER BY position) - 1 AS INTEGER) AS fold FROM placed
   WHERE position < CAST(floor(0.8 * n) AS BIGINT) + CAST(floor(0.1 * n) AS BIGINT)
 )"""
 
@@ -135,8 +136,9 @@ SELECT doc_id, label, position, CASE WHEN position < CAST(floor(0.8 * n) AS BIGI
 FROM placed""",
 )
 def train_eval_test_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts, found by comparison, beside the positions they are cut at."""
     df = coded(spark, folder)
-    return classify.split(df, F.col("doc_id"), df.count())
+    return positions(classify.split(df, F.col("doc_id"), df.count()), F.col("doc_id"))
 
 
 def _folded(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.operators.columns import listed
-from tertulia.operators.ordering import hash_number, positions
+from tertulia.operators.ordering import before, digests_at, hash_number, shuffle_key
 
 # Class weights of the weighted loss, by class code.
 CLASS_WEIGHTS = {0: 1.6, 1: 1.0, 2: 1.6}
@@ -26,28 +26,32 @@ def split_sizes(rows: int) -> tuple[int, int, int]:
 
 
 def split(df: DataFrame, key: Column, rows: int, seed: int = 42) -> DataFrame:
-    """Add ``split`` (train, test, eval) and ``position`` in the shuffled order."""
+    """Add ``split`` (train, test, eval): the parts of the shuffled order of ``rows`` rows.
+
+    The digests at both borders are found when this is called, from the key column alone; a
+    row's part follows from comparing its digest with them, so no row is moved. ``key`` must
+    identify a row; rows that share a key get the same part.
+    """
     train, test, _ = split_sizes(rows)
-    p = F.col("position")
-    return positions(df, key, "position", seed).withColumn(
-        "split",
-        F.when(p < train, "train").when(p < train + test, "test").otherwise("eval"),
-    )
+    digest = shuffle_key(key, seed)
+    first, second = digests_at(df, key, [train, train + test], seed)
+    part = F.when(before(digest, first), "train").when(before(digest, second), "test")
+    return df.withColumn("split", part.otherwise("eval"))
 
 
 def folds(df: DataFrame, key: Column, rows: int, k: int = 10, seed: int = 42) -> DataFrame:
-    """Add ``fold`` to the first train and test rows: shuffled position modulo ``k``.
+    """Add ``fold`` to the first train and test rows: ``k`` stretches of the shuffled order.
 
     Of ``rows`` rows the first int(0.8 n) + int(0.1 n) are used; none of the evaluation
-    part is among them. Fold sizes differ by at most one.
+    part is among them. Fold sizes differ by at most one, the first are the larger. As in
+    ``split``, rows are compared with the digests at the borders and not moved.
     """
     used = int(0.8 * rows) + int(0.1 * rows)
-    return (
-        positions(df, key, "_position", seed)
-        .where(F.col("_position") < used)
-        .withColumn("fold", (F.col("_position") % k).cast("int"))
-        .drop("_position")
-    )
+    ends = [(i + 1) * (used // k) + min(i + 1, used % k) for i in range(k)]
+    bounds = digests_at(df, key, ends, seed)
+    digest = shuffle_key(key, seed)
+    earlier = [(~before(digest, bound)).cast("int") for bound in bounds[:-1]]
+    return df.where(before(digest, bounds[-1])).withColumn("fold", reduce(Column.__add__, earlier, F.lit(0)))
 
 
 def fold_label_counts(df: DataFrame, label: str = "label") -> DataFrame:

@@ -6,11 +6,15 @@ so results do not change with the partitioning or when a lost task is run again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.sources.corpus import materialise
 
 PICKS_SENT = 200_000
+DIGITS = 4  # hex digits a pass of ``digests_at`` adds
 
 
 def shuffle_key(key: Column, seed: int = 42) -> Column:
@@ -23,6 +27,50 @@ def hash_number(key: Column, seed: int = 42, digits: int = 8) -> Column:
     return F.conv(F.left(shuffle_key(key, seed), F.lit(digits)), 16, 10).cast("long")
 
 
+def digests_at(
+    df: DataFrame, key: Column, places: Sequence[int], seed: int = 42
+) -> list[str | None]:
+    """For each place, the least digest prefix whose rows start there in the shuffled order.
+
+    A row stands before place p exactly if its digest is smaller than the p-th prefix, so rows
+    can be cut there by comparison, without being moved. Rows are counted by their next DIGITS
+    hex digits, at first all of them, then only those of a range that a place lies in, until
+    each place is the start of a range: about one pass over the key column for each factor of
+    65,536 in the number of rows. A pass returns one row for each place. Rows with equal keys
+    stay together, behind a place that would part them. None: the place is behind the last row.
+    """
+    digests = df.select(shuffle_key(key, seed).alias("_key"))
+    open_at = {p: ("", p) for p in places}  # the range a place lies in, and how far inside
+    found: dict[int, str | None] = dict.fromkeys(places)
+    for digits in range(DIGITS, 32 + DIGITS, DIGITS):
+        if not open_at:
+            break
+        outer, inner = F.left("_key", F.lit(digits - DIGITS)), F.left("_key", F.lit(digits))
+        asked = sorted({prefix for prefix, _ in open_at.values()})
+        counts = digests.where(outer.isin(asked)).groupBy(outer.alias("_outer"), inner.alias("_inner")).count()
+        running = F.sum("count").over(Window.partitionBy("_outer").orderBy("_inner"))
+        bounds = counts.withColumn("_end", running).withColumn("_start", F.col("_end") - F.col("count"))
+        holds = [
+            (F.col("_outer") == prefix) & (F.col("_start") <= rest) & (F.col("_end") > rest)
+            for prefix, rest in open_at.values()
+        ]
+        rows = bounds.where(reduce(Column.__or__, holds)).collect()  # one for each place at most
+        still = {}
+        for place, (prefix, rest) in open_at.items():
+            for r in rows:
+                if r["_outer"] == prefix and r["_start"] <= rest < r["_end"]:
+                    found[place] = r["_inner"]
+                    if rest > r["_start"]:
+                        still[place] = (r["_inner"], rest - r["_start"])
+        open_at = still
+    return [found[p] for p in places]
+
+
+def before(digest: Column, bound: str | None) -> Column:
+    """Whether a digest stands before a bound of ``digests_at``."""
+    return F.lit(True) if bound is None else digest < bound
+
+
 def positions(df: DataFrame, key: Column, name: str = "position", seed: int = 42) -> DataFrame:
     """Add the 0-based position of every row in the shuffled order.
 

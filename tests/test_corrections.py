@@ -72,6 +72,38 @@ def test_no_evaluation_row_is_in_a_fold(spark):
     assert {parts[i] for i in folded} == {"train", "test"}
 
 
+def test_splits_and_folds_move_no_row(spark):
+    from tertulia.operators import ordering
+
+    df = spark.range(3000).withColumn("text", F.repeat(F.lit("x"), 50))
+    at = {r.id: r.position for r in ordering.positions(df, F.col("id")).collect()}
+    split = classify.split(df, F.col("id"), 3000)
+    folded = classify.folds(df, F.col("id"), 3000, k=7)
+    assert "Exchange" not in plan(split) and "Exchange" not in plan(folded)
+    part = {r.id: r.split for r in split.collect()}
+    assert all(part[i] == ("train" if p < 2400 else "test" if p < 2700 else "eval") for i, p in at.items())
+    by_position = sorted((at[r.id], r.fold) for r in folded.collect())
+    assert [p for p, _ in by_position] == list(range(2700))
+    assert [f for _, f in by_position] == [int(f) for f, x in enumerate(np.array_split(range(2700), 7)) for _ in x]
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_digests_at_places(spark, monkeypatch, digits):
+    from tertulia.operators import ordering
+
+    monkeypatch.setattr(ordering, "DIGITS", digits)
+    df = spark.range(500).select(F.when(F.col("id") >= 40, F.col("id")).alias("k"))  # 40 null keys
+    keys = sorted(r[0] for r in df.select(ordering.shuffle_key(F.col("k"))).collect())
+    places = [0, 1, 77, 250, 499, 500, 600]
+    for place, bound in zip(places, ordering.digests_at(df, F.col("k"), places), strict=True):
+        smaller = sum(bound is None or k < bound for k in keys)
+        assert smaller == min(place, 500) or keys[place - 1] == keys[place]
+    assert ordering.digests_at(df.limit(0), F.col("k"), [0, 5]) == [None, None]
+    nulls = keys.index(max(set(keys), key=keys.count))
+    bound = ordering.digests_at(df, F.col("k"), [nulls + 7])[0]
+    assert sum(k < bound for k in keys) == nulls
+
+
 def test_values_on_a_bin_edge(spark):
     values = [i / 100 for i in range(101)]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
