@@ -9,14 +9,17 @@ of an item's shingles; k is one more than that for the partition's largest size,
 the k is always in a document that holds the item: the search misses nothing. What it
 proposes is verified by exact containment of the whole set.
 
-Items go to the tasks in blocks of at most BLOCK_SHINGLES shingles (in expectation), by a
-hash of their text; documents are then looked at where they are, once for each block, and
-are never shuffled.
-
-A null or empty text, of either side, holds nothing and is held by nothing; an item of
-fewer than five words is one shingle, found in documents of just these words. Repeated
-items and documents are reported each. Empty tables give no hits. Extra columns stay; one
-that has the name of the output is replaced.
+The sets of the items are written once. At most BLOCK_SHINGLES shingles of them go to every
+task, and documents are looked at where they are. Of a larger benchmark the tasks get a Bloom
+filter of bounded size only. What passes it is joined with the sketches, and the pairs found
+are verified by a join with the whole sets; no items reach the driver. Both ways give the
+same hits.
+
+A null or empty text, of either side, holds nothing and is held by nothing. An item of n < 5
+words is one run of n words, held by every document in which they follow each other. Repeated
+items and documents are reported each. Empty tables give no hits. The order of a document's
+hits is that of the ids of the items, null first. Extra columns stay; one that has the name
+of the output is replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tertulia.llm.store import free, others, replaced, with_computed
-from tertulia.llm.words import Words, shingle_sets
+from tertulia.llm.phrases import filter_of, known
+from tertulia.llm.store import free, others, replaced, with_computed, written
+from tertulia.llm.words import SHINGLE, Words, buffers, runs, shingle_sets, word_hashes
 
 BLOCK_SHINGLES = 1 << 20
 FILTER_BITS = 22
@@ -57,26 +61,23 @@ def sketch_size(n: int, percent: int) -> int:
 
 
 def item_sets(items: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Items with a shingle at least: item_id, members (sorted hashes as bytes), block key."""
+    """Items with a word at least: item_id, members (hashes, in unsigned order), words (at most 5)."""
 
     def make():
         split = Words()
 
         def compute(column: pa.Array):
-            found = [s.astype("<u8").tobytes() for s in shingle_sets(column, split)]
-            yield [pa.array(found, pa.binary())]
+            data, offsets = buffers(column)
+            counts = [word_hashes(split, data, offsets, a, b)[1] for a, b in runs(offsets)]
+            words = np.minimum(np.concatenate([*counts, np.zeros(0, np.int64)]), SHINGLE)
+            found = [s.view(np.int64) for s in shingle_sets(column, split)]
+            yield [pa.array(found, pa.list_(pa.int64())), pa.array(words.astype(np.int32))]
 
         return compute
 
-    plain = items.select(
-        F.col(id_column).cast("long").alias("item_id"),
-        F.col(text).alias("_text"),
-        F.xxhash64(id_column, text).alias("_key"),
-    )
-    field = T.StructField("members", T.BinaryType())
-    return with_computed(plain, "_text", [field], make, drop=("_text",)).where(
-        F.octet_length("members") > 0
-    )
+    plain = items.select(F.col(id_column).cast("long").alias("item_id"), F.col(text).alias("_text"))
+    fields = [T.StructField("members", T.ArrayType(T.LongType())), T.StructField("words", T.IntegerType())]
+    return with_computed(plain, "_text", fields, make, drop=("_text",)).where(F.size("members") > 0)
 
 
 class Index:
@@ -118,32 +119,76 @@ def with_hits(
     item_text: str = "text",
     hits: str = "hits",
 ) -> DataFrame:
-    """Adds the items that each document holds, ordered as the items are in their block."""
-    sets = item_sets(items, item_id, item_text)
-    total = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
-    blocks = max(1, -(-total // (8 * BLOCK_SHINGLES)))
-    out = replaced(docs, {hits: F.array().cast(HITS)})
-    for block in range(blocks):
-        rows = sets.where(F.pmod("_key", F.lit(blocks)) == block).select("item_id", "members").collect()
-        if not rows:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(
-            [(r["item_id"], bytes(r["members"])) for r in rows]
-        )
-
-        def make(shared=shared):
-            index = Index([(i, np.frombuffer(s, "<u8")) for i, s in shared.value], percent)
-            split = Words()
-
-            def compute(column: pa.Array):
-                yield [pa.array([index.hits(s) for s in shingle_sets(column, split)], _ARROW_HITS)]
-
-            return compute
-
-        more = free(out, "__more")
-        out = with_computed(out, text, [T.StructField(more, HITS)], make)
-        out = replaced(out, {hits: F.concat(hits, more)}).drop(more)
-    return out
+    """Adds the items that each document holds, ordered by their ids."""
+    sets = written(item_sets(items, item_id, item_text), "item-sets")
+    total = sets.agg(F.sum(F.size("members")), F.collect_set("words")).first()
+    shorter = tuple(sorted(set(total[1]) - {SHINGLE}))
+    if (total[0] or 0) <= BLOCK_SHINGLES:
+        return _held_in_place(docs, sets, percent, shorter, text, hits)
+    return _held_by_join(docs, sets, percent, shorter, text, hits)
+
+
+def _held_in_place(docs, sets, percent, shorter, text, hits) -> DataFrame:
+    """Hits of few items, whose sets go to every task."""
+    rows = sets.select("item_id", "members").orderBy("item_id").toArrow().combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def make():
+        ids, members = (shared.value.column(i).to_pylist() for i in (0, 1))
+        index = Index([(i, np.array(m, np.int64).view(np.uint64)) for i, m in zip(ids, members, strict=True)], percent)
+        split = Words()
+
+        def compute(column: pa.Array):
+            yield [pa.array([index.hits(s) for s in shingle_sets(column, split, shorter)], _ARROW_HITS)]
+
+        return compute
+
+    return with_computed(docs, text, [T.StructField(hits, HITS)], make)
+
+
+def _held_by_join(docs, sets, percent, shorter, text, hits) -> DataFrame:
+    """Hits of any number of items, by joins of hashes that a bounded filter lets through."""
+    numbered = written(sets.withColumn("_item", F.monotonically_increasing_id()), "items")
+    members = numbered.select("_item", F.explode("members").alias("_hash"))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(members.select(F.col("_hash").alias("key"))))
+
+    def make():
+        split, bloom = Words(), shared.value
+
+        def compute(column: pa.Array):
+            found = shingle_sets(column, split, shorter)
+            yield [pa.array([s[known(bloom, s)].view(np.int64) for s in found], pa.list_(pa.int64()))]
+
+        return compute
+
+    near, row = free(docs, "__near"), free(docs, "__row")
+    fields = [T.StructField(near, T.ArrayType(T.LongType()))]
+    rows = written(with_computed(docs, text, fields, make).withColumn(row, F.monotonically_increasing_id()), "near")
+    present = rows.select(F.col(row).alias("_row"), F.explode(near).alias("_hash"))
+    n = F.size("members")
+    largest = F.expr("shiftleft(1L, length(bin(size(members)))) - 1")  # of the item's partition
+    sketch = F.least(n.cast("long"), F.floor(largest * (100 - percent) / 100) + 1).cast("int")
+    sketches = numbered.select("_item", F.explode(F.slice("members", 1, sketch)).alias("_hash"))
+    pairs = written(present.join(sketches, "_hash").select("_row", "_item").distinct(), "pairs")
+    shared_of = (
+        pairs.join(members, "_item")
+        .join(present, ["_row", "_hash"], "left_semi")
+        .groupBy("_row", "_item")
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
+    sizes = numbered.select("_item", "item_id", n.cast("long").alias("item_shingles"))
+    hit = F.struct("item_id", "item_shingles", "shared")
+    held = (
+        shared_of.join(sizes, "_item")
+        .where(100 * F.col("shared") >= percent * F.col("item_shingles"))
+        .groupBy(F.col("_row").alias(row))
+        .agg(F.sort_array(F.collect_list(hit)).alias(free(docs, "__held")))  # a document's own result
+    )
+    out = rows.join(held, row, "left")
+    empty = F.array().cast(HITS)
+    return replaced(out, {hits: F.coalesce(free(docs, "__held"), empty)}).drop(
+        *(c for c in (near, row, free(docs, "__held")) if c != hits)
+    )
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:

@@ -25,13 +25,21 @@ def sets(name: str, key: str) -> str:
 
 CONTAMINATION = f"""
 WITH {sets("documents", "doc_id")}, {sets("benchmark", "item_id")},
+items AS (SELECT b.id, s, least(len(w), 5) AS words FROM benchmark_sets b JOIN benchmark_words w USING (id)),
+runs AS (
+  SELECT DISTINCT id, array_to_string(w[i:i + n - 1], ' ') AS x
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM documents_words, (SELECT DISTINCT words AS n FROM items WHERE words BETWEEN 1 AND 4))
+),
 found AS (
   SELECT d.id AS doc_id, b.id AS item_id, len(b.s) AS n, count(*) AS shared
-  FROM (SELECT id, s, unnest(s) AS x FROM benchmark_sets) b
+  FROM (SELECT id, s, unnest(s) AS x FROM items WHERE words = 5) b
   JOIN (SELECT id, unnest(s) AS x FROM documents_sets) d USING (x)
   GROUP BY ALL
+  UNION ALL
+  SELECT r.id, b.id, 1, 1 FROM items b JOIN runs r ON r.x = b.s[1] WHERE words BETWEEN 1 AND 4
 )
-SELECT doc_id, item_id, CAST(n AS BIGINT) AS item_shingles, shared,
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS item_shingles, CAST(shared AS BIGINT) AS shared,
        CAST(shared AS DOUBLE) / n AS containment
 FROM found WHERE 100 * shared >= 80 * n
 """

@@ -134,12 +134,12 @@ _TURNS = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D, 0xC
                                      0x165667B19E3779F9, 0xA0761D6478BD642F)]
 
 
-def shingles(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of five words; a shorter sequence is one shingle, none for no words."""
+def shingles(hashes: np.ndarray, most: int = SHINGLE) -> np.ndarray:
+    """Hashes of the runs of ``most`` words; a shorter sequence is one shingle, none for no words."""
     n = len(hashes)
     if n == 0:
         return hashes
-    size = min(n, SHINGLE)
+    size = min(n, most)
     out = np.zeros(n - size + 1, dtype=np.uint64)
     for i in range(size):
         out += mixed(hashes[i : n - size + 1 + i] * _TURNS[i])
@@ -153,17 +153,19 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[keep]
 
 
-def shingle_sets(column: pa.Array, split: Words | None = None) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
+def shingle_sets(
+    column: pa.Array, split: Words | None = None, shorter: tuple[int, ...] = ()
+) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each row, with those of all runs of ``shorter`` words."""
     split = split or Words()
     data, offsets = buffers(column)
     for first, last in runs(offsets):
         hashes, counts = word_hashes(split, data, offsets, first, last)
         every = shingles(hashes)  # those across two rows are not used
+        more = [(size, shingles(hashes, size)) for size in shorter]
         at = 0
         for n in counts.tolist():
-            if n >= SHINGLE:
-                yield distinct(every[at : at + n - SHINGLE + 1])
-            else:
-                yield shingles(hashes[at : at + n])
+            whole = every[at : at + n - SHINGLE + 1] if n >= SHINGLE else shingles(hashes[at : at + n])
+            parts = [found[at : at + n - size + 1] for size, found in more if n >= size]
+            yield distinct(np.concatenate([whole, *parts]) if parts else whole)
             at += n
