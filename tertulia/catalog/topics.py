@@ -11,6 +11,7 @@ from tertulia.functions.arrays import doubles
 from tertulia.operators.classify import project_2d
 from tertulia.operators.columns import analysis_names
 from tertulia.operators.embedding import neighbourhood_map
+from tertulia.operators.near_labels import near_label_silhouettes
 from tertulia.operators.silhouette import by_label, silhouettes
 from tertulia.plans import topics
 from tertulia.sources.corpus import materialise
@@ -113,6 +114,17 @@ def silhouette_per_row(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(df, 7)
 
 
+@query(
+    "silhouette_near_labels",
+    f"""WITH {_VECTORS_SQL}, {_silhouette_sql("vec")}
+SELECT id, label, round(s, 7) AS silhouette FROM sil""",
+)
+def silhouette_near_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The same figures, labels that are too far away left out."""
+    df = near_label_silhouettes(vectors(spark, folder), "vec_id", "embedding", "label")
+    return rounded(df.drop("compared"), 7)
+
+
 @query(
     "silhouette_by_label",
     f"""WITH {_VECTORS_SQL}, {_silhouette_sql("vec")}

@@ -140,10 +140,10 @@ def silhouettes(
         F.max(F.when(own, F.try_divide(F.col("distance"), F.col("members") - 1))).alias("a"),
         F.min(F.when(~own, F.col("distance") / F.col("members"))).alias("b"),
     )
-    return per_row.select(*by, "id", "label", _silhouette().alias("silhouette"))
+    return per_row.select(*by, "id", "label", silhouette_of().alias("silhouette"))
 
 
-def _silhouette() -> Column:
+def silhouette_of() -> Column:
     """(b - a) / max(a, b): 0 for a row alone in its label or all on one point,
     null when no other label exists."""
     a, b = F.col("a"), F.col("b")

@@ -44,6 +44,7 @@ from tertulia.operators.ranktests import (
     ranked_histogram,
     square,
 )
+from tertulia.operators.near_labels import near_label_silhouettes
 from tertulia.operators.silhouette import silhouettes
 from tertulia.plans import sentiment, toxicity
 from tertulia.plans.preparation import sample_per_language
@@ -451,6 +452,37 @@ def test_silhouettes_against_brute_force(spark, block_rows):
     assert [got[i] for i in range(len(rows))] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("block_rows", [8, 1000])
+def test_silhouettes_without_far_labels(spark, block_rows):
+    rng = random.Random(3)
+    points = [[rng.gauss(8 * (i % 6), 1) for _ in range(4)] for i in range(150)]
+    labels = [f"l{i % 6}" for i in range(150)]
+    points += [[rng.gauss(0, 9) for _ in range(4)] for _ in range(20)] + [points[0]] * 9 + [[99.0] * 4]
+    labels += [f"l{rng.randrange(6)}" for _ in range(20)] + ["l0"] * 5 + ["l4"] * 4 + ["alone"]
+    rows = [(i, p, k) for i, (p, k) in enumerate(zip(points, labels))]
+    df = spark.createDataFrame([*rows, (-1, None, "l0"), (-2, points[0], None)], "id long, v array<double>, k string")
+    got = {r.id: r for r in near_label_silhouettes(df.repartition(5), "id", "v", "k", block_rows).collect()}
+    assert [got[i].silhouette for i in range(len(rows))] == pytest.approx(_brute_silhouette(points, labels), abs=1e-9)
+    assert [got[i].label for i in range(len(rows))] == labels and len(got) == len(rows)
+    clustered = [got[i].compared for i in range(150)]
+    assert sum(clustered) < 0.5 * 150 * len(rows)
+    alone = [(i, [float(i)], "x") for i in range(4)]
+    one = spark.createDataFrame(alone, df.schema)
+    assert [(r.silhouette, r.compared) for r in near_label_silhouettes(one, "id", "v", "k").collect()] == [(None, 4)] * 4
+    assert near_label_silhouettes(one.limit(0), "id", "v", "k").count() == 0
+
+
+def test_more_labels_than_are_sent(spark, monkeypatch):
+    from tertulia.operators import near_labels
+
+    monkeypatch.setattr(near_labels, "LABELS", 2)
+    points = [[float(i * i % 17)] for i in range(30)]
+    df = spark.createDataFrame([(i, p, i % 4) for i, p in enumerate(points)], "id long, v array<double>, k int")
+    rows = sorted(near_label_silhouettes(df, "id", "v", "k").collect())
+    want = _brute_silhouette(points, [i % 4 for i in range(30)])
+    assert [r.silhouette for r in rows] == pytest.approx(want) and {r.compared for r in rows} == {30}
+
+
 def test_silhouette_of_one_label_is_null(spark):
     df = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 0)], "id long, v array<double>, k int")
     assert {r.silhouette for r in silhouettes(df, "id", "v", "k").collect()} == {None}
