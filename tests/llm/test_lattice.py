@@ -102,3 +102,65 @@ def test_vocabulary_file():
     pieces = L.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     assert len(set(pieces)) == len(pieces) > 20_000
     assert {bytes([b]) for b in range(256)} <= set(pieces)
+
+
+def segmentations(word, p):
+    """Every way to cut the word into pieces, with its probability."""
+    if not word:
+        yield [], 1.0
+    for piece, x in p.items():
+        if word.startswith(piece):
+            for rest, y in segmentations(word[len(piece) :], p):
+                yield [piece, *rest], x * y
+
+
+def maximised(words, p):
+    """One step of expectation and maximisation by listing all segmentations."""
+    counts = dict.fromkeys(p, L.PSEUDO)
+    for word in words:
+        ways = list(segmentations(b" " + word, p))
+        whole = sum(x for _, x in ways)
+        for pieces, x in ways:
+            for piece in pieces:
+                counts[piece] += x / whole
+    total = sum(counts.values())
+    return {k: n / total for k, n in counts.items()}
+
+
+def first_scores():
+    p = [1 / (i + 2.7) for i in range(len(PIECES))]
+    return {k: x / sum(p) for k, x in zip(PIECES, p, strict=True)}
+
+
+TRAINING = ["abc ab A abc", "one two abcab", "", None, "ab ab Ab é"]
+HELD = ["abc", "abcabc one", "", None, "two x", "AB é one ONE"]
+
+
+@pytest.mark.parametrize("steps", [0, 1, 3])
+def test_fit_of_brute_force(spark, steps):
+    docs = spark.createDataFrame([(t, True) for t in TRAINING] + [(t, False) for t in HELD], "text string, t boolean")
+    found = L.fitted(L.word_counts(docs, "t", "text"), PIECES, steps)
+    wanted = first_scores()
+    for _ in range(steps):
+        wanted = maximised({w for t in TRAINING for w in tokens(t) if w is not None}, wanted)
+    assert np.allclose(np.exp(found), [wanted[k] for k in PIECES], rtol=1e-10, atol=0)
+
+
+def test_score_of_brute_force(spark):
+    rows = [(i, t, i < len(TRAINING)) for i, t in enumerate(TRAINING + HELD)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
+    counts = Counter(w for t in TRAINING for w in tokens(t))
+    kinds = {w for w in counts if w is not None}
+    p = first_scores()
+    for _ in range(L.EM_STEPS):
+        p = maximised(kinds, p)
+    mass = sum(counts.values()) + 1.5
+
+    def probability(w):
+        if w is None:
+            return (len(TRAINING) + 0.5) / mass
+        return max(counts[w] - L.DISCOUNT, 0) / mass + (L.DISCOUNT * len(kinds) + 1) / mass * cut(b" " + w, p)
+
+    for r in L.scored(docs, F.col("t"), PIECES).collect():
+        wanted = sum(math.log10(probability(w)) for w in tokens(rows[r["doc_id"]][1]))
+        assert r["score"] == pytest.approx(wanted, rel=1e-10)
