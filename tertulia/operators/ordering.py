@@ -143,16 +143,47 @@ def cap_per_group(
     )
 
 
+def keys_at(df: DataFrame, key: Column, picks: DataFrame, rows: int, seed: int = 42) -> DataFrame:
+    """``picks``, with the key (``_picked``) at position ``_pick`` of the shuffled order.
+
+    Keys are counted by digest range first, at most 65,536 of them. A pick finds its range through
+    cells of equal width, into which the ranges are cut (twice as many rows at most), and only keys
+    of ranges with a pick are then shuffled and numbered. ``key`` must identify a row, ``rows`` is
+    their number; picks behind the last row go.
+    """
+    keys = df.select(key.alias("_picked"), shuffle_key(key, seed).alias("_key")).withColumn(
+        "_range", F.left("_key", F.lit(4))
+    )
+    width = max(1, -(-rows // 65_536))
+    end = F.sum("count").over(Window.orderBy("_range"))
+    ranges = keys.groupBy("_range").count().withColumn("_end", end)
+    ranges = ranges.select("_range", (F.col("_end") - F.col("count")).alias("_start"), "_end")
+    first, last = F.expr(f"_start div {width}"), F.expr(f"(_end - 1) div {width}")
+    cells = ranges.withColumn("_cell", F.explode(F.sequence(first, last)))
+    located = (
+        picks.withColumn("_cell", F.expr(f"_pick div {width}"))
+        .join(F.broadcast(cells), "_cell")
+        .where((F.col("_start") <= F.col("_pick")) & (F.col("_pick") < F.col("_end")))
+        .withColumn("_within", F.col("_pick") - F.col("_start"))
+        .drop("_cell", "_start", "_end")
+    )
+    wanted = keys.join(F.broadcast(located.select("_range").distinct()), "_range", "left_semi")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key")).cast("long") - 1
+    return located.join(wanted.withColumn("_within", place), ["_range", "_within"]).drop(
+        "_range", "_within", "_key"
+    )
+
+
 def bootstrap(
     df: DataFrame, key: Column, draws: int, subsets: int, rows: int, seed: int = 42
 ) -> DataFrame:
     """Samples with replacement: ``subsets`` times ``draws`` rows out of ``rows``.
 
-    Adds ``subset`` and ``draw``. Each draw picks a position by hash. Positions are given
-    to the keys alone and only picked keys are joined to the rows, so other columns are
-    never shuffled for it while the picks, at most ``subsets * draws`` rows, are few enough
-    to be broadcast (PICKS_SENT); beyond that, rows are shuffled by key once. ``key`` must
-    identify a row.
+    Adds ``subset`` and ``draw``. Each draw picks a position by hash. Only keys of digest
+    ranges with a draw are numbered, and only picked keys are joined to the rows, so other
+    columns are never shuffled for it while the picks, at most ``subsets * draws`` rows, are
+    few enough to be broadcast (PICKS_SENT); beyond that, rows are shuffled by key once.
+    ``key`` must identify a row.
     """
     spark = df.sparkSession
     picks = spark.range(subsets * draws).select(
@@ -161,8 +192,7 @@ def bootstrap(
     )
     label = F.concat_ws("/", F.col("subset").cast("string"), F.col("draw").cast("string"))
     picks = picks.withColumn("_pick", hash_number(label, seed, digits=12) % rows)
-    placed = positions(df.select(key.alias("_picked")), F.col("_picked"), "_pick", seed)
-    chosen = picks.join(placed, "_pick").select("subset", "draw", "_picked")
+    chosen = keys_at(df, key, picks, rows, seed).select("subset", "draw", "_picked")
     if subsets * draws <= PICKS_SENT:
         chosen = F.broadcast(chosen)
     keyed = df.withColumn("_key", key)
