@@ -231,7 +231,8 @@ def joining(nodes, comps, minima_, sets, half: np.ndarray, same: bool, percent:
 
 def _across(large: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join components, of groups (key, node, comp, low) of more than SMALL nodes."""
-    lows = large.groupBy("key").agg(F.min("node").alias("b"))
+    # written, so that the rows of a hot key meet their one row here in as many parts as needed
+    lows = written(large.groupBy("key").agg(F.min("node").alias("b")), "lows")
     together = components(large.select("key", F.col("node").alias("a")).join(lows, "key"))
     found = large.select("node", "comp").distinct()
     found = found.join(together.withColumnRenamed("a", "node"), "node", "left")

@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from tertulia.llm.store import written
 
-SALTS = 16
-
-
 def _with_smallest(arcs: DataFrame) -> DataFrame:
     """Arcs (u, v) with the smallest of u and all its v as ``m``.
 
-    A node may hold a third of all arcs, so its arcs meet their ``m`` in SALTS parts.
+    A node may hold a third of all arcs. One with more than a shuffle partition's fair share
+    meets its ``m`` in as many parts as it holds shares; there are fewer such nodes than
+    partitions, hence the broadcast, and all their parts are at most twice the partitions.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    least = arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).withColumn("salt", salts)
-    return arcs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(
-        least, ["u", "salt"]
+    least = written(
+        arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")),
+        "smallest",
+    )
+    total = least.agg(F.sum("n")).first()[0] or 0
+    share = max(1, -(-total // int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = F.ceil(F.col("n") / share).cast("int")
+    hot = least.where(F.col("n") > share).select("u", parts.alias("parts"))
+    dealt = arcs.join(F.broadcast(hot), "u", "left").select(
+        "u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"), F.lit(0)).alias("salt")
     )
+    every = least.select("u", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    return dealt.join(every, ["u", "salt"])
 
 
 def large_star(edges: DataFrame) -> DataFrame:
