@@ -19,6 +19,7 @@ from tertulia.operators.annotate import (
     prompts,
     translate,
     unannotated,
+    unannotated_prefiltered,
 )
 from tertulia.operators.messages import triples
 
@@ -39,17 +40,24 @@ done AS (
 )"""
 
 
-@query(
-    "unannotated_triples",
-    f"""WITH {_DONE_SQL}
+_REST_SQL = f"""WITH {_DONE_SQL}
 SELECT conversation_hash, lang AS language FROM parts
-WHERE len(lines) >= 3 AND lines[1:3] NOT IN (SELECT triple FROM done)""",
-)
+WHERE len(lines) >= 3 AND lines[1:3] NOT IN (SELECT triple FROM done)"""
+
+
+@query("unannotated_triples", _REST_SQL)
 def unannotated_triples(spark: SparkSession, folder: str) -> DataFrame:
     rest = unannotated(triples(corpus(spark, folder)), done(spark, folder))
     return rest.select("conversation_hash", "language")
 
 
+@query("unannotated_triples_prefiltered", _REST_SQL)
+def unannotated_triples_prefiltered(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows; only those a Bloom filter lets through are shuffled."""
+    rest = unannotated_prefiltered(triples(corpus(spark, folder)), done(spark, folder))
+    return rest.select("conversation_hash", "language")
+
+
 @query(
     "annotation_queue",
     f"""WITH {_DONE_SQL},

@@ -18,6 +18,9 @@ from tertulia.operators.columns import analysis_names
 from tertulia.operators.messages import first_messages
 from tertulia.plans import sentiment
 from tertulia.schema import SENTIMENTS
+from tertulia.session import new_path
+from tertulia.sources.corpus import write_corpus
+from tertulia.sources.resume import scored_in_parts
 
 _HIT = "(length({t}) - length(replace({t}, '{c}', '')) + 1)"
 
@@ -72,6 +75,20 @@ def sentiment_batch_model(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sentiment.score_columns(df).select("conversation_hash", *sentiment.SCORES), 9)
 
 
+@query("sentiment_resumed", _ROW_SQL)
+def sentiment_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same scores from a run that ends after one part and is started again."""
+
+    def score(df: DataFrame) -> DataFrame:
+        found = sentiment.score_columns(sentiment.add_sentiment(df, make_predict_fn=letter_sentiment))
+        return rounded(found.select("conversation_hash", *sentiment.SCORES), 9)
+
+    source = write_corpus(corpus(spark, folder), new_path(spark, "to-score"))
+    path = new_path(spark, "scored")
+    scored_in_parts(spark, source, score, path, most_parts=1)
+    return scored_in_parts(spark, source, score, path)
+
+
 _CUT_SQL = ", ".join(
     f"length(head) - length(replace(head, '{c}', '')) + 1 AS h{i}" for i, c in enumerate("ean")
 )

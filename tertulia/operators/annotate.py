@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tertulia.functions.arrays import argmax
 from tertulia.functions.scoring import MakePredict, batch_scores
 from tertulia.functions.text import after_last_marker, translation_prompt
+from tertulia.operators.bloom import blocks_for, bloom_table, with_possible
 from tertulia.operators.columns import decode, ensure_column
 from tertulia.operators.messages import triples
 from tertulia.operators.ordering import cap_per_group
 from tertulia.schema import SATISFACTION_CODES
+from tertulia.sources.corpus import materialise
 
 ROLES = ["user", "assistant", "user"]
 
@@ -35,6 +37,26 @@ def unannotated(candidates: DataFrame, annotated: DataFrame) -> DataFrame:
     return keyed.join(done, same, "left_anti").drop("_key")
 
 
+def unannotated_prefiltered(candidates: DataFrame, annotated: DataFrame) -> DataFrame:
+    """The same rows, for annotations too many to broadcast.
+
+    The annotated triples are written once and a Bloom filter of them is broadcast. A candidate
+    it rules out stays without being moved; only the others, which are the annotated ones and
+    some false positives, are shuffled and compared. The candidates are read twice, so they
+    should be a stored table or a narrow projection of one.
+    """
+    key = F.xxhash64(F.to_json("chat_triples"))
+    done = materialise(
+        annotated.select(key.alias("_done_key"), F.col("chat_triples").alias("_done")).distinct(), "annotated"
+    )
+    blocks = blocks_for(done.count())
+    table = materialise(bloom_table(done, "_done_key", blocks), "annotated-filter")
+    marked = with_possible(candidates.withColumn("_key", key), "_key", table, blocks, "_possible")
+    same = (F.col("_key") == F.col("_done_key")) & F.col("chat_triples").eqNullSafe(F.col("_done"))
+    compared = marked.where("_possible").join(done, same, "left_anti")
+    return marked.where("NOT _possible").unionByName(compared).drop("_key", "_possible")
+
+
 def annotation_queue(
     corpus: DataFrame, annotated: DataFrame, key: Column, per_language: int = 1000, seed: int = 42
 ) -> DataFrame:
