@@ -17,7 +17,7 @@ from tertulia.catalog.tables import (
     table,
 )
 from tertulia.functions.numeric import round_half_away
-from tertulia.operators.charts import density, score_histogram, violin
+from tertulia.operators.charts import density, density_binned, score_histogram, violin
 from tertulia.operators.classify import project_2d
 from tertulia.operators.columns import analysis_names
 from tertulia.operators.distribution import AUTO
@@ -358,6 +358,33 @@ for _role in ("user", "assistant"):
 query("score_density", _density_sql("user", "max_toxicity_score"))(_density("user", "max_toxicity_score"))
 
 
+_BINNED_SQL = f"""WITH {SCORED_SQL},
+v AS (SELECT lang, avg_toxicity_score AS x FROM scored WHERE role = 'user' AND avg_toxicity_score IS NOT NULL),
+s AS (SELECT lang, count(*) AS n, min(x) AS lo, max(x) AS hi,
+             stddev_samp(x) * pow(count(*), -0.2) AS h FROM v GROUP BY lang HAVING max(x) > min(x)),
+p AS (SELECT lang, (x - lo) * 32 / h AS place FROM v JOIN s USING (lang)),
+b AS (SELECT lang, bin, sum(weight) AS weight FROM (
+        SELECT lang, floor(place) AS bin, 1 - (place - floor(place)) AS weight FROM p UNION ALL
+        SELECT lang, floor(place) + 1, place - floor(place) FROM p)
+      GROUP BY lang, bin),
+g AS (SELECT *, CAST(unnest(range(0, 100)) AS INTEGER) AS point FROM s)
+SELECT g.lang, point, round(any_value(lo + point * (hi - lo) / 99.0), 6) AS x,
+       round(sum(weight / n / (h * sqrt(2 * pi()))
+             * exp(-0.5 * pow(point * (hi - lo) / 99.0 / h - bin / 32.0, 2))), 5) AS density,
+       round(any_value(1 / (h * sqrt(2 * pi())) / 8192.0), 9) AS error
+FROM g JOIN b ON g.lang = b.lang GROUP BY g.lang, point"""
+
+
+@query("score_density_binned", _BINNED_SQL)
+def score_density_binned(spark: SparkSession, folder: str) -> DataFrame:
+    """Density of unrounded scores, with the bound of its distance from the direct sum."""
+    messages = scored(spark, folder).where(F.col("role") == "user")
+    found = density_binned(messages, "lang", "avg_toxicity_score")
+    return found.select(
+        "lang", "point", F.round("x", 6).alias("x"), F.round("density", 5).alias("density"), F.round("error", 9).alias("error")
+    )
+
+
 def _role_vectors(spark: SparkSession, folder: str, role: str) -> DataFrame:
     df = corpus(spark, folder).withColumn("vectors", message_vectors(F.col("openai_moderation")))
     found = vectors_of_role(F.col("conversation"), F.col("vectors"), role)

@@ -79,3 +79,59 @@ def density(df: DataFrame, by: str, value: str, points: int = 100) -> DataFrame:
         F.col("_rows") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi())
     )
     return grid.groupBy(by, "point").agg(F.min("x").alias("x"), F.sum(weight).alias("density"))
+
+
+def density_binned(
+    df: DataFrame, by: str, value: str, points: int = 100, steps: int = 32
+) -> DataFrame:
+    """``density`` of a continuous score, without a row per distinct value.
+
+    Each row is shared between the two nearest points of a grid with ``steps`` points a
+    bandwidth, in proportion to how near they are, and the sums per grid point are spread instead
+    of the rows. These sums are formed before anything moves; a group has at most
+    ``steps`` times its range in bandwidths of them. The result differs from the direct sum
+    by at most ``error``, which is 1 / (8 steps^2) of the kernel's peak: linear
+    interpolation of a function errs by an eighth of the squared grid width times its largest
+    second derivative. The frame is read twice, once for the bandwidth. Null and NaN
+    values are left out and a group without spread has no density.
+    """
+    v = F.col(value).cast("double")
+    known = df.select(F.col(by).alias("_by"), v.alias("_v")).where("NOT coalesce(isnan(_v) OR _v IS NULL, true)")
+    rows = F.col("_rows")
+    stats = stored(
+        known.groupBy("_by")
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("_rows"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+            F.stddev_samp("_v").alias("_spread"),
+        )
+        .where("_max > _min")
+        .select(F.col("_by").alias(by), "_rows", "_min", "_max", (F.col("_spread") * F.pow(rows, F.lit(-0.2))).alias("_h"))
+    )
+    place = (F.col("_v") - F.col("_min")) * steps / F.col("_h")
+    share = F.col("_place") - F.floor("_place")
+    ends = F.array(
+        F.struct(F.floor("_place").alias("bin"), (1 - share).alias("weight")),
+        F.struct((F.floor("_place") + 1).alias("bin"), share.alias("weight")),
+    )
+    bins = (
+        known.join(stats, F.col(by).eqNullSafe(F.col("_by")))
+        .withColumn("_place", place)
+        .select(by, F.inline(ends))
+        .where("weight > 0")
+        .groupBy(F.col(by).alias("_by"), "bin")
+        .agg(F.sum("weight").alias("weight"))
+    )
+    width = (F.col("_max") - F.col("_min")) / float(points - 1)
+    spread = bins.join(stats, F.col(by).eqNullSafe(F.col("_by"))).select(
+        by, "bin", "weight", "_rows", "_min", "_h", width.alias("_width"),
+        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
+    )
+    u = F.col("point") * F.col("_width") / F.col("_h") - F.col("bin") / float(steps)
+    peak = 1 / (F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
+    return spread.groupBy(by, "point").agg(
+        F.min(F.col("_min") + F.col("point") * F.col("_width")).alias("x"),
+        F.sum(F.col("weight") / F.col("_rows") * peak * F.exp(-0.5 * u * u)).alias("density"),
+        F.min(peak / (8.0 * steps * steps)).alias("error"),
+    )
