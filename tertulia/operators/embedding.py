@@ -6,8 +6,8 @@ is estimated from a sample of SAMPLE positions, drawn anew for each epoch, which
 while there are no more rows than that. An epoch is therefore linear in the edges and the
 rows, and what is sent to every task does not grow. Each epoch is written to the shared folder.
 
-The graph takes a comparison of all pairs in blocks, as exactness asks, once: a task holds two
-blocks and returns the best neighbours of their rows.
+The graph takes a comparison of all pairs, as exactness asks, once: a task holds a group of rows
+and lets all others stream past, so a row's neighbours are known when it ends.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.operators.classify import project_2d
-from tertulia.operators.silhouette import pair_distances
 from tertulia.sources.corpus import materialise
 
 SAMPLE = 2048
-BLOCK_ROWS, TILE = 4096, 512
+BLOCK_ROWS, TILE = 16_384, 256  # most rows of a group, rows compared at a time
+GROUPS = 48  # of nearest_rows, while they are small
+STREAM_ROWS, PACKED_BYTES = 4096, 2048
 EXAGGERATION, EXAGGERATED = 12.0, 0.25  # factor on the attraction, share of the epochs with it
 START = 1e-2  # deviation of the first positions
 
@@ -31,57 +32,160 @@ START = 1e-2  # deviation of the first positions
 def nearest_rows(rows: DataFrame, k: int, count: int) -> DataFrame:
     """id, others, distances: the ``k`` nearest other rows (ties to the smaller id), ascending.
 
-    ``rows`` has id (long, unique) and vector; ``count`` is their number. A vector is sent once
-    to each of the count / BLOCK_ROWS pairs of blocks that its block is in.
+    ``rows`` has id (long, unique) and vector; ``count`` is their number. Rows are dealt to groups;
+    a task holds the rows of one group and what they have found so far, and all rows stream
+    past it, its own first. What is shuffled is the vectors once a group; nothing else grows
+    faster than the rows but the comparisons.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-count // BLOCK_ROWS), min(math.isqrt(2 * parts), -(-count // 256)))
-    placed = (
-        rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(
-            "id",
-            F.col("vector").cast("array<double>").alias("vector"),
-            F.least("_block", "_other").alias("low"),
-            F.greatest("_block", "_other").alias("high"),
-            (F.col("_block") <= F.col("_other")).alias("mine"),
-        )
+    groups = max(1, -(-count // BLOCK_ROWS), min(GROUPS, -(-count // 256)))
+    everyone = F.sequence(F.lit(0), F.lit(groups - 1))
+    # of equal vectors none but the k + 1 smallest ids can be among the nearest of any row
+    copies = F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))
+    sent = (
+        rows.select("id", F.col("vector").cast("array<double>").alias("vector"))
+        .withColumn("seen", copies <= k + 1)
+        .mapInArrow(_packed, "ids binary, vectors binary, seen boolean")
+        .withColumn("_owner", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+        .withColumn("_group", F.explode(F.when(F.col("seen"), everyone).otherwise(F.array("_owner"))))
+        .select("_group", (F.col("_owner") == F.col("_group")).alias("mine"), "seen", "ids", "vectors")
+        .repartitionById(groups, F.col("_group"))
+        .sortWithinPartitions("_group", F.desc("mine"))
+        .select("mine", "seen", "ids", "vectors")
     )
 
-    def best(table: pa.Table) -> pa.Table:
-        same = table["low"][0] == table["high"][0]
-        ids, mine = table["id"].to_numpy(), table["mine"].to_numpy()
-        flat = table["vector"].combine_chunks().flatten().to_numpy()
-        vectors = flat.reshape(len(ids), -1)
-        sides = [(ids, vectors)] * 2 if same else [(ids[mine], vectors[mine]), (ids[~mine], vectors[~mine])]
-        out = [], [], []
-        for here, there in ((0, 1),) if same else ((0, 1), (1, 0)):
-            (a, va), (b, vb) = sides[here], sides[there]
-            order = np.argsort(b)
-            b, vb = b[order], vb[order]
-            for at in range(0, len(a) if len(b) else 0, TILE):
-                d = pair_distances(va[at : at + TILE], vb)
-                d[a[at : at + TILE, None] == b] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(d, near, axis=1)
-                there_is = np.isfinite(found)
-                out[0].append(np.broadcast_to(a[at : at + TILE, None], near.shape)[there_is])
-                out[1].append(b[near][there_is])
-                out[2].append(found[there_is])
-        columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({
-            "id": pa.array(columns[0].astype(np.int64)),
-            "other": pa.array(columns[1].astype(np.int64)),
-            "distance": pa.array(columns[2].astype(np.float64)),
-        })
-
-    found = placed.groupBy("low", "high").applyInArrow(best, "id long, other long, distance double")
-    order = Window.partitionBy("id").orderBy("distance", "other")
-    kept = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
-    listed = F.sort_array(F.collect_list(F.struct("distance", "other")))  # k entries
-    return kept.groupBy("id").agg(listed.alias("_near")).select(
-        "id", F.col("_near.other").alias("others"), F.col("_near.distance").alias("distances")
-    )
+    def best(batches):
+        own, found = [], None
+        for batch in batches:
+            mine = np.array(batch.column(0).to_pylist(), dtype=bool)
+            sizes = batch.column(2).to_pylist()
+            ids = np.frombuffer(b"".join(sizes), dtype=np.int64)
+            if not len(ids):
+                continue
+            sizes = np.array([len(x) // 8 for x in sizes])
+            vectors = np.frombuffer(b"".join(batch.column(3).to_pylist())).reshape(len(ids), -1)
+            seen = np.repeat(np.array(batch.column(1).to_pylist(), dtype=bool), sizes)
+            first = int(sizes[mine].sum())  # a group's own rows come first
+            if first:
+                own.append((ids[:first], vectors[:first], seen[:first]))
+            if first < len(ids):
+                found = found or _Nearest(own, k)
+                found.see(ids[first:], vectors[first:])
+        yield from (found or _Nearest(own, k)).rows()
+
+    found = sent.mapInArrow(best, "id long, others array<long>, distances array<double>")
+    # an id that rows share has the nearest of what all of them found
+    listed = F.flatten(F.collect_list(F.arrays_zip(F.col("distances"), F.col("others"))))
+    near = found.groupBy("id").agg(F.slice(F.sort_array(listed), 1, k).alias("_near"))
+    return near.select("id", F.col("_near.others").alias("others"), F.col("_near.distances").alias("distances"))
+
+
+def _packed(batches):
+    """Rows as a few kilobytes of ids and vectors, which are cheap to send to many groups."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        ids = batch.column(0).to_numpy().astype(np.int64)
+        seen = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        size = max(1, PACKED_BYTES // max(8, 8 * vectors.shape[1]))
+        parts = [np.flatnonzero(seen == flag) for flag in (True, False)]
+        parts = [part[at : at + size] for part in parts for at in range(0, len(part), size)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([ids[part].tobytes() for part in parts], pa.binary()),
+                pa.array([vectors[part].tobytes() for part in parts], pa.binary()),
+                pa.array([bool(seen[part[0]]) for part in parts], pa.bool_()),
+            ],
+            names=["ids", "vectors", "seen"],
+        )
+
+
+class _Nearest:
+    """The ``k`` nearest rows seen so far of each row of a group; ``own`` are seen first."""
+
+    def __init__(self, own: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int):
+        self.k = k
+        nothing = [(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0, bool))]
+        self.ids, self.vectors, seen = map(np.concatenate, zip(*(own or nothing), strict=True))
+        self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        # squared distances and ids, by both ascending; infinite where fewer are known
+        self.far = np.full((len(self.ids), k), np.inf)
+        self.others = np.full((len(self.ids), k), np.iinfo(np.int64).max)
+        self.see(self.ids[seen], self.vectors[seen])
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for at in range(0, len(ids), STREAM_ROWS):
+            there = slice(at, at + STREAM_ROWS)
+            self._see(ids[there], vectors[there])
+
+    def _see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """In single precision |b|^2 - 2ab, less what rounding can add, says which pairs may be
+        near enough; those are measured directly."""
+        squares = np.einsum("ij,ij->i", vectors, vectors)
+        top = max(self.squares.max(initial=0.0), squares.max(initial=0.0))
+        kind = np.float32 if 1e-20 < top < 1e30 else np.float64
+        error = 4 * (vectors.shape[1] + 3) * np.finfo(kind).eps
+        right = np.concatenate([vectors, (squares * (1 - error))[:, None]], axis=1).T.astype(kind)
+        copies = 0
+        for first in range(0, len(self.ids), TILE):
+            here = slice(first, first + TILE)
+            left = np.concatenate([-2.0 * self.vectors[here], np.ones((len(self.ids[here]), 1))], axis=1)
+            near = left.astype(kind) @ right
+            own, bound = self.squares[here], self.far[here, -1]
+            open_ = np.isinf(bound)
+            if open_.any():  # nothing is known yet: the k nearest here, beside copies of the row
+                copies = copies or int(np.unique(ids, return_counts=True)[1].max())
+                if self.k + copies < len(ids):
+                    kth = np.partition(near[open_], self.k + copies, axis=1)[:, self.k + copies]
+                    bound = bound.copy()
+                    bound[open_] = kth + (1 + 2 * error) * own[open_] + 2 * error * squares.max()
+            limit = (bound - own * (1 - error)).astype(kind)
+            with np.errstate(invalid="ignore"):
+                hits = np.flatnonzero((near <= np.nextafter(limit, kind(np.inf))[:, None]).ravel())
+            if len(hits):
+                self._add(here, hits // len(ids), hits % len(ids), ids, vectors)
+
+    def _add(self, here: slice, row: np.ndarray, col: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        a, k = self.vectors[here], self.k
+        other = self.ids[here][row] != ids[col]
+        row, col = row[other], col[other]
+        exact = np.empty(len(row))
+        for at in range(0, len(row), 65536):
+            gap = a[row[at : at + 65536]] - vectors[col[at : at + 65536]]
+            exact[at : at + 65536] = np.einsum("ij,ij->i", gap, gap)
+        keep = exact <= self.far[here, -1][row]
+        keep &= np.isfinite(exact)
+        row, col, exact = row[keep], col[keep], exact[keep]
+        changed, starts, counts = np.unique(row, return_index=True, return_counts=True)
+        if not len(changed):
+            return
+        slot = k + np.arange(len(row)) - np.repeat(starts, counts)
+        line = np.repeat(np.arange(len(changed)), counts)
+        far = np.full((len(changed), k + counts.max()), np.inf)
+        others = np.full(far.shape, np.iinfo(np.int64).max)
+        far[:, :k], others[:, :k] = self.far[here][changed], self.others[here][changed]
+        far[line, slot], others[line, slot] = exact, ids[col]
+        order = np.argsort(others, axis=1)
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(far, order, axis=1), axis=1, kind="stable")[:, :k], axis=1)
+        self.far[here.start + changed] = np.take_along_axis(far, order, axis=1)
+        self.others[here.start + changed] = np.take_along_axis(others, order, axis=1)
+
+    def rows(self):
+        for first in range(0, len(self.ids), STREAM_ROWS):
+            here = slice(first, first + STREAM_ROWS)
+            there_is = np.isfinite(self.far[here])
+            sizes = there_is.sum(axis=1)
+            some = sizes > 0
+            cuts = pa.array(np.concatenate([[0], np.cumsum(sizes[some])]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(self.ids[here][some]),
+                    pa.ListArray.from_arrays(cuts, pa.array(self.others[here][there_is])),
+                    pa.ListArray.from_arrays(cuts, pa.array(np.sqrt(self.far[here][there_is]))),
+                ],
+                names=["id", "others", "distances"],
+            )
 
 
 def bandwidths(distances: np.ndarray, perplexity: float, steps: int = 64) -> np.ndarray:
@@ -114,29 +218,29 @@ def affinities(neighbours: DataFrame, perplexity: float, count: int) -> DataFram
 
     def work(batches):
         for batch in batches:
-            distances = batch.column(2).to_pylist()
-            others = batch.column(1).to_pylist()
-            width = max((len(d) for d in distances), default=0)
-            padded = np.full((len(distances), width), np.inf)
-            for row, d in enumerate(distances):
-                padded[row, : len(d)] = d
-            p = bandwidths(padded, perplexity)
-            sizes = [len(d) for d in distances]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column(0).to_numpy(), sizes)),
-                    pa.array([j for of in others for j in of], pa.int64()),
-                    pa.array(np.concatenate([p[r, :n] for r, n in enumerate(sizes)]) if sizes else []),
-                ],
-                names=["i", "j", "p"],
-            )
+            for at in range(0, batch.num_rows, STREAM_ROWS):
+                part = batch.slice(at, STREAM_ROWS)
+                others, distances = part.column(1), part.column(2)
+                sizes = distances.value_lengths().to_numpy(zero_copy_only=False)
+                there = np.arange(sizes.max(initial=0)) < sizes[:, None]
+                padded = np.full(there.shape, np.inf)
+                padded[there] = distances.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part.column(0).to_numpy(), sizes)),
+                        others.flatten(),
+                        pa.array(bandwidths(padded, perplexity)[there]),
+                    ],
+                    names=["i", "j", "p"],
+                )
 
     directed = neighbours.select("id", "others", "distances").mapInArrow(work, "i long, j long, p double")
     share = (F.col("p") / F.lit(2.0 * count)).alias("p")
     both = directed.select("i", "j", share).unionByName(
         directed.select(F.col("j").alias("i"), F.col("i").alias("j"), share)
     )
-    return both.groupBy("i", "j").agg(F.sum("p").alias("p"))
+    # dealt by i alone, so that an epoch's sums by i are all but done where the edges are read
+    return both.repartition("i").groupBy("i", "j").agg(F.sum("p").alias("p"))
 
 
 def attraction(edges: DataFrame, positions: DataFrame) -> DataFrame:

@@ -149,3 +149,30 @@ def test_few_rows(spark):
         rows = E.neighbourhood_map(frame(spark, x) if n else frame(spark, vectors(1)).limit(0), "id", "vector", epochs=3).collect()
         assert sorted(r["id"] for r in rows) == list(range(n))
         assert all(math.isfinite(r["x"]) and math.isfinite(r["y"]) for r in rows)
+
+
+def test_neighbours_are_known_where_they_are_found(spark, monkeypatch):
+    """Each task returns k entries a row, not k a row and block; copies of a vector send no more
+    than k + 1 of them around, and ties go to the smaller id."""
+    monkeypatch.setattr(E, "BLOCK_ROWS", 32)
+    x = np.round(vectors(300), 0)
+    x[40:200] = x[40]  # more than half are one vector
+    near = E.nearest_rows(frame(spark, x), 4, 300)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
+    found = {r["id"]: r["others"] for r in near.collect()}
+    exact = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(exact, np.inf)
+    for i in range(300):
+        assert found[i] == np.lexsort((np.arange(300), exact[i]))[:4].tolist()
+
+
+@pytest.mark.parametrize("scale", [1e-14, 1.0, 1e20])
+def test_neighbours_at_any_scale(scale):
+    x = vectors(400) * scale
+    group = E._Nearest([(np.arange(50), x[:50], np.ones(50, bool))], 7)
+    group.see(np.arange(50, 400), x[50:])
+    d = dense_distances(x)
+    np.fill_diagonal(d, np.inf)
+    ids = np.concatenate([b.column(1).flatten().to_numpy() for b in group.rows()]).reshape(50, 7)
+    assert (ids == np.argsort(d[:50], axis=1)[:, :7]).all()
