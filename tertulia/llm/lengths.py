@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tertulia.llm.bpe import encoder, sent
+from tertulia.llm.bpe import sent, texts_encoder
 from tertulia.llm.store import with_computed, written
 from tertulia.llm.words import buffers, runs
 
@@ -29,13 +29,13 @@ def with_token_count(
     shared = sent(docs, vocabulary)
 
     def make():
-        encode = encoder(shared.value)
+        encode = texts_encoder(shared.value)
 
         def compute(column: pa.Array):
             _, offsets = buffers(column)
-            for first, last in runs(offsets, 2 << 20):
-                texts = column.slice(first, last - first).to_pylist()
-                yield [pa.array(np.array([len(encode(t)) // 4 if t else 0 for t in texts], dtype=np.int64))]
+            for first, last in runs(offsets, 1 << 20):
+                rows = encode(column.slice(first, last - first).to_pylist())
+                yield [pa.array(np.array([len(ids) // 4 for ids in rows], dtype=np.int64))]
 
         return compute
 

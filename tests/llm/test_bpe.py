@@ -113,3 +113,19 @@ def test_texts_are_encoded_once_for_lengths(spark, vocabulary, monkeypatch):
     found = lengths.length_table(lengths.with_token_count(documents(spark), vocabulary))
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, *stored)]
     assert [p.count("MapInArrow") for p in plans] == [0, 1]
+
+
+def test_short_pieces_merge_side_by_side(vocabulary, reference):
+    """What is merged in one matrix gives the ids of the heap and of the library."""
+    import random
+
+    draw = random.Random(5)
+    letters = "etaoinshrdlucmfwypvbgkjqxzäöéèß漢&%$#.!"
+    words = {"".join(draw.choice(letters) for _ in range(draw.randint(1, 20))) for _ in range(4000)}
+    pieces = [p for p in (" " + w for w in sorted(words)) if len(p.encode()) <= bpe.SHORT]
+    raws = [p.encode() for p in pieces] + [b"a" * n for n in range(1, bpe.SHORT + 1)]
+    found = bpe.merged_side_by_side(raws, vocabulary)
+    assert [list(memoryview(x).cast("i")) for x in found] == [bpe.merged(r, vocabulary) for r in raws]
+    encode = bpe.texts_encoder(vocabulary | {"memo": {}})
+    texts = ["".join(pieces[i::7]) for i in range(7)] + [None, "", "a" * 500]
+    assert [list(memoryview(x).cast("i")) for x in encode(texts)] == [reference(t or "") for t in texts]
