@@ -399,7 +399,7 @@ def search_heads(train: DataFrame, held: DataFrame, inputs: int, trials: int, ep
 
         NetworkHead(
             shape, epochs=epochs, batch=params["batch_size"], rate=params["learning_rate"], watch=watch
-        ).fit(train)
+        ).fit(train).remove()
         return seen[-1]
 
     return search(objective, HEAD_SPACE, trials, parallel=parallel, startup=6)

@@ -5,6 +5,10 @@ that a step reads its batch alone. Each task returns the sum of the gradients of
 tree of sums leaves a few for the driver, which holds the parameters and takes a step of Adam.
 What is sent is the model, whose size is set by its shape, never rows.
 
+Small batches need no sums over tasks, and their steps follow each other anyway: a task takes
+those of CHUNK_ROWS rows, one after the other. The parameters and Adam's moments travel from
+task to task as blocks in the shared folder, so the driver holds none of them.
+
 The loss is the cross entropy with smoothed labels and class weights: the target of a row has
 1 - s + s / K at its class and s / K at the others, each class counts with its weight, and the
 sum is divided by the sum of the weights of the rows' classes.
@@ -19,10 +23,12 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tertulia.session import new_path
+from tertulia.session import new_path, remove_path
 
+CHUNK_ROWS, BLOCK = 4096, 1 << 15  # rows of a task with small batches, parameters of a block
+STATE = "number int, w binary, m binary, v binary"
 AT_ONCE = 16  # sums that the driver gets at a time
 FIELDS = "loss double, weight double, rows long, gradient binary"
 
@@ -234,8 +240,10 @@ class NetworkHead:
         batches = max(1, -(-total // me.batch)) if me.batch else 1
         path = new_path(df.sparkSession, "head-batches")
         part = F.pmod(F.col("_draw"), F.lit(batches)).cast("int")
-        rows.withColumn("part", part).drop("_draw").write.partitionBy("part").parquet(path)
-        stored = df.sparkSession.read.schema("x array<double>, y long, part int").parquet(path)
+        rows.withColumn("part", part).write.partitionBy("part").parquet(path)
+        stored = df.sparkSession.read.schema("x array<double>, y long, _draw long, part int").parquet(path)
+        if me.batch and me.batch <= CHUNK_ROWS:
+            return me._fit_in_tasks(stored, batches)
         flat = me.shape.drawn(me.seed)
         first, second, steps, history = np.zeros_like(flat), np.zeros_like(flat), 0, []
         draw = np.random.default_rng(me.seed)
@@ -258,6 +266,30 @@ class NetworkHead:
         return FittedHead(me.shape, flat, me.features, history)
 
 
+    def _fit_in_tasks(self, stored: DataFrame, batches: int) -> FittedHead:
+        draw, history, size = np.random.default_rng(self.seed), [], max(1, CHUNK_ROWS // self.batch)
+        state = _stored_state(_first_state(stored.sparkSession, self.shape, self.seed), "head-start")
+        model = StoredHead(self.shape, state, self.features)
+        for epoch in range(self.epochs):
+            order = draw.permutation(batches).tolist()
+            sums = np.zeros(2)
+            for at in range(0, batches, size):
+                chunk, old = order[at : at + size], state
+                steps = _steps(stored, old[0], self.shape, chunk, self.rate)
+                state = _stored_state(steps, "head-state")
+                sums += np.frombuffer(state[0].where("number = -1").first()["w"])[1:]
+                remove_path(stored.sparkSession, old[1])
+            history.append(sums[0] / sums[1] if sums[1] else math.nan)
+            model = StoredHead(self.shape, state, self.features, history)
+            if self.watch:
+                try:
+                    self.watch(epoch, model)
+                except BaseException:
+                    model.remove()
+                    raise
+        return model
+
+
 @dataclass
 class FittedHead:
     shape: HeadShape
@@ -288,8 +320,185 @@ class FittedHead:
         )
 
 
+class StoredHead(FittedHead):
+    """A head whose parameters lie in the shared folder; ``flat`` brings them to the driver, for
+    a ``transform``. It is valid while the training that made it takes no further step."""
+
+    def __init__(self, shape: HeadShape, state: tuple[DataFrame, str], features: str, losses: Sequence[float] = ()):
+        self.shape, self.state, self.features, self.losses = shape, state, features, list(losses)
+
+    def remove(self) -> None:
+        """Deletes the stored parameters."""
+        remove_path(self.state[0].sparkSession, self.state[1])
+
+    @property
+    def flat(self) -> np.ndarray:
+        rows = self.state[0].where("number >= 0").select("number", "w").orderBy("number").toLocalIterator()
+        return np.concatenate([np.frombuffer(r["w"]) for r in rows])
+
+
+def _blocks(number: int, arrays: Sequence[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array([number], pa.int32()), *(pa.array([memoryview(a).tobytes()], pa.binary()) for a in arrays)]
+    return pa.RecordBatch.from_arrays(columns, names=["number", "w", "m", "v"])
+
+
+def _state_rows(w: np.ndarray, m: np.ndarray | None, v: np.ndarray | None, totals: list[float]):
+    """Blocks of parameters and moments (null: zeros), and the block -1: steps, loss, weight."""
+    yield _blocks(-1, [np.array(totals)] + [np.zeros(0)] * 2)
+    for number, at in enumerate(range(0, len(w), BLOCK)):
+        part = w[at : at + BLOCK]
+        yield _blocks(number, [part, *(np.zeros(len(part)) if x is None else x[at : at + BLOCK] for x in (m, v))])
+
+
+def _first_state(spark: SparkSession, shape: HeadShape, seed: int) -> DataFrame:
+    def work(batches):
+        if sum(batch.num_rows for batch in batches):
+            yield from _state_rows(shape.drawn(seed), None, None, [0.0, 0.0, 0.0])
+
+    return spark.range(1, numPartitions=1).mapInArrow(work, STATE)
+
+
+def _stored_state(state: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = new_path(state.sparkSession, name)
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(STATE).parquet(path), path
+
+
+def _filled(batch: pa.RecordBatch, arrays: Sequence[np.ndarray], totals: np.ndarray) -> None:
+    """Copies the blocks of a batch, whose first columns are those of a state, to their places."""
+    for k, number in enumerate(batch.column(0).to_pylist()):
+        if number is None:
+            continue
+        for array, column in zip(arrays, batch.columns[1:], strict=False):
+            part = np.frombuffer(column[k].as_buffer())
+            if number < 0:
+                totals[: len(part)] = part if len(part) else totals[:0]
+            else:
+                array[number * BLOCK : number * BLOCK + len(part)] = part
+
+
+_ROW = ("x array<double>", "y long", "_draw long", "part int")
+
+
+def _with_state(rows: DataFrame, state: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """State and rows in one frame: columns of the state, null in rows, and the other way round."""
+    nulls = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in STATE.split(", ")]
+    absent = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in _ROW]
+    nulls = nulls[: len(columns)]  # ``columns`` are the first of the state's
+    return state.select(*columns, *absent).union(rows.select(*nulls, "x", "y", "_draw", "part"))
+
+
+def _rows_of(batch: pa.RecordBatch, first: int):
+    """x, y, draw and part of the rows of a batch whose columns from ``first`` on they are."""
+    batch = batch.filter(batch.column(first + 1).is_valid())
+    if not batch.num_rows:
+        return None
+    y, drawn, part = (batch.column(first + i).to_numpy() for i in (1, 2, 3))
+    return batch.column(first).flatten().to_numpy().reshape(len(y), -1), y, drawn, part
+
+
+def _steps(stored: DataFrame, state: DataFrame, shape: HeadShape, chunk: list[int], rate: float) -> DataFrame:
+    """The state after a step for each of the batches in ``chunk``, all in one task."""
+    size = sum(math.prod(s) for s in shape.parts)
+
+    def work(batches):
+        w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+        totals, found = np.zeros(3), []
+        for batch in batches:
+            _filled(batch, (w, m, v), totals)
+            found.append(_rows_of(batch, 4))
+        found = [f for f in found if f]
+        steps, sums = int(totals[0]), [0.0, 0.0]
+        if found:
+            x, y, drawn, part = map(np.concatenate, zip(*found, strict=True))
+            for number in chunk:
+                mine = np.flatnonzero(part == number)
+                mine = mine[np.argsort(drawn[mine], kind="stable")]
+                if not len(mine):
+                    continue  # by chance no row has this number
+                loss, weight = _step(shape, (w, m, v), x[mine], y[mine], steps + 1, rate)
+                sums = [sums[0] + loss, sums[1] + weight]
+                steps += weight > 0
+        yield from _state_rows(w, m, v, [float(steps), *sums])
+
+    rows = stored.where(F.col("part").isin(chunk))
+    return _with_state(rows, state, ["number", "w", "m", "v"]).coalesce(1).mapInArrow(work, STATE)
+
+
+def _step(shape: HeadShape, state: tuple, x: np.ndarray, y: np.ndarray, step: int, rate: float) -> tuple[float, float]:
+    """A step of Adam in place, layer by layer; the loss before it, and the weight."""
+    kept: list = []
+    logp = log_softmax(logits(shape, state[0], x, kept))
+    target = np.full((len(y), shape.classes), shape.smoothing / shape.classes)
+    target[np.arange(len(y)), y] += 1 - shape.smoothing
+    target *= shape.weights
+    loss, weight = float(-(target * logp).sum()), float(shape.weights[y].sum())
+    if not weight:
+        return loss, weight
+    back = np.exp(logp) * target.sum(axis=1, keepdims=True) - target
+    layers = zip(*(reversed(shape.split(array)) for array in state), reversed(kept), strict=True)
+    for (w, b), (mw, mb), (vw, vb), (given, slope) in layers:
+        before = None if slope is None else (back @ w.T) * slope
+        _adam(w, mw, vw, given.T @ back, weight, step, rate)
+        if b is not None:
+            _adam(b, mb, vb, back.sum(axis=0), weight, step, rate)
+        back = before
+    return loss, weight
+
+
+def _adam(w: np.ndarray, m: np.ndarray, v: np.ndarray, gradient: np.ndarray, weight: float, step: int, rate: float) -> None:
+    gradient /= weight
+    m *= 0.9
+    m += 0.1 * gradient
+    v *= 0.999
+    gradient *= gradient
+    gradient *= 0.001
+    v += gradient
+    np.divide(v, 1 - 0.999**step, out=gradient)
+    np.sqrt(gradient, out=gradient)
+    gradient += 1e-8
+    np.divide(m, gradient, out=gradient)
+    gradient *= rate / (1 - 0.9**step)
+    w -= gradient
+
+
+def _stored_accuracy(model: StoredHead, df: DataFrame, label: str) -> float | None:
+    """As ``predicted_accuracy``: groups of rows meet the blocks of the model in tasks."""
+    shape, size = model.shape, sum(math.prod(s) for s in model.shape.parts)
+    known = F.col(model.features).isNotNull() & F.col(label).isNotNull()
+    right = F.when(F.col(label) == F.col(label).cast("long"), F.col(label).cast("long")).otherwise(F.lit(-1))
+    rows = df.where(known).select(
+        F.col(model.features).cast("array<double>").alias("x"), right.cast("long").alias("y"),
+        F.lit(0).cast("long").alias("_draw"), F.lit(0).alias("part"),
+    )
+    groups = max(1, -(-rows.count() // CHUNK_ROWS))
+    both = _with_state(rows, model.state[0].where("number >= 0"), ["number", "w"])
+    if groups > 1:
+        each = F.sequence(F.lit(0), F.lit(groups - 1))
+        drawn = F.array(F.pmod(F.xxhash64("x", "y", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+        both = both.withColumn("_to", F.explode(F.when(F.col("number").isNotNull(), each).otherwise(drawn)))
+        both = both.repartitionById(groups, F.col("_to")).drop("_to")
+    else:
+        both = both.coalesce(1)
+
+    def work(batches):
+        w, found = np.zeros(size), []
+        for batch in batches:
+            _filled(batch, (w,), np.zeros(3))
+            found.append(_rows_of(batch, 2))
+        hits = n = 0
+        for x, y, _, _ in (f for f in found if f):
+            hits, n = hits + int((logits(shape, w, x).argmax(axis=1) == y).sum()), n + len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64()), pa.array([n], pa.int64())], names=["hits", "n"])
+
+    hits, n = both.mapInArrow(work, "hits long, n long").agg(F.sum("hits"), F.sum("n")).first()
+    return hits / n if n else None
+
+
 def predicted_accuracy(model: FittedHead, df: DataFrame, label: str = "label") -> float | None:
     """Share of the rows whose likeliest class is their label; null without rows."""
+    if isinstance(model, StoredHead):
+        return _stored_accuracy(model, df, label)
     hit = (F.col("prediction") == F.col(label)).cast("double")
     return model.transform(df).agg(F.avg(hit)).first()[0]
 

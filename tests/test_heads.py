@@ -105,3 +105,26 @@ def test_edges(spark):
     for bad in ({"layers": 0}, {"activation": "Sine"}):
         with pytest.raises(ValueError):
             H.HeadShape(6, **bad)
+
+
+def test_small_batches_keep_the_model_off_the_driver(spark, monkeypatch):
+    """The steps of a driver that sums gradients, over several tasks, with no gradient or
+    parameter collected and no model broadcast."""
+    x, y = data(300)
+    df = frame(spark, x, y)
+    shape = H.HeadShape(6, 3, 30, activation="Mish", smoothing=0.1, class_weights=(1.6, 1.0, 1.6))
+    wanted = H.NetworkHead(shape, epochs=3, batch=40)
+    with monkeypatch.context() as m:
+        m.setattr(H, "CHUNK_ROWS", 1)  # no batch is small
+        summed = wanted.fit(df)
+    monkeypatch.setattr(H, "CHUNK_ROWS", 100)  # two batches a task
+    monkeypatch.setattr(H, "BLOCK", 64)
+    monkeypatch.setattr(H, "batch_gradient", None)
+    model = wanted.fit(df)
+    assert np.allclose(model.losses, summed.losses)
+    known = df.union(spark.createDataFrame([(98, None, 1), (99, [0.0] * 6, None)], df.schema))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+    found = H.predicted_accuracy(model, known)
+    monkeypatch.undo()
+    assert np.allclose(model.flat, summed.flat, atol=1e-9)
+    assert math.isclose(found, H.predicted_accuracy(summed, known))
