@@ -6,8 +6,9 @@ tree of sums leaves a few for the driver, which holds the parameters and takes a
 What is sent is the model, whose size is set by its shape, never rows.
 
 Small batches need no sums over tasks, and their steps follow each other anyway: a task takes
-those of CHUNK_ROWS rows, one after the other. The parameters and Adam's moments travel from
-task to task as blocks in the shared folder, so the driver holds none of them.
+those of CHUNK_BYTES of features (of CHUNK_ROWS rows at least), one after the other. Each epoch
+deals the rows to its tasks once, in its order of the batches. The parameters and Adam's moments
+travel from task to task as blocks in the shared folder, so the driver holds none of them.
 
 The loss is the cross entropy with smoothed labels and class weights: the target of a row has
 1 - s + s / K at its class and s / K at the others, each class counts with its weight, and the
@@ -27,14 +28,51 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tertulia.session import new_path, remove_path
 
-CHUNK_ROWS, BLOCK = 4096, 1 << 15  # rows of a task with small batches, parameters of a block
+CHUNK_ROWS, BLOCK = 4096, 1 << 15  # least rows of a task with small batches, parameters of a block
+CHUNK_BYTES = 1 << 24  # of the features of such a task, where that is more
+SCORED_ROWS, CACHED = 512, 1 << 16  # rows scored at once, parameters of a step that stay in the cache
 STATE = "number int, w binary, m binary, v binary"
 AT_ONCE = 16  # sums that the driver gets at a time
 FIELDS = "loss double, weight double, rows long, gradient binary"
 
 
+#: Cody's rational approximations of the error function, from the highest power: up to
+#: 0.46875, of its complement up to 4, and above.
+_ERF = (
+    (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+_ERFC = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+     8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+     3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+_ERFC_TAIL = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1,
+     1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2,
+     2.33520497626869185e-3),
+)
+
+
+def _ratio(x: np.ndarray, powers: tuple[tuple[float, ...], tuple[float, ...]]) -> np.ndarray:
+    return np.polyval(powers[0], x) / np.polyval(powers[1], x)
+
+
 def _erf(x: np.ndarray) -> np.ndarray:
-    return np.frompyfunc(math.erf, 1, 1)(x).astype(np.float64)
+    """The error function, within a few units of the last place."""
+    flat = np.asarray(x, dtype=np.float64).ravel()
+    size, out = np.abs(flat), np.where(np.isnan(flat), np.nan, 1.0)
+    near, far = size <= 0.46875, (size > 4) & (size < 6)
+    y = size[near]
+    out[near] = y * _ratio(y * y, _ERF)
+    y = size[mid := (size > 0.46875) & (size <= 4)]
+    out[mid] = 1 - np.exp(-y * y) * _ratio(y, _ERFC)
+    y = size[far]
+    z = 1 / (y * y)
+    out[far] = 1 - np.exp(-y * y) / y * (1 / math.sqrt(math.pi) - z * _ratio(z, _ERFC_TAIL))
+    return np.copysign(out, flat).reshape(np.shape(x))
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -239,11 +277,14 @@ class NetworkHead:
         total = rows.count() if me.batch else 0
         batches = max(1, -(-total // me.batch)) if me.batch else 1
         path = new_path(df.sparkSession, "head-batches")
-        part = F.pmod(F.col("_draw"), F.lit(batches)).cast("int")
-        rows.withColumn("part", part).write.partitionBy("part").parquet(path)
-        stored = df.sparkSession.read.schema("x array<double>, y long, _draw long, part int").parquet(path)
+        rows = rows.withColumn("part", F.pmod(F.col("_draw"), F.lit(batches)).cast("int"))
         if me.batch and me.batch <= CHUNK_ROWS:
-            return me._fit_in_tasks(stored, batches)
+            rows.write.parquet(path)  # batches are many, so none has a folder
+            model = me._fit_in_tasks(df.sparkSession.read.schema(", ".join(_ROW)).parquet(path), batches)
+            remove_path(df.sparkSession, path)
+            return model
+        rows.write.partitionBy("part").parquet(path)
+        stored = df.sparkSession.read.schema(", ".join(_ROW)).parquet(path)
         flat = me.shape.drawn(me.seed)
         first, second, steps, history = np.zeros_like(flat), np.zeros_like(flat), 0, []
         draw = np.random.default_rng(me.seed)
@@ -265,20 +306,23 @@ class NetworkHead:
                 me.watch(epoch, FittedHead(me.shape, flat, me.features, history))
         return FittedHead(me.shape, flat, me.features, history)
 
-
     def _fit_in_tasks(self, stored: DataFrame, batches: int) -> FittedHead:
-        draw, history, size = np.random.default_rng(self.seed), [], max(1, CHUNK_ROWS // self.batch)
+        draw, history, size = np.random.default_rng(self.seed), [], max(1, _chunk_rows(self.shape) // self.batch)
         state = _stored_state(_first_state(stored.sparkSession, self.shape, self.seed), "head-start")
         model = StoredHead(self.shape, state, self.features)
         for epoch in range(self.epochs):
             order = draw.permutation(batches).tolist()
             sums = np.zeros(2)
-            for at in range(0, batches, size):
+            dealt, path = _dealt(stored, order, size) if batches > size else (stored, None)
+            for task, at in enumerate(range(0, batches, size)):
                 chunk, old = order[at : at + size], state
-                steps = _steps(stored, old[0], self.shape, chunk, self.rate)
+                mine = dealt.where(F.col("task") == task) if path else dealt
+                steps = _steps(mine, old[0], self.shape, chunk, self.rate)
                 state = _stored_state(steps, "head-state")
                 sums += np.frombuffer(state[0].where("number = -1").first()["w"])[1:]
                 remove_path(stored.sparkSession, old[1])
+            if path:
+                remove_path(stored.sparkSession, path)
             history.append(sums[0] / sums[1] if sums[1] else math.nan)
             model = StoredHead(self.shape, state, self.features, history)
             if self.watch:
@@ -397,13 +441,35 @@ def _rows_of(batch: pa.RecordBatch, first: int):
     return batch.column(first).flatten().to_numpy().reshape(len(y), -1), y, drawn, part
 
 
-def _steps(stored: DataFrame, state: DataFrame, shape: HeadShape, chunk: list[int], rate: float) -> DataFrame:
-    """The state after a step for each of the batches in ``chunk``, all in one task."""
+def _chunk_rows(shape: HeadShape) -> int:
+    return max(CHUNK_ROWS, CHUNK_BYTES // (8 * shape.inputs))
+
+
+def _dealt(stored: DataFrame, order: list[int], size: int) -> tuple[DataFrame, str]:
+    """The rows with the number of their ``task``, and the path where each task has a folder: a
+    task takes ``size`` of the batches in ``order``."""
+    path, schema = new_path(stored.sparkSession, "head-epoch"), ", ".join(_ROW) + ", task int"
+    task = np.empty(len(order), dtype=np.int32)
+    task[order] = np.arange(len(order), dtype=np.int32) // size
+
+    def work(batches):
+        for batch in batches:
+            yield batch.append_column("task", pa.array(task[batch.column(3).to_numpy()]))
+
+    numbered = stored.select(*(c.split()[0] for c in _ROW)).mapInArrow(work, schema)
+    numbered.repartition(-(-len(order) // size), "task").write.partitionBy("task").parquet(path)
+    return stored.sparkSession.read.schema(schema).parquet(path), path
+
+
+def _steps(rows: DataFrame, state: DataFrame, shape: HeadShape, chunk: list[int], rate: float) -> DataFrame:
+    """The state after a step for each of the batches in ``chunk``, which ``rows`` are of, all
+    in one task."""
     size = sum(math.prod(s) for s in shape.parts)
 
     def work(batches):
         w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
         totals, found = np.zeros(3), []
+        spare = np.empty(max(math.prod(s) for s in shape.parts))
         for batch in batches:
             _filled(batch, (w, m, v), totals)
             found.append(_rows_of(batch, 4))
@@ -411,22 +477,26 @@ def _steps(stored: DataFrame, state: DataFrame, shape: HeadShape, chunk: list[in
         steps, sums = int(totals[0]), [0.0, 0.0]
         if found:
             x, y, drawn, part = map(np.concatenate, zip(*found, strict=True))
-            for number in chunk:
-                mine = np.flatnonzero(part == number)
-                mine = mine[np.argsort(drawn[mine], kind="stable")]
+            order = np.lexsort((drawn, part))
+            starts = np.searchsorted(part[order], chunk)
+            ends = np.searchsorted(part[order], chunk, side="right")
+            for start, end in zip(starts, ends, strict=True):
+                mine = order[start:end]
                 if not len(mine):
                     continue  # by chance no row has this number
-                loss, weight = _step(shape, (w, m, v), x[mine], y[mine], steps + 1, rate)
+                loss, weight = _step(shape, (w, m, v), x[mine], y[mine], steps + 1, rate, spare)
                 sums = [sums[0] + loss, sums[1] + weight]
                 steps += weight > 0
         yield from _state_rows(w, m, v, [float(steps), *sums])
 
-    rows = stored.where(F.col("part").isin(chunk))
     return _with_state(rows, state, ["number", "w", "m", "v"]).coalesce(1).mapInArrow(work, STATE)
 
 
-def _step(shape: HeadShape, state: tuple, x: np.ndarray, y: np.ndarray, step: int, rate: float) -> tuple[float, float]:
-    """A step of Adam in place, layer by layer; the loss before it, and the weight."""
+def _step(
+    shape: HeadShape, state: tuple, x: np.ndarray, y: np.ndarray, step: int, rate: float, spare: np.ndarray
+) -> tuple[float, float]:
+    """A step of Adam in place, layer by layer; the loss before it, and the weight. ``spare`` has
+    room for the gradient of a layer, which would cost as much to get as to fill."""
     kept: list = []
     logp = log_softmax(logits(shape, state[0], x, kept))
     target = np.full((len(y), shape.classes), shape.smoothing / shape.classes)
@@ -439,7 +509,8 @@ def _step(shape: HeadShape, state: tuple, x: np.ndarray, y: np.ndarray, step: in
     layers = zip(*(reversed(shape.split(array)) for array in state), reversed(kept), strict=True)
     for (w, b), (mw, mb), (vw, vb), (given, slope) in layers:
         before = None if slope is None else (back @ w.T) * slope
-        _adam(w, mw, vw, given.T @ back, weight, step, rate)
+        gradient = np.matmul(given.T, back, out=spare[: w.size].reshape(w.shape))
+        _adam(w, mw, vw, gradient, weight, step, rate)
         if b is not None:
             _adam(b, mb, vb, back.sum(axis=0), weight, step, rate)
         back = before
@@ -447,19 +518,23 @@ def _step(shape: HeadShape, state: tuple, x: np.ndarray, y: np.ndarray, step: in
 
 
 def _adam(w: np.ndarray, m: np.ndarray, v: np.ndarray, gradient: np.ndarray, weight: float, step: int, rate: float) -> None:
-    gradient /= weight
-    m *= 0.9
-    m += 0.1 * gradient
-    v *= 0.999
-    gradient *= gradient
-    gradient *= 0.001
-    v += gradient
-    np.divide(v, 1 - 0.999**step, out=gradient)
-    np.sqrt(gradient, out=gradient)
-    gradient += 1e-8
-    np.divide(m, gradient, out=gradient)
-    gradient *= rate / (1 - 0.9**step)
-    w -= gradient
+    """Stretch by stretch, so that what it writes is still in the cache when it is read again."""
+    flat = [a.reshape(-1) for a in (w, m, v, gradient)]  # views, as none has gaps
+    root = math.sqrt(1 - 0.999**step)
+    for at in range(0, len(flat[0]), CACHED):
+        w, m, v, gradient = (a[at : at + CACHED] for a in flat)
+        gradient *= 0.1 / weight
+        m *= 0.9
+        m += gradient
+        gradient *= gradient
+        gradient *= 0.1
+        v *= 0.999
+        v += gradient
+        np.sqrt(v, out=gradient)
+        gradient += 1e-8 * root
+        np.divide(m, gradient, out=gradient)
+        gradient *= rate * root / (1 - 0.9**step)
+        w -= gradient
 
 
 def _stored_accuracy(model: StoredHead, df: DataFrame, label: str) -> float | None:
@@ -471,7 +546,7 @@ def _stored_accuracy(model: StoredHead, df: DataFrame, label: str) -> float | No
         F.col(model.features).cast("array<double>").alias("x"), right.cast("long").alias("y"),
         F.lit(0).cast("long").alias("_draw"), F.lit(0).alias("part"),
     )
-    groups = max(1, -(-rows.count() // CHUNK_ROWS))
+    groups = max(1, -(-rows.count() // _chunk_rows(shape)))
     both = _with_state(rows, model.state[0].where("number >= 0"), ["number", "w"])
     if groups > 1:
         each = F.sequence(F.lit(0), F.lit(groups - 1))
@@ -488,7 +563,10 @@ def _stored_accuracy(model: StoredHead, df: DataFrame, label: str) -> float | No
             found.append(_rows_of(batch, 2))
         hits = n = 0
         for x, y, _, _ in (f for f in found if f):
-            hits, n = hits + int((logits(shape, w, x).argmax(axis=1) == y).sum()), n + len(y)
+            for at in range(0, len(y), SCORED_ROWS):
+                best = logits(shape, w, x[at : at + SCORED_ROWS]).argmax(axis=1)
+                hits += int((best == y[at : at + SCORED_ROWS]).sum())
+            n += len(y)
         yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64()), pa.array([n], pa.int64())], names=["hits", "n"])
 
     hits, n = both.mapInArrow(work, "hits long, n long").agg(F.sum("hits"), F.sum("n")).first()

@@ -128,3 +128,29 @@ def test_small_batches_keep_the_model_off_the_driver(spark, monkeypatch):
     monkeypatch.undo()
     assert np.allclose(model.flat, summed.flat, atol=1e-9)
     assert math.isclose(found, H.predicted_accuracy(summed, known))
+
+
+@pytest.mark.parametrize("rows", [100, 4096])
+def test_an_epoch_of_small_batches_takes_few_tasks(spark, monkeypatch, rows):
+    """Their number follows from what a task can hold, not from a fixed number of rows; the rows
+    are stored without a folder for each batch, and dealt anew for each epoch."""
+    x, y = data(600 if rows == 100 else 9000)
+    df = frame(spark, x, y)
+    wanted = H.NetworkHead(H.HeadShape(6, 3, 9, activation="GELU"), epochs=2, batch=32)
+    stored, folders = [], []
+    keep, write = H._stored_state, type(df.write).partitionBy
+    monkeypatch.setattr(H, "_stored_state", lambda state, name: stored.append(name) or keep(state, name))
+    monkeypatch.setattr(type(df.write), "partitionBy", lambda self, *c: folders.extend(c) or write(self, *c))
+    model = wanted.fit(df)
+    assert len(stored) == 1 + 2 and not folders
+    monkeypatch.setattr(H, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(H, "CHUNK_ROWS", rows)
+    several = wanted.fit(df)
+    assert len(stored) == 3 + 1 + 2 * -(-(-(-len(x) // 32)) // (rows // 32)) and folders == ["task"] * 2
+    assert np.allclose(model.flat, several.flat, atol=1e-12) and np.allclose(model.losses, several.losses)
+
+
+def test_error_function():
+    x = np.concatenate([np.linspace(-7, 7, 4001), [0.46875, 4.0, 1e-300, 60.0, math.inf, -math.inf]])
+    assert np.allclose(H._erf(x.reshape(1, -1))[0], [math.erf(v) for v in x], rtol=1e-15, atol=0)
+    assert math.isnan(H._erf(np.array([math.nan]))[0])
