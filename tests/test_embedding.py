@@ -176,3 +176,73 @@ def test_neighbours_at_any_scale(scale):
     np.fill_diagonal(d, np.inf)
     ids = np.concatenate([b.column(1).flatten().to_numpy() for b in group.rows()]).reshape(50, 7)
     assert (ids == np.argsort(d[:50], axis=1)[:, :7]).all()
+
+
+def test_a_tile_meets_only_rows_it_can_be_near(monkeypatch):
+    """In space with room between clusters, a row is compared with a small part of all others."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(40, 8))[draw.integers(0, 40, 6000)] * 20 + draw.normal(size=(6000, 8))
+    cells = E._cell_of(E._borders(x, 6), x)
+    parts = [np.flatnonzero(cells == c) for c in range(6)]
+    assert min(map(len, parts)) > 300
+    parts = [p[np.concatenate(E._leaves(x[p]))] for p in parts]
+    pairs, add = [], E._Nearest._add
+    monkeypatch.setattr(E._Nearest, "_add", lambda self, found, *a: pairs.append(sum(len(f[0]) for f in found)) or add(self, found, *a))
+    group = E._Nearest([(parts[0], x[parts[0]], np.ones(len(parts[0]), bool))], 7)
+    own = len(pairs)
+    for part in parts[1:]:
+        group.see(part, x[part])
+    d = ((x[parts[0]][:, None] - x[None]) ** 2).sum(axis=2)
+    d[np.arange(len(parts[0])), parts[0]] = np.inf
+    assert (group.others == np.argsort(d, axis=1)[:, :7]).all()
+    assert sum(pairs[own:]) < 0.01 * len(parts[0]) * len(x)
+
+
+@pytest.mark.parametrize("block", [65_536, 64])
+def test_an_epoch_in_cells_is_that_of_joins(spark, monkeypatch, block):
+    """Edges that stay in their cells, with positions sent to them, give the joins' map; the
+    joins' epochs, which shuffle all edges, are only for ids that rows share."""
+    monkeypatch.setattr(E, "BLOCK_ROWS", block)
+    x = np.round(vectors(400, seed=8), 1)
+    x[50:170] = x[50]  # copies that are not among the nearest of others
+    x[399] = np.nan
+    df = frame(spark, x).where("id < 399")
+    with monkeypatch.context() as m:
+        m.setattr(E, "_map_in_cells", None)
+        shared = df.union(df.where("id = 7"))
+        assert len(E.neighbourhood_map(shared, "id", "vector", 10.0, 1).collect()) == 400
+    with monkeypatch.context() as m:
+        m.setattr(E, "_epoch", None)
+        found = E.neighbourhood_map(df, "id", "vector", 10.0, 7)
+    edges = E.affinities(E.nearest_rows(df, 30, 399), 10.0, 399)
+    first = E._first_positions(E.project_2d(df, "vector").select("id", "x", "y"))
+    state = first.selectExpr("*", "0D vx", "0D vy", "1D gx", "1D gy")
+    for epoch in range(7):
+        state = E.materialise(E._epoch(state, edges, epoch, 399, *E.schedule(epoch, 7, 399)), "by-joins")
+    got, wanted = (np.array(sorted(f.select("id", "x", "y").collect())) for f in (found, state))
+    assert np.allclose(got, wanted, rtol=1e-6, atol=1e-9)
+
+
+def test_samples_are_those_that_spark_draws(spark, monkeypatch):
+    monkeypatch.setattr(E, "SAMPLE", 20)
+    ids = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
+    df = spark.createDataFrame([(int(i),) for i in ids], "id long")
+    for epoch in (0, 3):
+        wanted = [r["id"] for r in df.selectExpr("id", f"xxhash64(id, {epoch}) d").orderBy("d", "id").limit(20).collect()]
+        parts = [(c, ("state", {"id": ids[c::3], "x": ids[c::3] * 1.0, "y": ids[c::3] * 2.0})) for c in range(3)]
+        found, places = E._drawn(spark.sparkContext.parallelize(parts, 3), epoch, 500)
+        assert found.tolist() == wanted and (places == np.stack([found * 1.0, found * 2.0], axis=1)).all()
+
+
+def test_repulsion_of_brute_force():
+    draw = np.random.default_rng(4)
+    xy, ids = draw.normal(size=(70, 2)) * 30 + 500, np.arange(70)
+    some = draw.permutation(70)[:25]
+    fx, fy = E.repulsion(xy[:, 0], xy[:, 1], ids, xy[some], some, 70)
+    near = 1 / (1 + dense_distances(xy[some]) ** 2)
+    total = (near.sum() - 25) * 70 * 69 / (25 * 24)
+    for i in range(70):
+        other = some[some != i]
+        way = xy[i] - xy[other]
+        wanted = (way / (1 + (way**2).sum(axis=1))[:, None] ** 2).sum(axis=0) * 69 / len(other) / total
+        assert np.allclose((fx[i], fy[i]), wanted, rtol=1e-8, atol=1e-15)
