@@ -91,22 +91,28 @@ def dealt_by_length(lengths: np.ndarray, batch_size: int, padding: float) -> lis
     """Positions in batches for a model that pads each text to the longest of its batch.
 
     Texts go by length (equal ones as they came). A batch ends at ``batch_size`` texts, or before
-    the text with which more than the share ``padding`` of its cells would be empty.
+    the text with which more than the share ``padding`` of its cells would be empty. Empty texts
+    go with the longest, as far as the padding allows, and are alone otherwise.
     """
     order = np.argsort(-lengths, kind="stable")
+    some = int(np.count_nonzero(lengths > 0))
+    order, none = order[:some], order[some:]
     sorted_ = lengths[order].astype(np.int64)
     total = np.concatenate([[0], np.cumsum(sorted_)])
     out, at = [], 0
     while at < len(order):
-        longest = max(1, int(sorted_[at]))
-        size = np.arange(1, min(batch_size, len(order) - at) + 1)
+        longest = int(sorted_[at])
+        room = min(len(none), int(padding * batch_size), batch_size - 1)
+        size = np.arange(1, min(batch_size - room, len(order) - at) + 1)
         filled = total[at + size] - total[at]
         # the share of empty cells only grows, as texts get shorter
-        fits = int(np.searchsorted(1 - filled / (size * longest) > padding, True))
-        end = at + max(1, fits)
-        out.append(order[at:end])
-        at = end
-    return out
+        fits = max(1, int(np.searchsorted(1 - filled / (size * longest) > padding, True)))
+        more = np.arange(1, room + 1)
+        more = int(np.searchsorted(1 - filled[fits - 1] / ((fits + more) * longest) > padding, True))
+        out.append(np.concatenate([order[at : at + fits], none[:more]]))
+        at, none = at + fits, none[more:]
+    step = 1 if padding < 1 else batch_size
+    return out + [none[at : at + step] for at in range(0, len(none), step)]
 
 
 def padded(ids: list[list[int]], fill: int = 0) -> tuple[np.ndarray, np.ndarray]:
